@@ -27,8 +27,8 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
     # __c keeps the lines of rows that repeat a document apart
     docs = docs.withColumn("__c", F.monotonically_increasing_id())
     lines = docs.select("__d", "__h", "__c", F.posexplode(F.split("__t", "\n")).alias("pos", "raw"))
-    # regexp-free trim: blanks, tabs, carriage returns
-    lines = lines.select("__d", "__h", "__c", "pos", F.trim(F.lit(" \t\r\f\u000b"), "raw").alias("l")).filter("l != ''")
+    # without blanks, tabs and carriage returns at either end
+    lines = lines.select("__d", "__h", "__c", "pos", F.trim("raw", F.lit(" \t\r\f\u000b")).alias("l")).filter("l != ''")
     lines = lines.select("__d", "__h", "__c", F.struct(
         "pos", F.xxhash64("l").alias("a"), F.xxhash64(F.lit(1), "l").alias("b"),
         (F.length("l") - F.length(F.replace("l", F.lit(" "), F.lit(""))) + 1).alias("w"),
