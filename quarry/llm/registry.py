@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import contamination, lines, mixing, preference
+from quarry.llm import contamination, lines, mixing, preference, tokens
 
-MODULES = (preference, contamination, mixing, lines)
+MODULES = (preference, contamination, tokens, mixing, lines)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
