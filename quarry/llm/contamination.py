@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -98,8 +99,9 @@ def offsets(text: str, runs: list[int]) -> list[tuple[int, int]]:
 
 
 def _scanner(shared, n_words: int, text: str):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (shared.id if hasattr(shared, "id") else id(shared), n_words)
         if key not in _compiled:
             _compiled.clear()
             _compiled[key] = Windows(shared.value, n_words)

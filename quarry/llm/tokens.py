@@ -20,6 +20,8 @@ empty result; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,14 +74,21 @@ def _split_table() -> tuple[np.ndarray, np.ndarray]:
 STEP, MARK = _split_table()
 
 
-def _classes() -> np.ndarray:
-    """By the regex library, whose Unicode version is that of the tokenizers library."""
+def read_classes(pre_tokenizer) -> np.ndarray:
+    """Class of every code point. Where two Unicode versions at hand disagree, the library's own split decides."""
     points = [*range(0xD800), *range(0xE000, 0x110000)]
-    every, out = "".join(map(chr, points)), np.full(0x110000, OTHER, np.uint8)
-    place = np.array(points)
-    for pattern, c in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-        for m in regex.finditer(pattern, every):
-            out[place[m.start():m.end()]] = c
+    every, place = "".join(map(chr, points)), np.array(points)
+    out = np.full(0x110000, OTHER, np.uint8)
+    for letter, base, c in (("L", "a", LETTER), ("N", "1", NUMBER)):
+        newer = np.zeros(0x110000, bool)
+        for m in regex.finditer(rf"\p{{{letter}}}+", every):
+            newer[place[m.start():m.end()]] = True
+        older = np.array([unicodedata.category(ch)[0] == letter for ch in every])
+        yes = newer.copy()
+        yes[place] &= older
+        for cp in place[newer[place] != older].tolist():
+            yes[cp] = len(pre_tokenizer.pre_tokenize_str(base + chr(cp))) == 1
+        out[yes] = c
     for cp in (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
         out[cp] = SPACE
     for ch, c in ((" ", BLANK), ("'", QUOTE), ("e", E), ("l", ELL), *((x, STMD) for x in "stmd"), *((x, RV) for x in "rv")):
@@ -178,13 +187,16 @@ def _byte_letters() -> dict[str, int]:
 
 def read_vocabulary(path: str) -> dict:
     """What the transducers need of a byte-level BPE file, read on the driver (some MB at most)."""
+    from tokenizers import Tokenizer
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     kind = spec["pre_tokenizer"]
     if spec["model"]["type"] != "BPE" or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or spec["normalizer"]:
         raise ValueError("byte-level BPE without normaliser and prefix space is asked for")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-    return {"vocab": spec["model"]["vocab"], "merges": merges, "special": [t["content"] for t in spec["added_tokens"]]}
+    classes = read_classes(Tokenizer.from_file(path).pre_tokenizer)
+    return {"vocab": spec["model"]["vocab"], "merges": merges, "special": [t["content"] for t in spec["added_tokens"]], "classes": classes}
 
 
 class Counter:
@@ -196,7 +208,7 @@ class Counter:
         ids = spec["vocab"]
         ranks = {(ids[a], ids[b]): (i, ids[a + b]) for i, (a, b) in reversed(list(enumerate(spec["merges"])))}
         self.merges = Merges({b: ids[t] for t, b in raw.items()}, ranks)
-        self.special, self.classes = spec["special"], _classes()
+        self.special, self.classes = spec["special"], spec["classes"]
 
     def segments(self, text: str) -> tuple[list[str], int]:
         """Text between special strings, and how many of these there are."""
@@ -243,11 +255,13 @@ _counters: dict = {}
 
 
 def _counting(shared, text: str):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _counters:
+        if key not in _counters:
             _counters.clear()
-            _counters[shared.id] = Counter(shared.value)
-        counter = _counters[shared.id]
+            _counters[key] = Counter(shared.value)
+        counter = _counters[key]
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
