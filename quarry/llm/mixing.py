@@ -62,20 +62,21 @@ def solve_alpha(sources: DataFrame, budget: float, total: float, target_entropy:
     return high, best
 
 
-def mix(docs: DataFrame, *, budget: int | None = None, target_entropy: float | None = None, repeat_limit: float = 4.0, block_tokens: int = 250_000, seed: int = 17, source: str = "source", text: str = "text") -> DataFrame:
-    """Rows of docs, one for each draw, with mix_tokens, mix_epoch, mix_block (place of the block in its epoch) and mix_order (place in the block).
+def mix(docs: DataFrame, *, carry: list[str] | None = None, budget: int | None = None, target_entropy: float | None = None, repeat_limit: float = 4.0, block_tokens: int = 250_000, seed: int = 17, source: str = "source", text: str = "text") -> DataFrame:
+    """A row for each draw: the columns to carry (all if None), mix_tokens, mix_epoch, mix_block (place of the block in its epoch) and mix_order (place in the block).
 
-    budget: tokens to draw, as many as there are if None. target_entropy: in nats; half way from the sources' own
-    to the uniform one if None.
+    Texts are read once, to count words; all else works on a table of the columns carried. budget: tokens to draw,
+    as many as there are if None. target_entropy: in nats; half way from the sources' own to the uniform one if None.
     """
-    keep = docs.columns
-    if text not in keep or source not in keep:
-        raise ValueError("docs need a source and a text column")
-    named = docs.withColumns({
-        "__src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")),
-        "__tok": word_count(F.col(text)),
-        "__key": F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(text)),
-    }).filter("__tok > 0")
+    keep = list(docs.columns if carry is None else carry)
+    named = docs.select(
+        *keep,
+        F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("__src"),
+        word_count(F.col(text)).alias("__tok"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text)).alias("__key"),
+        F.col("doc_id").alias("__id"),
+    )
+    named = written(named.filter("__tok > 0"), "mix-documents")
     sources = written(named.groupBy("__src").agg(F.sum("__tok").alias("__n")), "mix-sources")
     total, most = sources.agg(F.sum("__n"), F.max("__n")).first()
     extra = {"mix_tokens": F.col("__tok"), "mix_epoch": F.lit(0), "mix_block": F.lit(0).cast("long"), "mix_order": F.col("__key")}
@@ -94,21 +95,22 @@ def mix(docs: DataFrame, *, budget: int | None = None, target_entropy: float | N
         "__end": F.sum("__bn").over(order.rowsBetween(W.unboundedPreceding, 0)),
         "__place": F.row_number().over(order).cast("long"),
     }).withColumn("__room", F.least(F.col("__bn"), F.greatest(F.lit(0).cast("long"), F.col("__left") - (F.col("__end") - F.col("__bn")))))
-    chosen = chosen.select("__src", "__blk", "__bn", "__full", "__place", "__room")
+    chosen = written(chosen.select("__src", "__blk", "__bn", "__full", "__place", "__room"), "mix-blocks")
     drawn = dealt.join(chosen, ["__src", "__blk"])
-    inside = W.partitionBy("__src", "__blk").orderBy("__key", "doc_id", "__tok")
-    whole = drawn.filter("__full > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__full") - 1)))
-    whole = whole.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), "mix_epoch", "__src", "__blk"), F.lit(1 << 40)))
-    last = drawn.filter("__room = __bn").withColumns({"mix_epoch": F.col("__full"), "mix_block": F.col("__place")})
-    cut = drawn.filter("__room > 0 and __room < __bn").withColumn("__run", F.sum("__tok").over(inside.rowsBetween(W.unboundedPreceding, 0))).filter("__run <= __room")
+    epochs = F.sequence(F.lit(0), F.col("__full"))
+    epochs = F.slice(epochs, 1, F.col("__full") + (F.col("__room") == F.col("__bn")).cast("int"))
+    whole = drawn.withColumn("mix_epoch", F.explode(epochs))
+    whole = whole.withColumn("mix_block", F.when(F.col("mix_epoch") == F.col("__full"), F.col("__place")).otherwise(F.pmod(F.xxhash64(F.lit(seed), "mix_epoch", "__src", "__blk"), F.lit(1 << 40))))
+    inside = W.partitionBy("__src", "__blk").orderBy("__key", "__id", "__tok")
+    cut = dealt.join(chosen.filter("__room > 0 and __room < __bn"), ["__src", "__blk"])
+    cut = cut.withColumn("__run", F.sum("__tok").over(inside.rowsBetween(W.unboundedPreceding, 0))).filter("__run <= __room")
     cut = cut.withColumns({"mix_epoch": F.col("__full"), "mix_block": F.col("__place")}).drop("__run")
-    out = whole.unionByName(last).unionByName(cut)
+    out = whole.unionByName(cut)
     return out.withColumns({"mix_tokens": F.col("__tok"), "mix_order": F.col("__key")}).select(*keep, *extra)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_order")
+    return mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
 
 
 QUERIES = {"op8_mix_sources": op8}
