@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import contamination, lines, mixing, preference, quality, tokens
+from quarry.llm import contamination, lines, mixing, pii, preference, quality, tokens
 
-MODULES = (preference, contamination, tokens, mixing, quality, lines)
+MODULES = (preference, contamination, pii, tokens, mixing, quality, lines)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
