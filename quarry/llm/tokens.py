@@ -128,10 +128,14 @@ def boundaries(classes: np.ndarray, chunk: int = 192) -> np.ndarray:
 class Merges:
     """Token counts of pieces. vocabulary: token bytes -> id; ranks: (left id, right id) -> (rank, merged id)."""
 
-    def __init__(self, vocabulary: dict[bytes, int], ranks: dict[tuple[int, int], tuple[int, int]], room: int = 400_000):
+    def __init__(self, vocabulary: dict[bytes, int], ranks: dict[tuple[int, int], tuple[int, int]], room: int = 1_000_000):
         self.vocabulary, self.ranks, self.room = vocabulary, ranks, room
         self.bytes_of = {i: b for b, i in vocabulary.items()}
-        self.longest = max(map(len, vocabulary), default=1)
+        # every ending of a token, with the token itself or -1
+        self.endings = {b[i:]: -1 for b in vocabulary for i in range(len(b))} | vocabulary
+        self.states: dict[bytes, tuple] = {b"": (None, -1, 0)}
+        self.made = {m: (rank, a, b) for (a, b), (rank, m) in ranks.items()}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.apart: dict[tuple[int, int], bool] = {}
         self.counts: dict[str, int] = {}
 
@@ -144,29 +148,62 @@ class Merges:
             ids[at:at + 2] = [self.ranks[ids[at], ids[at + 1]][1]]
         return ids
 
+    def edge(self, token: int, right: bool) -> list[tuple[int, float]]:
+        """What stands at a token's right or left edge while it is merged, each with the rank that ends it."""
+        known = self.edges[right]
+        if (out := known.get(token)) is None:
+            out, part, until = [], token, float("inf")
+            while True:
+                out.append((part, until))
+                if part not in self.made:
+                    break
+                until, *halves = self.made[part]
+                part = halves[right]
+            known[token] = out
+        return out
+
     def compatible(self, before: int, token: int) -> bool:
-        """before: -1 at the start of a piece."""
+        """Whether two tokens stay apart: no merge across them comes before those that build them, leftmost first
+        at equal rank. before: -1 at the start of a piece, where the token has to build itself."""
         key = (before, token)
         if (known := self.apart.get(key)) is None:
-            whole = [token] if before < 0 else [before, token]
-            known = self.merge(b"".join(self.bytes_of[t] for t in whole)) == whole
-            if len(self.apart) >= self.room:
+            if before < 0:
+                known = self.merge(self.bytes_of[token]) == [token]
+            else:
+                known = all(
+                    (r := self.ranks.get((x, y))) is None or r[0] >= ends_x or r[0] > ends_y
+                    for x, ends_x in self.edge(before, True) for y, ends_y in self.edge(token, False)
+                )
+            if len(self.apart) >= self.room // 2:
                 self.apart.clear()
             self.apart[key] = known
         return known
 
     def walk(self, data: bytes) -> int:
-        last, counts, get = [-1], [0], self.vocabulary.get
-        for j in range(1, len(data) + 1):
-            for i in range(max(0, j - self.longest), j):
-                token = get(data[i:j])
-                if token is not None and self.compatible(last[i], token):
-                    last.append(token)
-                    counts.append(counts[i] + 1)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        return counts[-1]
+        """Tokens of a piece. A state is (state one byte before, last token, tokens so far); states of prefixes are shared."""
+        states, k = self.states, len(data) - 1
+        while (state := states.get(data[:k])) is None:
+            k -= 1
+        endings, apart = self.endings, self.apart
+        for j in range(k + 1, len(data) + 1):
+            before, i = state, j
+            while before is not None:
+                i -= 1
+                token = endings.get(data[i:j])
+                if token is None:  # no token ends like this
+                    raise ValueError("the vocabulary lacks a byte")
+                if token >= 0:
+                    fits = apart.get((before[1], token))
+                    if self.compatible(before[1], token) if fits is None else fits:
+                        state = (state, token, before[2] + 1)
+                        break
+                before = before[0]
+            if j <= 48:
+                if len(states) >= self.room // 2:
+                    states.clear()
+                    states[b""] = (None, -1, 0)
+                states[data[:j]] = state
+        return state[2]
 
     def count(self, piece: str) -> int:
         if (n := self.counts.get(piece)) is None:
