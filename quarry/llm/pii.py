@@ -400,8 +400,9 @@ def masked(found: DataFrame, *, text: str = "text") -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), train(labelled_table(spark)))
     base = F.filter("pii", lambda s: s.base)
+    of = lambda kind: lambda s: s.kind == kind
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    counts = [F.size(F.filter(base, of(k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
