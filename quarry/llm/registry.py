@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import contamination, lines, mixing, neardup, passages, pii, preference, quality, tokens
+from quarry.llm import contamination, lines, mixing, neardup, neighbours, passages, pii, preference, quality, tokens
 
-MODULES = (preference, contamination, pii, passages, tokens, neardup, mixing, quality, lines)
+MODULES = (neighbours, contamination, pii, preference, passages, tokens, neardup, mixing, quality, lines)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
