@@ -1,6 +1,58 @@
-STAGES: list = []
+"""From raw documents to a training mix. Counts as part of quarry.llm.
+
+Each stage gets what the one before kept, as written and read again; all but the last return the columns of
+documents. Nulls: a null or empty text passes the classifier's decision on its statistics, has no lines, is linked with nothing,
+is hit by no benchmark item, and is not drawn by the mix, since it has no words.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm.common import table, written
+from quarry.llm.contamination import contamination
+from quarry.llm.lines import dedup_lines
+from quarry.llm.mixing import mix
+from quarry.llm.neardup import near_duplicates
+from quarry.llm.quality import classify, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose rating is good with a probability of at least one half."""
+    return classify(docs, train(docs, table(spark, sf_dir, "labels"))).filter("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeated lines; a document of which nothing is left goes."""
+    done = dedup_lines(docs).filter("n_lines_removed = 0 or trim(translate(text, '\n\r\t', '   ')) <> ''")
+    return done.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies."""
+    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return contamination(docs, table(spark, sf_dir, "benchmark")).filter("found.n_hit = 0").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws of the sources to temperature weights."""
+    return mix(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("decontaminate", decontaminate), ("mix", mixed)]
+
+#: The fitted classifier has no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
