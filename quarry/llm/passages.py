@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,7 +173,8 @@ def _anchors(size: int, buckets: int, shared):
 
 def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray] | None:
     """Blobs of ANCHORS or TEXTS as columns: document ids and keys of each fragment, then the fragment's columns."""
-    parts = [_unpack(b, kinds) for batch in batches for b in batch.column("blob").to_pylist()]
+    read = zstandard.decompress if kinds is TEXTS else bytes
+    parts = [_unpack(read(b), kinds) for batch in batches for b in batch.column("blob").to_pylist()]
     if not parts:
         return None
     docs = [[p[0][p[3]] for p in parts], [p[1][p[3]] for p in parts]]
@@ -218,6 +220,7 @@ def _texts(size: int, buckets: int):
                 sizes = runs[part].astype(np.int64) + size - 1
                 at = np.repeat(begin[owner[part]] + start[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 out.append((b, _pack([ids[some], keys[some], anchor[part], local.astype(np.uint32), start[part], runs[part], data[at]])))
+            out = [(b, zstandard.compress(x, 1)) for b, x in out]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
     return run
@@ -350,9 +353,11 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, bucket_bytes: int = 24 <<
     kinds = met.mapInArrow(_shared_or_copies, "doc_id long, key long, blob binary, whole boolean")
     places = written(kinds, "places")
     grouped = places.filter("not whole").groupBy("doc_id", "key").agg(F.collect_list("blob").alias("blobs")).withColumnsRenamed({"doc_id": "d", "key": "k"})
+    # fragments overlap: their bytes are several times those of the text
+    narrow = 4 * buckets
     both = known.join(grouped.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")))
-    bodies = both.select("doc_id", "key", "text", "blobs").mapInArrow(_texts(size, buckets), "bucket long, blob binary")
-    lost = written(bodies.repartition(buckets, "bucket").mapInArrow(_lost(size), "doc_id long, key long, blob binary"), "lost")
+    bodies = both.select("doc_id", "key", "text", "blobs").mapInArrow(_texts(size, narrow), "bucket long, blob binary")
+    lost = written(bodies.repartition(narrow, "bucket").mapInArrow(_lost(size), "doc_id long, key long, blob binary"), "lost")
     marks = lost.withColumn("whole", F.lit(False)).unionByName(places.filter("whole"))
     marks = marks.groupBy("doc_id", "key").agg(F.collect_list("blob").alias("blobs"), F.max("whole").alias("whole")).withColumnsRenamed({"doc_id": "d", "key": "k"})
     end = docs.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "blobs", F.coalesce("whole", F.lit(False)).alias("whole"))

@@ -1,10 +1,10 @@
 """Column-wise construction of the Burrows-Wheeler transform of a collection of short texts, with common prefixes.
 
-Round j inserts the suffix of length j of every text that is that long, one symbol per text. The state is three
-sequential files that each round reads once and writes anew: the transform (symbol before each suffix), the length
-of the common prefix with the suffix before it in the order, and the suffix itself (text and length). The place of a
-new suffix follows from the transform alone: symbols smaller than its own, plus equal ones before the place of the
-suffix it extends; its common prefixes are one more than the smallest between the neighbouring equal symbols.
+Round j inserts the suffix of length j of every text that is that long, one symbol per text. The state is two
+sequential files that each round reads once and writes anew: the transform (symbol before each suffix) and the length
+of the common prefix with the suffix before it in the order. The place of a new suffix follows from the transform
+alone: symbols smaller than its own, plus equal ones before the place of the suffix it extends; its common prefixes
+are one more than the smallest between the neighbouring equal symbols. Files below `SPILL` bytes stay in memory.
 """
 
 from __future__ import annotations
@@ -15,22 +15,29 @@ import tempfile
 import numpy as np
 
 CAP = 255
+SPILL = 64 << 20
 
 
 class Files:
-    """transform (uint16, 0: the text's beginning), prefix (uint8) and suffix (int64: text << 16 | length) on disk."""
+    """transform (symbols, 0: the text's beginning) and prefix (uint8), in memory while small, then on disk."""
 
-    NAMES = (("transform", np.uint16), ("prefix", np.uint8), ("suffix", np.int64))
-
-    def __init__(self, folder: str):
-        self.paths = [os.path.join(folder, name) for name, _ in self.NAMES]
+    def __init__(self, kind: type):
+        self.kinds, self.held, self.folder = (kind, np.uint8), None, None
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(p, kind) for p, (_, kind) in zip(self.paths, self.NAMES, strict=True)]
+        return self.held or [np.fromfile(os.path.join(self.folder.name, str(i)), k) for i, k in enumerate(self.kinds)]
 
     def write(self, *columns: np.ndarray) -> None:
-        for p, (_, kind), column in zip(self.paths, self.NAMES, columns, strict=True):
-            column.astype(kind, copy=False).tofile(p)
+        if sum(c.nbytes for c in columns) <= SPILL:
+            self.held = list(columns)
+            return
+        self.held, self.folder = None, self.folder or tempfile.TemporaryDirectory(prefix="suffixes-")
+        for i, c in enumerate(columns):
+            c.tofile(os.path.join(self.folder.name, str(i)))
+
+    def close(self) -> None:
+        if self.folder:
+            self.folder.cleanup()
 
 
 def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,59 +46,65 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
     data: bytes; text i is data[starts[i]:starts[i] + sizes[i]]; a suffix that is a prefix of another comes first,
     equal suffixes come in the order of texts.
     """
-    m = len(starts)
-    with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
-        files = Files(folder)
-
-        def symbol(texts: np.ndarray, length: int) -> np.ndarray:
-            """What stands before the suffix of a length, as 1 + byte; 0 at the beginning."""
-            at = sizes[texts] - length - 1
-            return np.where(at >= 0, data[np.maximum(starts[texts] + at, 0)].astype(np.int64) + 1, 0)
-
-        texts = np.arange(m)
-        files.write(symbol(texts, 0), np.zeros(m), texts.astype(np.int64) << 16)
-        places = np.arange(m)  # of the suffixes inserted last, by text
-        length = 0
+    m, used = len(starts), np.flatnonzero(np.bincount(data, minlength=256)) if len(data) else np.zeros(0, int)
+    kind = np.uint8 if len(used) < 256 else np.uint16
+    code = np.zeros(256, kind)
+    code[used] = np.arange(1, len(used) + 1)
+
+    def symbol(texts: np.ndarray, length: int) -> np.ndarray:
+        """What stands before the suffix of a length; 0 at the beginning."""
+        at = sizes[texts] - length - 1
+        return np.where(at >= 0, code[data[np.maximum(starts[texts] + at, 0)]], 0).astype(kind)
+
+    files, texts, place, length = Files(kind), np.arange(m), np.arange(m), 0
+    try:
+        files.write(symbol(texts, 0), np.zeros(m, np.uint8))
         while True:
-            alive = texts[sizes[texts] > length]
-            if not len(alive):
+            alive = sizes[texts] > length
+            texts, place = texts[alive], place[alive]
+            if not len(texts):
                 break
-            transform, prefix, suffix = files.read()
-            n = len(transform)
-            order = np.argsort(transform, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.arange(n)
-            done = int((transform == 0).sum())
-            place = places[alive]
-            r = rank[place]
+            transform, prefix = files.read()
+            order, rank, done = _columns(transform)
+            n, r = len(transform), rank[place]
             # m empty suffixes lead; texts that are complete have no further suffix
             new = m + r - done
             own = transform[place]
-            before = np.where((r > 0) & (transform[order[r - 1]] == own), order[r - 1], -1)
-            after_r = np.minimum(r + 1, n - 1)
-            after = np.where((r + 1 < n) & (transform[order[after_r]] == own), order[after_r], -1)
-            up = 1 + _least(prefix, before + 1, place + 1)
-            down = 1 + _least(prefix, place + 1, np.where(after < 0, place, after) + 1)
-            up, down = np.where(before < 0, 0, up), np.where(after < 0, 0, down)
-            total = n + len(alive)
-            is_new = np.zeros(total, bool)
-            is_new[new] = True
-            out = [np.empty(total, k) for _, k in Files.NAMES]
-            for column, old in zip(out, (transform, prefix, suffix), strict=True):
-                column[~is_new] = old
-            out[0][new] = symbol(alive, length + 1)
-            out[2][new] = (alive.astype(np.int64) << 16) | (length + 1)
-            # what follows a new suffix shares with it `down`; where that is new itself, its own `up` says the same
-            follows = new + 1
-            inside = follows < total
-            out[1][follows[inside]] = np.minimum(down[inside], CAP)
+            earlier, later = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
+            up = np.where((r > 0) & (transform[earlier] == own), 1 + _least(prefix, np.minimum(earlier + 1, place + 1), place + 1), 0)
+            down = np.where((r + 1 < n) & (transform[later] == own), 1 + _least(prefix, place + 1, np.maximum(later, place) + 1), 0)
+            total = n + len(texts)
+            old = np.ones(total, bool)
+            old[new] = False
+            out = [np.empty(total, kind), np.empty(total, np.uint8)]
+            out[0][old], out[1][old] = transform, prefix
+            out[0][new] = symbol(texts, length + 1)
+            # what follows a new suffix shares `down` with it; where that is new itself, its own `up` says the same
+            inside = new + 1 < total
+            out[1][new[inside] + 1] = np.minimum(down[inside], CAP)
             out[1][new] = np.minimum(up, CAP)
             files.write(*out)
-            places[alive] = new
-            texts = alive
-            length += 1
-        _, prefix, suffix = files.read()
-    return suffix >> 16, suffix & 0xFFFF, prefix
+            place, length = new, length + 1
+        transform, prefix = files.read()
+    finally:
+        files.close()
+    # rows of a text's suffixes, from the empty one on, by the last transform
+    order, rank, done = _columns(transform)
+    number, lengths = np.empty(len(transform), np.int64), np.empty(len(transform), np.int64)
+    row, texts, length = np.arange(m), np.arange(m), 0
+    while len(texts):
+        number[row], lengths[row] = texts, length
+        more = sizes[texts] > length
+        row, texts, length = m + rank[row[more]] - done, texts[more], length + 1
+    return number, lengths, prefix
+
+
+def _columns(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places by symbol, each place's rank in that order, and how many texts are complete."""
+    order = np.argsort(transform, kind="stable")
+    rank = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+    rank[order] = np.arange(len(order), dtype=rank.dtype)
+    return order, rank, int(np.count_nonzero(transform == 0))
 
 
 def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -102,6 +115,5 @@ def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
         by = some[np.argsort(start[some], kind="stable")]
         bounds = np.empty(2 * len(by), np.int64)
         bounds[::2], bounds[1::2] = start[by], end[by]
-        padded = np.append(values, 0)
-        out[by] = np.minimum.reduceat(padded, bounds)[::2]
+        out[by] = np.minimum.reduceat(np.append(values, 0), bounds)[::2]
     return out
