@@ -173,7 +173,7 @@ def _anchors(size: int, buckets: int, shared):
 
 def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray] | None:
     """Blobs of ANCHORS or TEXTS as columns: document ids and keys of each fragment, then the fragment's columns."""
-    read = zstandard.decompress if kinds is TEXTS else bytes
+    read = zstandard.decompress if kinds == TEXTS else bytes
     parts = [_unpack(read(b), kinds) for batch in batches for b in batch.column("blob").to_pylist()]
     if not parts:
         return None
