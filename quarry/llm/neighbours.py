@@ -4,8 +4,8 @@ Vectors that are equal are searched once: a class keeps its k + 1 smallest ids,
 An index holds coarse centroids (k-means) and codebooks of residuals (k-means in each of `parts` sub-spaces), fitted on
 the driver on a bounded sample: the `max_sample` (16,384) classes with the smallest hash. Every class is indexed: nearest
 centroid, and one byte for each part. A query visits lists in order of centroid distance; asymmetric distance tables
-(query residual against codebooks) rank the codes of a list; the `rerank` best of all its lists are measured in
-double precision on the original vectors. How many lists a query visits is calibrated on held-out sample queries
+(query residual against codebooks) rank the codes of a list; those farther than the query's nearest in the sample are
+passed over, and the `rerank` best of all its lists are measured in double precision on the original vectors. How many lists a query visits is calibrated on held-out sample queries
 against brute force in the sample, so that recall reaches `recall` (0.97) there; data without cluster structure
 needs a large share of the lists.
 
@@ -59,12 +59,27 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Centroids, codebooks (parts x codes x width), and how many lists and codes a query looks at."""
+    """Centroids, codebooks (parts x codes x width), how many lists and codes a query looks at, and the sample with
+    what codes may overrate its distances by."""
 
     centres: np.ndarray
     books: np.ndarray
     probes: int
     rerank: int
+    sample: np.ndarray
+    slack: float
+
+    def limits(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Squared distance beyond which a code can't be among a query's k nearest: the k + 1 nearest of the sample are
+        nearer (one may be the query itself), by as much as codes err."""
+        if len(self.sample) <= k:
+            return np.full(len(q), np.inf)
+        far = [np.partition(squared(q[i:i + 512], self.sample), k, axis=1)[:, k] for i in range(0, len(q), 512)]
+        return np.maximum(np.concatenate(far), 0) + self.slack
+
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        rest = np.concatenate([b[codes[:, p]] for p, b in enumerate(self.books)], axis=1)
+        return self.centres[lists] + rest
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = nearest(x, self.centres)
@@ -90,13 +105,15 @@ def fit(x: np.ndarray, n_rows: int, *, k: int, parts: int = 16, codes: int = 256
     centres = k_means(x, lists, 12, seed)
     rest = (x - centres[nearest(x, centres)]).reshape(len(x), parts, -1)
     books = np.stack([_filled(k_means(rest[:, p], codes, 8, seed + p), codes) for p in range(parts)])
-    index = Index(centres, books, len(centres), 40 * k)
+    index = Index(centres, books, len(centres), 40 * k, x.astype(np.float32), 0.0)
     # calibration: which lists hold the true neighbours of 256 sample queries
     q = np.arange(min(256, len(x)))
     near = squared(x[q], x)
     near[q, q] = np.inf
     true = np.argsort(near, axis=1)[:, :min(k, max(1, len(x) - 1))]
-    of = nearest(x, centres)
+    of, seen = index.encode(x)
+    error = ((x[q][:, None] - index.decoded(of, seen)[true]) ** 2).sum(2) - np.take_along_axis(near, true, 1)
+    index.slack = 1.5 * max(0.0, float(np.quantile(error, 0.995))) if error.size else 0.0
     rank = np.argsort(np.argsort(squared(x[q], centres), axis=1, kind="stable"), axis=1)
     needed = np.sort(rank[q[:, None], of[true]].ravel())
     index.probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else 1
@@ -129,13 +146,13 @@ def _encoder(shared, dim: int):
     return run
 
 
-def _router(shared, dim: int):
+def _router(shared, dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             if batch.num_rows:
-                lists = index.visited(_matrix(batch.column(1), dim))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["query_id", "q", "lists"])
+                q = _matrix(batch.column(1), dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index.limits(q, k)), pa.array(index.visited(q).tolist(), pa.list_(pa.int32()))], ["query_id", "q", "most", "lists"])
 
     return run
 
@@ -149,14 +166,16 @@ def _searcher(shared, dim: int):
         out_q, out_c, out_d = [], [], []
         if codes.num_rows and asked.num_rows:
             c = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(codes.num_rows, -1)
-            ids, queries = codes.column("class").to_numpy(), asked.column("query_id").to_numpy()
+            ids, queries, most = codes.column("class").to_numpy(), asked.column("query_id").to_numpy(), asked.column("most").to_numpy()
             q = _matrix(asked.column("q"), dim)
             lut = index.tables(q, index.centres[key[0].as_py()])
             for i in range(len(q)):
                 d = lut[i, 0].take(c[:, 0])
                 for p in range(1, c.shape[1]):
                     d = d + lut[i, p].take(c[:, p])
-                best = np.argpartition(d, index.rerank - 1)[:index.rerank] if len(d) > index.rerank else np.arange(len(d))
+                best = np.flatnonzero(d <= most[i])
+                if len(best) > index.rerank:
+                    best = best[np.argpartition(d[best], index.rerank - 1)[:index.rerank]]
                 out_q.append(np.full(len(best), queries[i]))
                 out_c.append(ids[best])
                 out_d.append(d[best])
@@ -188,11 +207,11 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, max_sample: i
     blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
     dealt = coded.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     asked = rows(queries).filter(F.size("v") == dim).select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
-    routed = asked.mapInArrow(_router(shared, dim), "query_id long, q array<double>, lists array<int>").select("query_id", "q", F.explode("lists").alias("list"))
+    routed = asked.mapInArrow(_router(shared, dim, k), "query_id long, q array<double>, most double, lists array<int>").select("query_id", "q", "most", F.explode("lists").alias("list"))
     routed = routed.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     none = {"class": F.lit(None).cast("long"), "code": F.lit(None).cast("binary")}
-    questions = routed.select("list", "block", "query_id", "q").withColumns(none)
-    answers = dealt.select("list", "block", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q"), "class", "code")
+    questions = routed.select("list", "block", "query_id", "q", "most").withColumns(none)
+    answers = dealt.select("list", "block", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("double").alias("most"), "class", "code")
     near = questions.unionByName(answers).groupBy("list", "block").applyInArrow(_searcher(shared, dim), "query_id long, class long, near double")
     best = W.partitionBy("query_id").orderBy("near", "class")
     near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= index.rerank).select("query_id", "class")
