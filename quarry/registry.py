@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, ledger
+from quarry.plans import corpus, ledger, retrieval
 
-MODULES = (ledger, corpus)
+MODULES = (ledger, corpus, retrieval)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
