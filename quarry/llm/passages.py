@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import partitions_for, small_batches, table, written
-from quarry.llm.suffixes import sorted_suffixes
+from quarry.llm.suffixes import sorted_suffixes, symbols
 
 PIECE = 16
 MOST = 40  # windows of a fragment
@@ -118,6 +118,8 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 ANCHORS = (np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint8)
 # anchor, start, windows
 PLACES = (np.uint64, np.uint32, np.uint8)
+# start, end
+LOST = (np.uint32, np.uint32)
 # as ANCHORS, and the bytes of all fragments
 TEXTS = (*ANCHORS, np.uint8)
 
@@ -182,36 +184,81 @@ def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarra
     return [np.concatenate(x) for x in (*docs, *rest)]
 
 
-def _by_document(ids: np.ndarray, keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A row (doc_id, key, blob of columns) for each document."""
+def _by_document(ids: np.ndarray, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """(doc_id, key, blob of columns) for each document."""
     order = np.lexsort((keys, ids))
     ids, keys, columns = ids[order], keys[order], [c[order] for c in columns]
     cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(keys) != 0)) + 1
     starts, ends = np.append(0, cuts)[:len(ids)], np.append(cuts, len(ids))[:len(cuts) + bool(len(ids))]
-    blobs = [_pack([c[a:b] for c in columns]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(keys[starts]), pa.array(blobs, pa.binary())], ["doc_id", "key", "blob"])
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        yield int(ids[a]), int(keys[a]), _pack([c[a:b] for c in columns])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments whose anchor two documents have."""
-    if (all_of := _gathered(batches, ANCHORS)) is None:
-        return
-    ids, keys, anchor, start, runs = all_of
-    order = np.argsort(anchor, kind="stable")
-    cuts = np.append(0, np.flatnonzero(np.diff(anchor[order])) + 1)
-    low, high = np.minimum.reduceat(ids[order], cuts), np.maximum.reduceat(ids[order], cuts)
-    some = order[np.repeat(low < high, np.diff(np.append(cuts, len(order))))]
-    yield _by_document(ids[some], keys[some], [anchor[some], start[some], runs[some]])
+def _homes(ids: np.ndarray, keys: np.ndarray, columns: list[np.ndarray], homes: int) -> pa.RecordBatch:
+    """(home, blob): rows for many documents packed by where their documents will be gathered."""
+    out = []
+    for home, part in _by_bucket(_bucket(ids.view(np.uint64), homes)):
+        out.append((home, zstandard.compress(_pack([ids[part], keys[part], *(c[part] for c in columns)]), 1)))
+    return pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["home", "blob"])
+
+
+def _gather(kinds: tuple):
+    """Blobs of _homes to (doc_id, key, blob of columns), a row for each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpack(zstandard.decompress(b), (np.int64, np.int64, *kinds)) for batch in batches for b in batch.column("blob").to_pylist()]
+        if parts:
+            ids, keys, *columns = (np.concatenate([p[i] for p in parts]) for i in range(2 + len(kinds)))
+            rows: list = []
+            for row in _by_document(ids, keys, columns):
+                rows.append(row)
+                if len(rows) == 4096:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
+
+    return run
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    d, k, blobs = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(blobs, pa.binary())], ["d", "k", "blob"])
+
+
+def _shared(homes: int):
+    """Blobs of ANCHORS to blobs by home: fragments whose anchor two documents have (kind 0); copies go on (kind 1)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            whole = np.array(batch.column("bucket")) < 0
+            for blob in batch.filter(pa.array(whole)).column("blob").to_pylist():
+                d, k, _ = _unpack(blob, (np.int64,) * 3)
+                yield _kind(_homes(d, k, [np.zeros(len(d), np.uint8)], homes), 1)
+            parts.append(batch.filter(pa.array(~whole)))
+        if (all_of := _gathered(iter(parts), ANCHORS)) is None:
+            return
+        ids, keys, anchor, start, runs = all_of
+        order = np.argsort(anchor, kind="stable")
+        cuts = np.append(0, np.flatnonzero(np.diff(anchor[order])) + 1)
+        low, high = np.minimum.reduceat(ids[order], cuts), np.maximum.reduceat(ids[order], cuts)
+        some = order[np.repeat(low < high, np.diff(np.append(cuts, len(order))))]
+        yield _kind(_homes(ids[some], keys[some], [anchor[some], start[some], runs[some]], homes), 0)
+
+    return run
+
+
+def _kind(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([kind] * batch.num_rows, pa.int32())], ["home", "blob", "kind"])
 
 
 def _texts(size: int, buckets: int):
-    """(doc_id, key, text, blobs of PLACES) to (bucket, blob of TEXTS)."""
+    """(doc_id, key, text, blob of PLACES) to (bucket, blob of TEXTS)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, texts, places = (batch.column(i).to_pylist() for i in range(4))
             data, ends = _joined([t.encode("utf-8", "surrogatepass") for t in texts])
             begin = np.append(0, ends[:-1])
-            found = [(_unpack(b, PLACES), i) for i, p in enumerate(places) for b in p]
+            found = [(_unpack(b, PLACES), i) for i, b in enumerate(places)]
             anchor, start, runs = (np.concatenate([f[k] for f, _ in found]) for k in range(3))
             owner = np.repeat(np.array([i for _, i in found]), [len(f[0]) for f, _ in found])
             ids, keys, out = np.array(ids, np.int64), np.array(keys, np.int64), []
@@ -226,7 +273,7 @@ def _texts(size: int, buckets: int):
     return run
 
 
-def owners(ids: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarray, size: int, block: int = 1 << 20) -> np.ndarray:
+def owners(ids: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarray, size: int, block: int = 1 << 18) -> np.ndarray:
     """For each window of each fragment, in order, the smallest document that has it."""
     sizes = runs.astype(np.int64) + size - 1
     starts = np.cumsum(sizes) - sizes
@@ -246,6 +293,7 @@ def owners(ids: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarr
     a = anchor[first][order]
     groups = np.split(order, np.flatnonzero(np.diff(a)) + 1)
     held: list[np.ndarray] = []
+    used = symbols(data)
     room = 0
     for k, g in enumerate(groups):
         if len(g) > 1:  # a text alone with its anchor shares windows with itself only
@@ -253,16 +301,16 @@ def owners(ids: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarr
             room += int(sizes[first[g]].sum())
         if held and (room >= block or k == len(groups) - 1):
             texts = np.concatenate(held)
-            _resolve(texts, data, starts[first], sizes[first], base, own, least, size)
+            _resolve(texts, data, starts[first], sizes[first], base, own, least, size, used)
             held, room = [], 0
     if held:
-        _resolve(np.concatenate(held), data, starts[first], sizes[first], base, own, least, size)
+        _resolve(np.concatenate(held), data, starts[first], sizes[first], base, own, least, size, used)
     total = runs.astype(np.int64)
     return own[np.repeat(base[text] - (np.cumsum(total) - total), total) + np.arange(total.sum())]
 
 
-def _resolve(texts: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.ndarray, own: np.ndarray, least: np.ndarray, size: int) -> None:
-    number, length, prefix = sorted_suffixes(data, starts[texts], sizes[texts])
+def _resolve(texts: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.ndarray, own: np.ndarray, least: np.ndarray, size: int, used: np.ndarray) -> None:
+    number, length, prefix = sorted_suffixes(data, starts[texts], sizes[texts], used)
     runs = np.cumsum(prefix < size)
     windows = length >= size
     t, length, runs = texts[number[windows]], length[windows], runs[windows]
@@ -273,8 +321,8 @@ def _resolve(texts: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.
     own[base[t] + sizes[t] - length] = best
 
 
-def _lost(size: int):
-    """Blobs of TEXTS to (doc_id, key, blob of start, end): runs of windows owned by a smaller document."""
+def _lost(size: int, homes: int):
+    """Blobs of TEXTS to blobs by home of LOST: runs of windows owned by a smaller document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (all_of := _gathered(batches, TEXTS)) is None:
             return
@@ -293,22 +341,20 @@ def _lost(size: int):
         a, b = np.flatnonzero(begin), np.flatnonzero(end)
         f = fragment[a]
         if len(f):
-            yield _by_document(ids[f], keys[f], [(start[f] + inside[a]).astype(np.uint32), (start[f] + inside[b] + size).astype(np.uint32)])
+            yield _homes(ids[f], keys[f], [(start[f] + inside[a]).astype(np.uint32), (start[f] + inside[b] + size).astype(np.uint32)], homes)
 
     return run
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, lost blobs, whole) to the result's columns and the remaining bytes."""
+    """(doc_id, text, blob of LOST, whole) to the result's columns and the remaining bytes."""
     for batch in batches:
         rows = []
-        for d, t, blobs, whole in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for d, t, blob, whole in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             data = (t or "").encode("utf-8", "surrogatepass")
             spans = [(0, len(data))] if whole else []
-            if blobs and not whole:
-                parts = [_unpack(b, (np.uint32, np.uint32)) for b in blobs]
-                pairs = sorted(zip(np.concatenate([p[0] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist(), strict=True))
-                for a, b in pairs:
+            if blob and not whole:
+                for a, b in sorted(zip(*(x.tolist() for x in _unpack(blob, LOST)), strict=True)):
                     if spans and a <= spans[-1][1]:
                         spans[-1] = (spans[-1][0], max(spans[-1][1], b))
                     else:
@@ -349,33 +395,21 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, bucket_bytes: int = 24 <<
     hot = spark.sparkContext.broadcast(common_pieces(known, n_docs))
     first = known.select("doc_id", "key", "text").mapInArrow(_anchors(size, buckets, hot), "bucket long, blob binary")
     # copies found at once go on beside the buckets
-    met = first.repartition(buckets, "bucket")
-    kinds = met.mapInArrow(_shared_or_copies, "doc_id long, key long, blob binary, whole boolean")
-    places = written(kinds, "places")
-    grouped = places.filter("not whole").groupBy("doc_id", "key").agg(F.collect_list("blob").alias("blobs")).withColumnsRenamed({"doc_id": "d", "key": "k"})
+    places = written(first.repartition(buckets, "bucket").mapInArrow(_shared(buckets), "home long, blob binary, kind int"), "places")
+    row = "d long, k long, blob binary"
+    spots = places.filter("kind = 0").select("home", "blob").repartition(buckets, "home").mapInArrow(_gather(PLACES), row)
+    same = (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))
     # fragments overlap: their bytes are several times those of the text
     narrow = 4 * buckets
-    both = known.join(grouped.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")))
-    bodies = both.select("doc_id", "key", "text", "blobs").mapInArrow(_texts(size, narrow), "bucket long, blob binary")
-    lost = written(bodies.repartition(narrow, "bucket").mapInArrow(_lost(size), "doc_id long, key long, blob binary"), "lost")
-    marks = lost.withColumn("whole", F.lit(False)).unionByName(places.filter("whole"))
-    marks = marks.groupBy("doc_id", "key").agg(F.collect_list("blob").alias("blobs"), F.max("whole").alias("whole")).withColumnsRenamed({"doc_id": "d", "key": "k"})
-    end = docs.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "blobs", F.coalesce("whole", F.lit(False)).alias("whole"))
+    bodies = known.join(spots.hint("shuffle_hash"), same).select("doc_id", "key", "text", "blob").mapInArrow(_texts(size, narrow), "bucket long, blob binary")
+    lost = written(bodies.repartition(narrow, "bucket").mapInArrow(_lost(size, buckets), "home long, blob binary"), "lost")
+    marks = lost.repartition(buckets, "home").mapInArrow(_gather(LOST), row).withColumn("whole", F.lit(False))
+    copies = places.filter("kind = 1").select("home", "blob").repartition(buckets, "home").mapInArrow(_gather((np.uint8,)), row).withColumn("whole", F.lit(True))
+    marks = marks.join(copies.select("d", "k"), ["d", "k"], "left_anti").unionByName(copies)
+    end = docs.join(marks.hint("shuffle_hash"), same, "left").select("doc_id", "text", "blob", F.coalesce("whole", F.lit(False)).alias("whole"))
     return end.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def _shared_or_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rest = []
-    for batch in batches:
-        whole = np.array(batch.column("bucket")) < 0
-        for blob in batch.filter(pa.array(whole)).column("blob").to_pylist():
-            d, k, _ = _unpack(blob, (np.int64,) * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array([b""] * len(d), pa.binary()), pa.array([True] * len(d))], ["doc_id", "key", "blob", "whole"])
-        rest.append(batch.filter(pa.array(~whole)))
-    for out in _shared(iter(rest)):
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array([False] * out.num_rows)], ["doc_id", "key", "blob", "whole"])
-
-
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

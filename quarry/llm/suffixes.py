@@ -40,13 +40,18 @@ class Files:
             self.folder.cleanup()
 
 
-def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def symbols(data: np.ndarray) -> np.ndarray:
+    """Which bytes there are."""
+    return np.flatnonzero(np.bincount(data, minlength=256)) if len(data) else np.zeros(0, int)
+
+
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, length, and common prefix (CAP at most) with the one before, of all suffixes in sorted order.
 
     data: bytes; text i is data[starts[i]:starts[i] + sizes[i]]; a suffix that is a prefix of another comes first,
-    equal suffixes come in the order of texts.
+    equal suffixes come in the order of texts. used: symbols(data), where it is known.
     """
-    m, used = len(starts), np.flatnonzero(np.bincount(data, minlength=256)) if len(data) else np.zeros(0, int)
+    m, used = len(starts), symbols(data) if used is None else used
     kind = np.uint8 if len(used) < 256 else np.uint16
     code = np.zeros(256, kind)
     code[used] = np.arange(1, len(used) + 1)
@@ -84,7 +89,9 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
             out[1][new[inside] + 1] = np.minimum(down[inside], CAP)
             out[1][new] = np.minimum(up, CAP)
             files.write(*out)
-            place, length = new, length + 1
+            # in the order of places, which is that of symbols and then of the places before
+            turn = np.argsort(own, kind="stable")
+            texts, place, length = texts[turn], new[turn], length + 1
         transform, prefix = files.read()
     finally:
         files.close()
@@ -108,12 +115,8 @@ def _columns(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """min(values[start:end]) for each pair; 0 where it is empty."""
-    out = np.zeros(len(start), np.int64)
-    some = np.flatnonzero(end > start)
-    if len(some):
-        by = some[np.argsort(start[some], kind="stable")]
-        bounds = np.empty(2 * len(by), np.int64)
-        bounds[::2], bounds[1::2] = start[by], end[by]
-        out[by] = np.minimum.reduceat(np.append(values, 0), bounds)[::2]
-    return out
+    """min(values[start:end]) for each pair, nothing of use where it is empty; pairs about in order, so that what lies
+    between them, which is reduced too, adds up to the length of values."""
+    bounds = np.empty(2 * len(start), np.int64)
+    bounds[::2], bounds[1::2] = start, end
+    return np.minimum.reduceat(np.append(values, 0), bounds)[::2].astype(np.int64)
