@@ -103,27 +103,43 @@ def fragments(data: np.ndarray, ends: np.ndarray, size: int, hot: Hot) -> tuple[
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
-    return struct.pack(f"<{len(arrays)}I", *map(len, arrays)) + b"".join(a.tobytes() for a in arrays)
+    """Arrays as one compressed blob; numbers of 32 bits, most of them rising places, by their differences."""
+    parts = [np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint32 else a for a in arrays]
+    return zstandard.compress(struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(p.tobytes() for p in parts), 1)
 
 
 def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
-    sizes, at, out = struct.unpack_from(f"<{len(kinds)}I", blob), 4 * len(kinds), []
+    raw = zstandard.decompress(blob)
+    sizes, at, out = struct.unpack_from(f"<{len(kinds)}I", raw), 4 * len(kinds), []
     for n, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(blob, kind, n, at))
+        a = np.frombuffer(raw, kind, n, at)
+        out.append(np.cumsum(a, dtype=np.uint32) if kind is np.uint32 else a)
         at += n * np.dtype(kind).itemsize
     return out
 
 
+# Anchors travel as 32 bits beside the bucket they belong to; those that fall together there are told apart by their bytes.
 # doc_id and text key of the documents of a blob; anchor, document, start and windows of its fragments.
-ANCHORS = (np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint8)
+ANCHORS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
 # anchor, start, windows
-PLACES = (np.uint64, np.uint32, np.uint8)
+PLACES = (np.uint32, np.uint32, np.uint8)
 # start, end
 LOST = (np.uint32, np.uint32)
 # as ANCHORS, and the bytes of all fragments
 TEXTS = (*ANCHORS, np.uint8)
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, text) with compressed texts, for the way through a shuffle."""
+    for batch in batches:
+        texts = [None if t is None else zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "key", "text"])
+
+
+def _unzipped(text: bytes | None) -> bytes:
+    return zstandard.decompress(text) if text else b""
+
+
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
 
@@ -136,7 +152,7 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchor * _M2 >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    return ((anchor.astype(np.uint64) * _M2 >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _anchors(size: int, buckets: int, shared):
@@ -167,7 +183,7 @@ def _anchors(size: int, buckets: int, shared):
                 ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
                 for b, part in _by_bucket(_bucket(anchor, buckets)):
                     some, local = np.unique(owner[part], return_inverse=True)
-                    out.append((b, _pack([ids[some], keys[some], anchor[part], local.astype(np.uint32), start[part].astype(np.uint32), runs[part].astype(np.uint8)])))
+                    out.append((b, _pack([ids[some], keys[some], anchor[part].astype(np.uint32), local.astype(np.uint32), start[part].astype(np.uint32), runs[part].astype(np.uint8)])))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
     return run
@@ -175,8 +191,7 @@ def _anchors(size: int, buckets: int, shared):
 
 def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray] | None:
     """Blobs of ANCHORS or TEXTS as columns: document ids and keys of each fragment, then the fragment's columns."""
-    read = zstandard.decompress if kinds == TEXTS else bytes
-    parts = [_unpack(read(b), kinds) for batch in batches for b in batch.column("blob").to_pylist()]
+    parts = [_unpack(b, kinds) for batch in batches for b in batch.column("blob").to_pylist()]
     if not parts:
         return None
     docs = [[p[0][p[3]] for p in parts], [p[1][p[3]] for p in parts]]
@@ -198,14 +213,14 @@ def _homes(ids: np.ndarray, keys: np.ndarray, columns: list[np.ndarray], homes:
     """(home, blob): rows for many documents packed by where their documents will be gathered."""
     out = []
     for home, part in _by_bucket(_bucket(ids.view(np.uint64), homes)):
-        out.append((home, zstandard.compress(_pack([ids[part], keys[part], *(c[part] for c in columns)]), 1)))
+        out.append((home, _pack([ids[part], keys[part], *(c[part] for c in columns)])))
     return pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["home", "blob"])
 
 
 def _gather(kinds: tuple):
     """Blobs of _homes to (doc_id, key, blob of columns), a row for each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(zstandard.decompress(b), (np.int64, np.int64, *kinds)) for batch in batches for b in batch.column("blob").to_pylist()]
+        parts = [_unpack(b, (np.int64, np.int64, *kinds)) for batch in batches for b in batch.column("blob").to_pylist()]
         if parts:
             ids, keys, *columns = (np.concatenate([p[i] for p in parts]) for i in range(2 + len(kinds)))
             rows: list = []
@@ -256,7 +271,7 @@ def _texts(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, texts, places = (batch.column(i).to_pylist() for i in range(4))
-            data, ends = _joined([t.encode("utf-8", "surrogatepass") for t in texts])
+            data, ends = _joined([_unzipped(t) for t in texts])
             begin = np.append(0, ends[:-1])
             found = [(_unpack(b, PLACES), i) for i, b in enumerate(places)]
             anchor, start, runs = (np.concatenate([f[k] for f, _ in found]) for k in range(3))
@@ -267,7 +282,6 @@ def _texts(size: int, buckets: int):
                 sizes = runs[part].astype(np.int64) + size - 1
                 at = np.repeat(begin[owner[part]] + start[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 out.append((b, _pack([ids[some], keys[some], anchor[part], local.astype(np.uint32), start[part], runs[part], data[at]])))
-            out = [(b, zstandard.compress(x, 1)) for b, x in out]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
     return run
@@ -351,7 +365,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for d, t, blob, whole in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            data = (t or "").encode("utf-8", "surrogatepass")
+            data = _unzipped(t)
             spans = [(0, len(data))] if whole else []
             if blob and not whole:
                 for a, b in sorted(zip(*(x.tolist() for x in _unpack(blob, LOST)), strict=True)):
@@ -401,12 +415,14 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, bucket_bytes: int = 24 <<
     same = (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))
     # fragments overlap: their bytes are several times those of the text
     narrow = 4 * buckets
-    bodies = known.join(spots.hint("shuffle_hash"), same).select("doc_id", "key", "text", "blob").mapInArrow(_texts(size, narrow), "bucket long, blob binary")
+    zipped = "doc_id long, key long, text binary"
+    packed = known.select("doc_id", "key", "text").mapInArrow(_zipped, zipped)
+    bodies = packed.join(spots.hint("shuffle_hash"), same).select("doc_id", "key", "text", "blob").mapInArrow(_texts(size, narrow), "bucket long, blob binary")
     lost = written(bodies.repartition(narrow, "bucket").mapInArrow(_lost(size, buckets), "home long, blob binary"), "lost")
     marks = lost.repartition(buckets, "home").mapInArrow(_gather(LOST), row).withColumn("whole", F.lit(False))
     copies = places.filter("kind = 1").select("home", "blob").repartition(buckets, "home").mapInArrow(_gather((np.uint8,)), row).withColumn("whole", F.lit(True))
     marks = marks.join(copies.select("d", "k"), ["d", "k"], "left_anti").unionByName(copies)
-    end = docs.join(marks.hint("shuffle_hash"), same, "left").select("doc_id", "text", "blob", F.coalesce("whole", F.lit(False)).alias("whole"))
+    end = docs.select("doc_id", "key", "text").mapInArrow(_zipped, zipped).join(marks.hint("shuffle_hash"), same, "left").select("doc_id", "text", "blob", F.coalesce("whole", F.lit(False)).alias("whole"))
     return end.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
