@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, ledger, metrics, retrieval
+from quarry.plans import corpus, evidence, ledger, metrics, retrieval
 
-MODULES = (ledger, corpus, retrieval, metrics)
+MODULES = (ledger, corpus, retrieval, metrics, evidence)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
