@@ -319,8 +319,9 @@ def owners(ids: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarr
             held, room = [], 0
     if held:
         _resolve(np.concatenate(held), data, starts[first], sizes[first], base, own, least, size, used)
+    del number, bodies, raw
     total = runs.astype(np.int64)
-    return own[np.repeat(base[text] - (np.cumsum(total) - total), total) + np.arange(total.sum())]
+    return own[np.repeat((base[text] - (np.cumsum(total) - total)).astype(np.int32), total) + np.arange(total.sum(), dtype=np.int32)]
 
 
 def _resolve(texts: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.ndarray, own: np.ndarray, least: np.ndarray, size: int, used: np.ndarray) -> None:
@@ -345,8 +346,8 @@ def _lost(size: int, homes: int):
             return
         own = owners(ids, anchor, runs, data, size)
         total = runs.astype(np.int64)
-        fragment = np.repeat(np.arange(len(ids)), total)
-        inside = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        fragment = np.repeat(np.arange(len(ids), dtype=np.int32), total)
+        inside = np.arange(total.sum(), dtype=np.int32) - np.repeat((np.cumsum(total) - total).astype(np.int32), total)
         gone = own < ids[fragment]
         begin = gone.copy()
         begin[1:] &= ~gone[:-1] | (fragment[1:] != fragment[:-1])
@@ -414,7 +415,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, bucket_bytes: int = 24 <<
     spots = places.filter("kind = 0").select("home", "blob").repartition(buckets, "home").mapInArrow(_gather(PLACES), row)
     same = (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))
     # fragments overlap: their bytes are several times those of the text
-    narrow = 4 * buckets
+    narrow = 8 * buckets
     zipped = "doc_id long, key long, text binary"
     packed = known.select("doc_id", "key", "text").mapInArrow(_zipped, zipped)
     bodies = packed.join(spots.hint("shuffle_hash"), same).select("doc_id", "key", "text", "blob").mapInArrow(_texts(size, narrow), "bucket long, blob binary")
