@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nfkd(text: str) -> str:
@@ -14,7 +15,7 @@ def nfkd(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c)).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_fold(x: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, case folded."""
     return x.map(nfkd, na_action="ignore")
@@ -34,12 +35,12 @@ def osa(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in longest common blocks, recursively; depends on the order of its arguments."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

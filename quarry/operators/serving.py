@@ -1,0 +1,197 @@
+"""Serving-side data semantics: routing, faceted allocation, history bounds, help matching, rate and budget gates.
+
+What depends on the choices before it (gates with feedback, lane allocation) is walked in Python for each key; all
+else is built-in functions and windows.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
+
+from quarry.functions.unicode import osa
+
+#: Limits of the history sent along (fixed values).
+TURNS, HISTORY_CHARS = 6, 16_000
+#: Signs of what a question needs (patterns).
+PATTERNS = {
+    "broad_synthesis": r"(?is)\btrace\b|\blineage\b|\bacross\b|\bthroughout\b|\bover\s+time\b|\b(?:evolution|development)\b",
+    "multi_part": r"(?is)\?.*\?|\band\s+(?:who|what|when|where|why|how)\b|(?:^|\n)\s*[0-9]+[.)]\s",
+    "relationship": r"(?is)\brelat(?:e|ed|ion|ionship)\b|\bbetween\b.+\band\b|\bconnect(?:ed|ion)\b|\binfluence[ds]?\b",
+    "absence_sensitive": r"(?is)\b(?:book|manuscript|text|author|account)\b.{0,80}\b(?:address|cover|discuss|mention|treat)(?:s|es|ed)?\b",
+    "premise_sensitive": r"(?is)\bwhy\s+(?:did|was|were|is|are)\b|\bgiven that\b|\bsince\b",
+}
+
+
+def route_traits(question: Column) -> Column:
+    """Traits of a question in a fixed order, as an array; no premise trait where the text's coverage is asked for."""
+    hit = {n: question.rlike(p) for n, p in PATTERNS.items()}
+    hit["premise_sensitive"] = hit["premise_sensitive"] & ~hit["absence_sensitive"]
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in hit.items()]))
+
+
+@F.udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])), useArrow=True)
+def trusted_targets(question):
+    """At most three targets of a question: quoted, acronym, number or ordinal name, proper name, hyphenated; from the left, longest
+    first, none overlapping another."""
+    import re
+
+    if question is None:
+        return []
+    kinds = (r'["“]([^"“”]{2,80})["”]', r"\b((?:[A-Z]\.){2,10}|[A-Z]{2,10})\b", r"\b(\d+(?:st|nd|rd|th)\s+[A-Z]\w*)", r"\b([A-Z]\w+\s+\d{1,4})\b", r"\b([A-Z][\w'’]+(?:\s+(?:of|the|and)?\s*[A-Z][\w'’]+)*)", r"\b(\w+(?:-\w+)+)\b")
+    found = [(m.start(1), -len(m[1]), k, m[1]) for k, p in enumerate(kinds) for m in re.finditer(p, question)]
+    out, end = [], 0
+    for start, size, _, text in sorted(found):
+        first = re.match(r"(?:Who|What|When|Where|Why|How|Did|Does|Do|Is|Are|Was|Were|The|A|An|In)\s+", text)
+        if first:
+            start, text, size = start + first.end(), text[first.end():], size + first.end()
+        if start >= end and text and text not in [t for _, t in out] and text not in ("Who", "What", "When", "Where", "Why", "How", "The"):
+            out.append((start, text))
+            end = start - size
+    return [{"start": s, "text": t} for s, t in out[:3]]
+
+
+def help_matcher(approved: tuple[str, ...]):
+    """UDF: whether a question is one of the approved ones but for typing errors."""
+    @F.udf(T.BooleanType(), useArrow=True)
+    def matches(value):
+        if value is None:
+            return False
+        words = value.split()
+        for known in approved:
+            if value == known or value.replace(" ", "") == known.replace(" ", ""):
+                return True
+            theirs = known.split()
+            if len(words) == len(theirs):
+                each = [osa(a, b) for a, b in zip(words, theirs, strict=True)]
+                fine = [n <= 1 or (n <= 2 and len(b) >= 4 and sorted(a) == sorted(b)) for n, a, b in zip(each, words, theirs, strict=True)]
+                if all(fine) and sum(each) <= 3:
+                    return True
+            elif abs(len(words) - len(theirs)) == 1 and osa(value, known) <= 2:
+                return True
+        return False
+
+    return matches
+
+
+def bounded_history(turns: DataFrame) -> DataFrame:
+    """The last TURNS turns of a conversation, without the oldest beyond HISTORY_CHARS. turns: conv_id, turn, chars."""
+    back = W.partitionBy("conv_id").orderBy(F.desc("turn"))
+    rows = turns.withColumns({"n": F.row_number().over(back), "total": F.sum("chars").over(back.rowsBetween(W.unboundedPreceding, 0))})
+    return rows.filter((F.col("n") <= TURNS) & (F.col("total") <= HISTORY_CHARS)).select("conv_id", "turn", F.col("total").alias("chars_from_here"))
+
+
+def followup_subject(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, subject: the latest subject of the user's turns before. turns: conv_id, turn, subject (null where none)."""
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    return turns.withColumn("latest", F.last("subject", ignorenulls=True).over(before))
+
+
+def bands(items: DataFrame, n_bands: int) -> DataFrame:
+    """band and its neighbours for items in order (ordinal from 0): floor of n_bands * ordinal / count, the last closed."""
+    n = F.count("*").over(W.partitionBy(F.lit(0)))
+    band = F.least(F.lit(n_bands - 1).cast("long"), F.floor(F.col("ordinal") * n_bands / n))
+    return items.withColumn("band", band)
+
+
+def apportion(sources: DataFrame, slots: int) -> DataFrame:
+    """source, length, scopes: at least one scope each, the rest by highest averages (length / scopes), ties to the earlier."""
+    more = sources.filter("length > 1").select("query_id", "source", F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("j"), "length")
+    order = W.partitionBy("query_id").orderBy(F.desc(F.col("length") / F.col("j")), "source")
+    spare = sources.groupBy("query_id").agg((slots - F.count("*")).alias("spare"))
+    won = more.withColumn("r", F.row_number().over(order)).join(spare, "query_id").filter("r <= spare").groupBy("query_id", "source").agg(F.count("*").alias("extra"))
+    return sources.join(won, ["query_id", "source"], "left").select("query_id", "source", "length", (F.coalesce("extra", F.lit(0)) + 1).alias("scopes"))
+
+
+def facet_lanes(candidates: DataFrame, limit: int = 8) -> DataFrame:
+    """query_id, facet, chunk_id, source_number: one candidate of each lane first, then round robin until `limit`.
+
+    candidates: query_id, facet, chunk_id, rank. A lane whose best chunk is selected already shares it.
+    """
+    def allocate(pdf: pd.DataFrame) -> pd.DataFrame:
+        lanes = {f: g.sort_values(["rank", "chunk_id"]).chunk_id.tolist() for f, g in sorted(pdf.groupby("facet"))}
+        number: dict[str, int] = {}
+        out: list[tuple] = []
+
+        def accept(f: str, c: str) -> bool:
+            new = c not in number
+            if new and len(number) >= limit:
+                return False
+            number.setdefault(c, len(number) + 1)
+            if (f, c) not in seen:
+                seen.add((f, c))
+                out.append((int(pdf.query_id.iloc[0]), f, c, number[c]))
+            return new
+
+        seen: set = set()
+        for f, cs in lanes.items():
+            if cs and cs[0] in number:
+                accept(f, cs[0])
+            elif len(number) < limit and (free := [c for c in cs if c not in number]):
+                accept(f, free[0])
+        at = dict.fromkeys(lanes, 0)
+        moved = True
+        while moved and len(number) < limit:
+            moved = False
+            for f, cs in lanes.items():
+                while at[f] < len(cs):
+                    at[f] += 1
+                    if accept(f, cs[at[f] - 1]):
+                        moved = True
+                        break
+                if len(number) >= limit:
+                    break
+        return pd.DataFrame(out, columns=["query_id", "facet", "chunk_id", "source_number"])
+
+    return candidates.groupBy("query_id").applyInPandas(allocate, "query_id long, facet string, chunk_id string, source_number long")
+
+
+class Gate:
+    """Sliding 60-second windows for a category of a client, a client and all; refused requests don't count."""
+
+    def __init__(self, category: int, client: int, everyone: int):
+        self.limits = (("category_rate_limit", category), ("client_rate_limit", client), ("global_rate_limit", everyone))
+        self.seen: dict[tuple, deque] = {}
+
+    def enter(self, client: str, category: str, now: float) -> str:
+        keys = ((client, category), (client,), ())
+        for key, (name, limit) in zip(keys, self.limits, strict=True):
+            queue = self.seen.setdefault(key, deque())
+            while queue and queue[0] <= now - 60:
+                queue.popleft()
+            if len(queue) >= limit:
+                return name
+        for key in keys:
+            self.seen[key].append(now)
+        return "admitted"
+
+
+def rate_gate(requests: DataFrame, category: int, client: int) -> DataFrame:
+    """Decisions for requests (id, client, category, at in seconds) in time order; each client is a gate of its own.
+
+    The limit over all clients needs one order of all requests and so one process: see Gate for that; at scale it is
+    held per shard of the service.
+    """
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        gate, rows = Gate(category, client, 1 << 60), pdf.sort_values(["at", "id"])
+        return pd.DataFrame({"id": rows["id"].tolist(), "decision": [gate.enter(c, k, t) for c, k, t in zip(rows["client"], rows["category"], rows["at"], strict=True)]})
+
+    return requests.groupBy("client").applyInPandas(walk, "id long, decision string")
+
+
+def admit_within(events: DataFrame, ceiling: int) -> DataFrame:
+    """Admission with feedback: an event counts only if it is admitted; unpriced ones are refused. events: id, key, at, cost."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, spent, out = pdf.sort_values(["at", "id"]), 0, []
+        for i, cost in zip(rows["id"].tolist(), rows["cost"].tolist(), strict=True):
+            ok = cost == cost and cost is not None and spent + cost <= ceiling
+            spent += int(cost) if ok else 0
+            out.append((i, ok, spent))
+        return pd.DataFrame(out, columns=["id", "admitted", "spent"])
+
+    return events.groupBy("key").applyInPandas(walk, "id long, admitted boolean, spent long")

@@ -45,6 +45,11 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     return near.unionByName(by_id.select(F.lit("by_id").alias("arm"), "query_id", "id", "rank"))
 
 
+def label_pools(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, id, rank of the vector arm."""
+    return _hits(spark, d).filter("arm = 'vector'").drop("arm")
+
+
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     arms = F.explode(F.array(F.lit("vector"), F.lit("by_id"))).alias("arm")
     return M.recall_at(_hits(spark, d), _gold(spark, d), _items(spark, d).select(arms, "query_id"), KS)
@@ -219,6 +224,7 @@ _HITS = f"""gaps AS (
   SELECT 'vector' AS arm, query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM gaps QUALIFY rank <= 20
   UNION ALL SELECT 'by_id', query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY abs(id - query_id), id) AS INT) AS rank FROM gaps QUALIFY rank <= 20
 )"""
+_DENSE_LABEL_SQL = f"{_HITS}, pools AS (SELECT query_id, id, rank FROM hits WHERE arm = 'vector')"
 _SCORES = f"""{_ITEMS}, {_GOLD}, {_HITS}, ks(k) AS (VALUES (5), (10), (20)), arms(arm) AS (VALUES ('vector'), ('by_id')), per AS (
   SELECT query_id, count(*) AS relevant, count(*) FILTER (essential) AS essentials FROM gold GROUP BY query_id
 ), got AS (SELECT arm, h.query_id, k, count(*) AS found, count(*) FILTER (essential) AS fe FROM hits h JOIN gold g ON g.query_id = h.query_id AND g.id = h.id JOIN ks ON h.rank <= k GROUP BY ALL

@@ -1,0 +1,142 @@
+"""Routing, faceted and serving queries with their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from quarry.operators import serving as S
+from quarry.plans.corpus import CHUNKS_SQL, chunk_table
+from quarry.plans.metrics import _DENSE_LABEL_SQL, label_pools
+from quarry.sources.tables import LEDGER_SQL, ledger, read
+
+ASKS = ("Trace the development of ", "Does the book mention ", "What is the relation between A and ", "Why did they leave? And when did ", "Who was ")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    first = F.element_at(F.array(*[F.lit(a) for a in ASKS]), (F.col("item_id") % 5 + 1).cast("int"))
+    return read(spark, d, "benchmark").select("item_id", F.concat(first, F.substring("text", 1, 60)).alias("question"))
+
+
+def route_traits(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d).select("item_id", F.array_join(S.route_traits(F.col("question")), ",").alias("traits"))
+
+
+def trusted_targets(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d).select("item_id", F.inline(S.trusted_targets("question")))
+
+
+def help_questions(spark: SparkSession, d: str) -> DataFrame:
+    known = ("what can you do", "how do i ask a question", "who are you")
+    said = F.element_at(F.array(*[F.lit(x) for x in ("what can yuo do", "howdo i ask a question", "who are we now", "waht can you do", "what did you do there")]), (F.col("item_id") % 5 + 1).cast("int"))
+    return read(spark, d, "benchmark").select("item_id", S.help_matcher(known)(said).alias("help"))
+
+
+def bounded_history(spark: SparkSession, d: str) -> DataFrame:
+    return S.bounded_history(read(spark, d, "conversations").select("conv_id", "turn", (F.length("text") * 10).alias("chars")))
+
+
+def followup_subject(spark: SparkSession, d: str) -> DataFrame:
+    subject = F.when((F.col("role") == "user") & (F.length("text") < 400), F.regexp_extract("text", r"^\S+\s+(\S+)", 1))
+    return S.followup_subject(read(spark, d, "conversations").select("conv_id", "turn", F.nullif(subject, F.lit("")).alias("subject"))).select("conv_id", "turn", "latest")
+
+
+def stage_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Sources in order of name as a narrative of six stages."""
+    s = read(spark, d, "documents").select("source").distinct().withColumn("ordinal", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("source")) - 1)
+    return S.bands(s, 6)
+
+
+def scope_apportionment(spark: SparkSession, d: str) -> DataFrame:
+    c = chunk_table(spark, d).filter("chunk_no <= 4").select(F.col("doc_id").alias("query_id"), F.col("chunk_no").alias("source"), (F.col("paragraph_end") - F.col("paragraph_start") + 1).alias("length"))
+    return S.apportion(c, 10)
+
+
+def requirement_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of a requirement through its facets, in first-seen order."""
+    pools = label_pools(spark, d).select("query_id", (F.col("rank") % 3).alias("facet"), "id", "rank")
+    seen = pools.groupBy("query_id", (F.col("facet") % 2).alias("requirement"), "id").agg(F.min("rank").alias("first"))
+    return seen.groupBy("query_id", "requirement").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "id"))), lambda x: x.id.cast("string")), ",").alias("sources"))
+
+
+def _lanes(spark: SparkSession, d: str) -> DataFrame:
+    p = label_pools(spark, d)
+    return p.select("query_id", F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("facet"), F.concat(F.lit("v"), F.col("id")).alias("chunk_id"), "rank")
+
+
+def facet_lanes(spark: SparkSession, d: str) -> DataFrame:
+    return S.facet_lanes(_lanes(spark, d))
+
+
+def lane_first_pick(spark: SparkSession, d: str) -> DataFrame:
+    """Each lane's best candidate."""
+    return _lanes(spark, d).groupBy("query_id", "facet").agg(F.min_by("chunk_id", "rank").alias("chunk_id"), F.min("rank").alias("rank"))
+
+
+def _signal(c: str) -> Column:
+    return F.size(F.regexp_extract_all(F.lower(c), F.lit("(?:the|and)"), 0))
+
+
+def mechanism_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The best of several variants' normalised scores for a chunk, raised by signs of mechanism in its text."""
+    c = chunk_table(spark, d).filter("doc_id < 100").select("chunk_id", "doc_id", _signal("text").alias("signal"), F.explode(F.array(F.length("text") % 97, F.length("text") % 89, F.length("text") % 83)).alias("raw"))
+    top = F.max("raw").over(W.partitionBy("doc_id"))
+    s = c.withColumn("score", F.round(F.try_divide(F.col("raw").cast("double"), top.cast("double")) * (1 + 0.02 * F.least("signal", F.lit(10))), 9)).groupBy("doc_id", "chunk_id").agg(F.max("score").alias("score"))
+    return s.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc_nulls_last("score"), "chunk_id"))).filter("rank <= 3")
+
+
+def stage_anchor_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that two pools agree on before the others, then by utility, best rank and id; conditional keys in one order."""
+    p = label_pools(spark, d).unionByName(label_pools(spark, d).filter("id % 2 = 0").withColumn("rank", F.col("rank") + 3)) 
+    g = p.groupBy("query_id", "id").agg(F.count("*").alias("pools"), F.min("rank").alias("best"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 12).alias("utility"))
+    order = W.partitionBy("query_id").orderBy(F.when(F.col("pools") >= 2, 0).otherwise(1), F.when(F.col("pools") >= 2, -F.col("utility")).otherwise(F.col("best").cast("double")), "id")
+    return g.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("query_id", "id", "pools", "rank")
+
+
+def transition_rank(spark: SparkSession, d: str) -> DataFrame:
+    """For neighbouring stages of a query, what both lanes hold, best sum of ranks first."""
+    x = _lanes(spark, d)
+    a, b = x.filter("facet = 'f0'"), x.filter("facet = 'f1'")
+    pairs = a.select("query_id", F.col("rank").alias("i"), F.col("chunk_id").alias("x")).join(b.select("query_id", F.col("rank").alias("j"), F.col("chunk_id").alias("y")), "query_id").filter("abs(i - j) <= 2")
+    order = W.partitionBy("query_id").orderBy(F.col("i") + F.col("j"), "i", "x", "y")
+    return pairs.withColumn("r", F.row_number().over(order)).filter("r <= 3").select("query_id", "x", "y", "r")
+
+
+def schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Counterbalanced arms AB/BA and batches of eight."""
+    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("item_id"))
+    return read(spark, d, "benchmark").select("item_id", F.when(n % 2 == 1, "AB").otherwise("BA").alias("order_of_arms"), (F.floor((n - 1) / 8) + 1).alias("batch"))
+
+
+def rate_gate(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).cast("string").alias("client"), F.col("event_type").alias("category"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return S.rate_gate(e, 2, 4)
+
+
+def budget_admission(spark: SparkSession, d: str) -> DataFrame:
+    e = ledger(spark, d).select("id", F.col("project_id").alias("key"), F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("at"), F.col("cost_nano").cast("double").alias("cost"))
+    return S.admit_within(e, 5_000_000_000)
+
+
+QUERIES = {f.__name__: f for f in (
+    route_traits, trusted_targets, help_questions, bounded_history, followup_subject, stage_bands, scope_apportionment, requirement_sources, facet_lanes, lane_first_pick,
+    mechanism_rerank, stage_anchor_rank, transition_rank, schedule, rate_gate, budget_admission)}
+
+_Q = "(['" + "', '".join(ASKS) + "'])[item_id % 5 + 1] || substr(text, 1, 60)"
+_P = {n: f"regexp_matches(q, '{p}')" for n, p in S.PATTERNS.items()}
+_LANES = f"{_DENSE_LABEL_SQL}, lanes AS (SELECT query_id, 'f' || (id % 3) AS facet, 'v' || id AS chunk_id, rank FROM pools)"
+
+SQL = {
+    "route_traits": f"WITH t AS (SELECT item_id, {_Q} AS q FROM benchmark) SELECT item_id, array_to_string(list_filter([CASE WHEN {_P['broad_synthesis']} THEN 'broad_synthesis' END, CASE WHEN {_P['multi_part']} THEN 'multi_part' END, CASE WHEN {_P['relationship']} THEN 'relationship' END, CASE WHEN {_P['absence_sensitive']} THEN 'absence_sensitive' END, CASE WHEN {_P['premise_sensitive']} AND NOT {_P['absence_sensitive']} THEN 'premise_sensitive' END], lambda x: x IS NOT NULL), ',') AS traits FROM t",
+    "bounded_history": "WITH t AS (SELECT conv_id, turn, row_number() OVER w AS n, sum(length(text) * 10) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, CAST(total AS BIGINT) AS chars_from_here FROM t WHERE n <= 6 AND total <= 16000",
+    "followup_subject": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' AND length(text) < 400 THEN nullif(regexp_extract(text, '^\\S+\\s+(\\S+)', 1), '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM conversations",
+    "stage_bands": "WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS ordinal FROM (SELECT DISTINCT source FROM documents)) SELECT source, CAST(ordinal AS INT) AS ordinal, CAST(least(5, floor(ordinal * 6 / count(*) OVER ())) AS BIGINT) AS band FROM s",
+    "scope_apportionment": f"WITH RECURSIVE {CHUNKS_SQL}, s AS (SELECT doc_id AS query_id, chunk_no AS source, paragraph_end - paragraph_start + 1 AS length FROM chunks WHERE chunk_no <= 4), m AS (SELECT *, unnest(range(1, length)) AS j FROM s WHERE length > 1), r AS (SELECT m.query_id, source, row_number() OVER (PARTITION BY m.query_id ORDER BY length / j::DOUBLE DESC, source) AS r, spare FROM m JOIN (SELECT query_id, 10 - count(*) AS spare FROM s GROUP BY 1) x ON x.query_id = m.query_id), w AS (SELECT query_id, source, count(*) AS e FROM r WHERE r <= spare GROUP BY ALL) SELECT s.*, coalesce(e, 0) + 1 AS scopes FROM s LEFT JOIN w ON w.query_id = s.query_id AND w.source = s.source",
+    "requirement_sources": f"WITH {_DENSE_LABEL_SQL}, f AS (SELECT query_id, rank % 3 % 2 AS requirement, id, min(rank) AS first FROM pools GROUP BY ALL) SELECT query_id, requirement, string_agg(CAST(id AS VARCHAR), ',' ORDER BY first, id) AS sources FROM f GROUP BY ALL",
+    "lane_first_pick": f"WITH {_LANES} SELECT query_id, facet, arg_min(chunk_id, rank) AS chunk_id, min(rank) AS rank FROM lanes GROUP BY ALL",
+    "mechanism_rerank": f"WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT chunk_id, doc_id, len(regexp_extract_all(lower(text), '(?:the|and)')) AS signal, unnest([length(text) % 97, length(text) % 89, length(text) % 83]) AS raw FROM chunks WHERE doc_id < 100), s AS (SELECT doc_id, chunk_id, round(raw / nullif(max(raw) OVER (PARTITION BY doc_id), 0)::DOUBLE * (1 + 0.02::DOUBLE * least(signal, 10)), 9) AS score FROM c), g AS (SELECT doc_id, chunk_id, max(score) AS score FROM s GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC NULLS LAST, chunk_id) AS INT) AS rank FROM g QUALIFY rank <= 3",
+    "stage_anchor_rank": f"WITH {_DENSE_LABEL_SQL}, p AS (SELECT query_id, id, rank FROM pools UNION ALL SELECT query_id, id, rank + 3 FROM pools WHERE id % 2 = 0), g AS (SELECT query_id, id, count(*) AS pools, min(rank) AS best, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS utility FROM p GROUP BY ALL) SELECT query_id, id, pools, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN pools >= 2 THEN 0 ELSE 1 END, CASE WHEN pools >= 2 THEN -utility ELSE best END, id) AS INT) AS rank FROM g QUALIFY rank <= 5",
+    "transition_rank": f"WITH {_LANES} SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y, CAST(row_number() OVER (PARTITION BY a.query_id ORDER BY a.rank + b.rank, a.rank, a.chunk_id, b.chunk_id) AS INT) AS r FROM lanes a JOIN lanes b ON a.query_id = b.query_id AND a.facet = 'f0' AND b.facet = 'f1' AND abs(a.rank - b.rank) <= 2 QUALIFY r <= 3",
+    "schedule": "WITH n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) SELECT item_id, CASE WHEN n % 2 = 1 THEN 'AB' ELSE 'BA' END AS order_of_arms, (n - 1) // 8 + 1 AS batch FROM n",
+}
