@@ -26,6 +26,11 @@ QUOTES = ("“", '"', "‘", "'")
 STRUCTURAL = ("01_front matter.md", "02_table of contents.md", "03_acknowledgments.md", "04_note on illustrations.md", "32_bibliography.md")
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it: the optimizer copies projections, not lambda arguments."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def fold(x: Column) -> Column:
     """Lower case without marks; ß as ss; one kind of apostrophe."""
     return F.translate(F.replace(F.lower(F.replace(x, F.lit("’"), F.lit("'"))), F.lit("ß"), F.lit("ss")), MARKED, PLAIN)

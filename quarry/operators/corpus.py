@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,12 +11,15 @@ from quarry.functions import text as X
 
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, chunk_no, chunk_id, paragraph_start, paragraph_end (1-based, inclusive), text; docs: doc_id, text."""
-    ps = docs.select("doc_id", X.paragraphs(F.col("text")).alias("ps"))
-    starts = ps.withColumn("starts", X.chunk_starts(F.col("ps"))).select("doc_id", "ps", F.posexplode("starts").alias("i", "start"))
-    body = F.slice("ps", F.col("start") + 1, F.lit(4))
-    return starts.select(
+    def each(ps: Column) -> Column:
+        piece = lambda s: F.struct((s + 1).alias("first"), F.least(s + 4, F.size(ps)).alias("last"), F.array_join(F.slice(ps, s + 1, F.lit(4)), "\n\n").alias("text"))
+        return F.transform(X.chunk_starts(ps), piece)
+
+    # outer, since the filter that a plain explode implies would evaluate the chunks a second time
+    rows = docs.select("doc_id", F.posexplode_outer(X.once(X.paragraphs(F.col("text")), each)).alias("i", "c")).filter("c is not null")
+    return rows.select(
         "doc_id", (F.col("i") + 1).alias("chunk_no"), F.format_string("%s_%03d", F.col("doc_id").cast("string"), F.col("i") + 1).alias("chunk_id"),
-        (F.col("start") + 1).alias("paragraph_start"), F.least(F.col("start") + 4, F.size("ps")).alias("paragraph_end"), F.array_join(body, "\n\n").alias("text"))
+        F.col("c.first").alias("paragraph_start"), F.col("c.last").alias("paragraph_end"), "c.text")
 
 
 def running_title(rows: DataFrame) -> DataFrame:
