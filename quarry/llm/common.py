@@ -57,6 +57,12 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that an operator's results or working columns (leading __) would clash with, whatever their case."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone and not c.startswith("__")])
+
+
 def partitions_for(total_bytes: int, each: int = 32 << 20, least: int = 1) -> int:
     return max(least, -(-int(total_bytes) // each))
 

@@ -11,7 +11,7 @@ after the other through the shared folder, so that neither driver nor executor h
 Defined results: null and empty texts have no words; an item of fewer than n_words words, but not none, is one
 window; items with null item_id or no words find nothing; rows that repeat an item_id are one item with all their
 windows; each document row gets its own result, also if doc_id is null or repeated; without items nothing is hit;
-further columns stay.
+further columns stay, a column named found is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import byte_words, small_batches, table, written
+from quarry.llm.common import byte_words, small_batches, table, without, written
 
 #: Words in the original text, for offsets.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -124,6 +124,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, n_words: int = 10, text:
     """docs and found: struct<n_words, n_hit, items (sorted as strings), hits (runs of hit words)>."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = without(docs, "found")
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))

@@ -10,7 +10,7 @@ a window that also occurs earlier - in a smaller doc_id, or before it in the sam
 Defined results: null text stays null and has no lines; blank lines and lines in no repeated window stay; a tail of
 less than min_words words has no window; documents with null doc_id come first in the order; rows with the same
 doc_id and the same text count as one place, so they get the same lines deleted; rows with the same doc_id and
-different texts are ordered by a hash of the text; an empty table gives an empty result; further columns stay.
+different texts are ordered by a hash of the text; an empty table gives an empty result; further columns stay, those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarry.llm.common import table, written
+from quarry.llm.common import table, without, written
 
 
 def windows(docs: DataFrame, min_words: int) -> DataFrame:
@@ -58,17 +58,18 @@ def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 10, text: str = "text") -> DataFrame:
     """docs with text without its later repeated lines, and n_lines, n_lines_removed (long)."""
+    docs = without(docs, "n_lines", "n_lines_removed")
     keep = docs.columns
     base = docs.withColumns({"__d": F.col("doc_id"), "__h": F.xxhash64(text), "__t": F.col(text)})
     gone = repeated_lines(base.filter("__t is not null").select("__d", "__h", "__t"), min_words)
-    gone = gone.withColumnsRenamed({"__d": "__gd", "__h": "__gh"}).hint("shuffle_hash")
+    gone = gone.withColumnsRenamed({"__d": "__gd", "__h": "__gh", "gone": "__gone"}).hint("shuffle_hash")
     both = base.join(gone, F.col("__d").eqNullSafe(F.col("__gd")) & (F.col("__h") == F.col("__gh")), "left")
     parts = F.split("__t", "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("gone"))
-    both = both.withColumn("__parts", F.when(F.col("gone").isNotNull(), parts))
-    clean = F.when(F.col("gone").isNull(), F.col("__t")).otherwise(F.array_join(F.transform(rest, lambda i: F.get("__parts", i)), "\n"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
+    both = both.withColumn("__parts", F.when(F.col("__gone").isNotNull(), parts))
+    clean = F.when(F.col("__gone").isNull(), F.col("__t")).otherwise(F.array_join(F.transform(rest, lambda i: F.get("__parts", i)), "\n"))
     count = F.coalesce(F.length("__t") - F.length(F.replace("__t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    out = both.withColumns({"__clean": clean, "__n": count, "__g": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
+    out = both.withColumns({"__clean": clean, "__n": count, "__g": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
     return out.select(*[F.col("__clean").alias(c) if c == text else F.col(c) for c in keep], F.col("__n").alias("n_lines"), F.col("__g").alias("n_lines_removed"))
 
 

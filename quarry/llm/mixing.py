@@ -9,7 +9,7 @@ block, the last epoch takes blocks in a permuted order until the quota is used,
 Defined results: a null source is a source of its own; documents without words (null, empty or blank text) hold no
 tokens and are never drawn; rows that repeat a doc_id are separate documents with the same place in the
 permutation; an empty table gives an empty result; further columns are carried along, whatever their names
-(working columns start with two underscores and are dropped).
+(but those named like results or with two leading underscores are dropped).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarry.llm.common import table, written
+from quarry.llm.common import table, without, written
 
 
 def word_count(text: Column) -> Column:
@@ -68,6 +68,7 @@ def mix(docs: DataFrame, *, carry: list[str] | None = None, budget: int | None =
     Texts are read once, to count words; all else works on a table of the columns carried. budget: tokens to draw,
     as many as there are if None. target_entropy: in nats; half way from the sources' own to the uniform one if None.
     """
+    docs = without(docs, "mix_tokens", "mix_epoch", "mix_block", "mix_order")
     keep = list(docs.columns if carry is None else carry)
     named = docs.select(
         *keep,

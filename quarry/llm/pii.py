@@ -8,7 +8,7 @@ off has the tag O by construction. Spans it finds are added where they overlap n
 for cards, addresses and phones, pass the kind's test on their digits.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; each row gets its own
-result, also if doc_id is null or repeated; further columns stay; an empty table gives an empty result; an empty
+result, also if doc_id is null or repeated; further columns stay, a column named pii is replaced; an empty table gives an empty result; an empty
 labelled table gives no added spans.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import small_batches, table
+from quarry.llm.common import small_batches, table, without
 
 #: Kinds in the order of the output; the first four have base patterns (fixed values).
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -376,6 +376,7 @@ def personal_data(docs: DataFrame, field: Field, *, text: str = "text") -> DataF
     """docs and pii: array of (start, end, kind, base), by start and kind; base tells the fixed patterns' spans."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = without(docs, "pii")
     shared = spark.sparkContext.broadcast((field.weights.astype(np.float32), field.moves, field.fitted))
     schema = T.StructType([*docs.schema.fields, T.StructField("pii", T._parse_datatype_string(FOUND))])
     return docs.mapInArrow(_finder(shared, text), schema)

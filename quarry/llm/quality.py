@@ -11,7 +11,7 @@ hash of doc_id. Only their hashed features reach the driver, not their texts; al
 Defined results: null and empty texts have no words and are scored by their statistics (all zero); labels with
 several rows for a doc_id count once, with the lowest grade; labels without a grade (null) are ignored; without labels, or with one grade only,
 nothing can be fitted: expected_grade and tail are null and every document is kept; each row gets its own result,
-also if doc_id is null or repeated; further columns stay; an empty table gives an empty result.
+also if doc_id is null or repeated; further columns stay, those named like results are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import WORD_BYTES, small_batches, table
+from quarry.llm.common import WORD_BYTES, small_batches, table, without
 
 BITS = 18
 N_STATS = 9
@@ -155,6 +155,7 @@ def _scoring(shared, text: str, keep_at: float):
 
 def classify(docs: DataFrame, model: Ordinal | None, *, keep_at: float = 0.5, text: str = "text") -> DataFrame:
     """docs and expected_grade, tail (double), kept (boolean)."""
+    docs = without(docs, "expected_grade", "tail", "kept")
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "tail": F.lit(None).cast("double"), "kept": F.lit(True)})
     spark = docs.sparkSession

@@ -14,7 +14,7 @@ standard split pattern. Two deterministic transducers:
 
 Special strings in a text count as one token each, the library's default. Defined results: null and empty texts have
 no bytes and no tokens; each row gets its own result, also if doc_id is null or repeated; an empty table gives an
-empty result; further columns are ignored, whatever their names.
+empty result; further columns stay, those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import small_batches, table
+from quarry.llm.common import small_batches, table, without
 
 # Classes of code points.
 END, BLANK, SPACE, NUMBER, OTHER, QUOTE, LETTER, STMD, RV, E, ELL = range(11)
@@ -313,6 +313,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text") -> Dat
     """docs without text, and n_bytes and n_tokens (long). vocabulary: path of a byte-level BPE .json on the driver."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = without(docs, "n_bytes", "n_tokens")
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     kept = [f for f in docs.schema.fields if f.name != text]
     return docs.mapInArrow(_counting(shared, text), T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
