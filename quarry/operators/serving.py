@@ -50,7 +50,7 @@ def trusted_targets(question):
         first = re.match(r"(?:Who|What|When|Where|Why|How|Did|Does|Do|Is|Are|Was|Were|The|A|An|In)\s+", text)
         if first:
             start, text, size = start + first.end(), text[first.end():], size + first.end()
-        if start >= end and text and text not in [t for _, t in out] and text not in ("Who", "What", "When", "Where", "Why", "How", "The"):
+        if start >= end and text and text not in [t for _, t in out] and text not in ("Who", "What", "When", "Where", "Why", "How", "Did", "Does", "Do", "Is", "Are", "Was", "Were", "The", "A", "An", "In"):
             out.append((start, text))
             end = start - size
     return [{"start": s, "text": t} for s, t in out[:3]]

@@ -66,7 +66,10 @@ def decoded(files: DataFrame) -> DataFrame:
     utf16 = mark.startswith("FFFE") | mark.startswith("FEFF")
     body = F.when(mark == "EFBBBF", F.expr("substring(content, 4)")).otherwise(F.col("content"))
     strict = F.try_validate_utf8(body.cast("string"))
-    text = F.when(utf16, F.decode("content", "UTF-16")).otherwise(F.coalesce(strict, F.decode("content", "windows-1252")))
+    # Windows-1252 is Latin-1 but for 27 characters between U+0080 and U+009F
+    high = [(bytes([b]).decode("latin-1"), c) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))]
+    western = F.translate(F.decode("content", "ISO-8859-1"), "".join(a for a, _ in high), "".join(c for _, c in high))
+    text = F.when(utf16, F.decode("content", "UTF-16")).otherwise(F.coalesce(strict, western))
     return files.withColumn("text", text).drop("content")
 
 

@@ -1,0 +1,161 @@
+"""Small cases of the reference behaviours, closed forms against plain loops, and files."""
+
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as X
+from quarry.functions.unicode import nfkd_fold, osa, sequence_ratio
+from quarry.operators import corpus as C
+from quarry.operators import evidence as E
+from quarry.operators import ledger as L
+from quarry.operators import metrics as M
+from quarry.operators import quality as Q
+from quarry.operators import retrieval as R
+from quarry.operators import serving as S
+from quarry.sources import tables
+
+
+def one(spark, expr, value):
+    return spark.createDataFrame([(value,)], "x string").select(expr(F.col("x"))).first()[0]
+
+
+def test_tokens(spark):
+    assert one(spark, X.tokens, "Straße’s  Éclair 12 123 don't rock-n-roll's") == ["strasse", "eclair", "123", "don't", "rock", "n", "roll"]
+    assert one(spark, X.query_terms, "What is the Law, the law of a Sea?") == ["law", "sea"]
+    assert one(spark, X.quoted_phrases, 'He said “The Law” and "the law"') == ["the law"]
+    assert one(spark, X.tokens, None) == []
+
+
+def loop_chunks(ps):
+    out, start = [], 0
+    while start < len(ps):
+        out.append(start)
+        if start + 4 >= len(ps):
+            break
+        p = start + 3
+        if ps[p].startswith(X.QUOTES) and p - 1 > start and ps[p - 1].endswith(":"):
+            p -= 1
+        elif (ps[p].lower().startswith(X.WEAK_STARTS) or len(ps[p]) < 120) and p + 1 < len(ps):
+            p += 1
+        start = p
+    return out
+
+
+def test_chunk_starts_against_loop(spark):
+    rnd, long = random.Random(2), "word " * 30
+    cases = [[rnd.choice(["short", long + "end", "“" + long, long + "as follows:", "However, " + long]).strip() for _ in range(rnd.randint(0, 14))] for _ in range(80)]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "ps array<string>").select(X.chunk_starts(F.col("ps"))).collect()]
+    assert sorted(map(str, got)) == sorted(str(loop_chunks(c)) for c in cases)
+
+
+def test_diversity_against_loop(spark):
+    rnd, rows, want = random.Random(4), [], {}
+    for q in range(60):
+        scores = sorted((rnd.random() for _ in range(rnd.randint(1, 15))), reverse=True)
+        cands = [(rnd.choice("abc"), s) for s in scores]
+        rows += [(q, f"{i:02}", d, i + 1, s) for i, (d, s) in enumerate(cands)]
+        picked, deferred, n = [], [], {}
+        for i, (d, s) in enumerate(cands):
+            if n.get(d, 0) >= 2 or (deferred and s < cands[deferred[0]][1] * 0.75):
+                deferred.append(i)
+            else:
+                picked.append(i)
+                n[d] = n.get(d, 0) + 1
+        want[q] = [f"{i:02}" for i in (picked + deferred)[:6]]
+    got: dict = {}
+    for r in R.diversify(spark.createDataFrame(rows, "query_id long, chunk_id string, document string, rank int, rrf_score double"), 6, 2).orderBy("query_id", "position").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == want
+
+
+def test_context_takes_all_primaries_first(spark):
+    p = spark.createDataFrame([(1, "d_002", 1), (1, "d_005", 2)], "query_id long, chunk_id string, position int")
+    e = C.id_neighbours(spark.createDataFrame([(f"d_{i:03}",) for i in range(1, 8)] + [("d_1000",)], "chunk_id string"))
+    got = [(r.chunk_id, r.origin) for r in R.with_neighbours(p, e).orderBy("source_number").collect()]
+    assert got == [("d_002", "primary"), ("d_005", "primary"), ("d_001", "neighbour"), ("d_003", "neighbour"), ("d_004", "neighbour"), ("d_006", "neighbour")]
+
+
+def test_anchor_kinds(spark):
+    t = spark.createDataFrame([(1, "World Health Organization"), (2, "Article 9"), (3, "red red")], "target_id long, surface string")
+    c = spark.createDataFrame([("a", "the World Health Organization’s rule"), ("b", "Organization of world and of health"), ("c", "W.H.O. said"), ("d", "health"), ("e", "who said"), ("f", "article9 red"), ("g", "red blue red")], "chunk_id string, text string")
+    got = {(r.target_id, r.chunk_id): r.rule for r in E.scan(t, c).collect()}
+    assert got == {(1, "a"): "full_token_sequence", (1, "b"): "twelve_token_window", (1, "c"): "mechanical_initialism", (1, "d"): "partial_token_collision", (2, "f"): "full_token_sequence", (3, "f"): "partial_token_collision", (3, "g"): "twelve_token_window"}
+
+
+def test_citations(spark):
+    cases = [("[Source 1] [Source 2, Source 9] [", 3, (2, 3, 1, 1, 2, 1)), ("] [Source 1; Source 2] [[Source 1]]", 3, (0, 0, 4, 0, 0, 0)), ("", 0, (0, 0, 0, 0, 0, 0))]
+    for answer, n, want in cases:
+        assert tuple(M.audit_citations(spark.createDataFrame([(answer, n)], "answer string, source_count int")).first())[2:] == want
+
+
+def test_pricing(spark):
+    u = spark.createDataFrame([("gpt-5.6-sol", None, 300_000, 0, 0, 1000), ("gpt-5.6-sol", "priority", 1000, 100, 10, 10), ("gpt-5.6-sol", "default", 1000, 100, 10, 10), ("gpt-5", "priority", 1, 0, 0, 0), ("gpt-5.6-luna-2026-01-01", None, 10, 0, 0, 0), ("?", None, 1, 0, 0, 0)], "model string, service_tier string, input_tokens long, cached_tokens long, cache_write_tokens long, output_tokens long")
+    got = [r.cost_nano_usd for r in L.priced(u).collect()]
+    assert sorted(got, key=str) == sorted([3_045_000_000, 2 * 4_862_500, 4_862_500, None, 10_000, None], key=str)
+
+
+def test_budget_without_events(spark):
+    e = spark.createDataFrame([], "recorded_at timestamp, cost_nano long")
+    assert tuple(L.budget_state(e, "2026-06", 100, 80).first()) == (0, 0.0, False, False, 100)
+    assert tuple(L.budget_state(e, "2026-06", None, 80).first()) == (0, None, False, False, None)
+
+
+def test_edit_measures(spark):
+    assert osa("ca", "abc") == 3 and osa("teh", "the") == 1 and osa("", "ab") == 2
+    row = spark.createDataFrame([("Éa’s", "abcd", "bcde")], "a string, b string, c string").select(nfkd_fold("a"), sequence_ratio("b", "c")).first()
+    assert tuple(row) == ("ea's", 0.75)
+
+
+def test_help_and_targets(spark):
+    m = S.help_matcher(("what can you do",))
+    said = spark.createDataFrame([("what can yuo do",), ("whatcan you do",), ("waht cna you do",), ("when can you do",), ("what did they do",)], "x string")
+    assert [r[0] for r in said.select(m("x")).collect()] == [True, True, True, False, False]
+    got = spark.createDataFrame([('Did “the Act” shape the U.N. and Mary Smith in the long-term?',)], "q string").select(S.trusted_targets("q")).first()[0]
+    assert [t["text"] for t in got] == ["the Act", "U.N.", "Mary Smith"]
+
+
+def test_apportion_against_loop(spark):
+    rnd, rows, want = random.Random(6), [], {}
+    for q in range(40):
+        lengths = [rnd.randint(1, 9) for _ in range(rnd.randint(1, 5))]
+        rows += [(q, i, n) for i, n in enumerate(lengths)]
+        k = [1] * len(lengths)
+        while sum(k) < 10 and any(a < b for a, b in zip(k, lengths)):
+            i = max((i for i in range(len(k)) if k[i] < lengths[i]), key=lambda i: (lengths[i] / k[i], -i))
+            k[i] += 1
+        want.update({(q, i): n for i, n in enumerate(k)})
+    assert {(r.query_id, r.source): r.scopes for r in S.apportion(spark.createDataFrame(rows, "query_id long, source int, length int"), 10).collect()} == want
+
+
+def test_shared_runs(spark):
+    a = spark.createDataFrame([(1, list("abcdefgh"))], "a long, t array<string>")
+    b = spark.createDataFrame([(7, list("xxcdefyyabc")), (8, list("zz"))], "b long, t array<string>")
+    assert [tuple(r) for r in Q.shared_runs(a, b, 3).collect()] == [(1, 7, 4)]
+
+
+def test_merge_adjacent(spark):
+    r = spark.createDataFrame([(1, 0, 1, 4), (1, 0, 4, 7), (1, 0, 9, 9), (1, 1, 8, 8), (1, 0, 2, 3)], "doc_id long, chapter int, start int, end int")
+    assert sorted((x.chapter, x.start, x.end, x.merged) for x in C.merge_adjacent(r).collect()) == [(0, 1, 7, 3), (0, 9, 9, 1), (1, 8, 8, 1)]
+
+
+def test_rrf_promotes_agreement(spark):
+    s = spark.createDataFrame([(1, c, i + 1, 0.1 * i) for i, c in enumerate("abc")], "query_id long, chunk_id string, rank int, distance double")
+    x = spark.createDataFrame([(1, "c", 1, 9.0), (1, "z", 2, 8.0)], "query_id long, chunk_id string, rank int, score double")
+    assert [r.chunk_id for r in R.fuse(s, x).orderBy("rank").collect()][:2] == ["c", "a"]
+    assert math.isclose(R.fuse(s, x).filter("chunk_id = 'c'").first().rrf_score, round(1 / 63 + 1 / 61, 12))
+
+
+def test_text_files(spark, tmp_path):
+    for name, data in (("a.md", "é".encode()), ("b.md", b"\xef\xbb\xbf" + "é".encode()), ("c.md", "é".encode("utf-16")), ("d.md", b"\xe9"), ("e.md", b"\x80\xe9")):
+        (tmp_path / name).write_bytes(data)
+    assert [(r.document, r.text) for r in tables.text_files(spark, str(tmp_path)).orderBy("document").collect()] == [*((f"{x}.md", "é") for x in "abcd"), ("e.md", "€é")]
+
+
+def test_save_never_replaces(spark, tmp_path):
+    import pytest
+
+    tables.save(spark.range(1), str(tmp_path / "x"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        tables.save(spark.range(1), str(tmp_path / "x"))
