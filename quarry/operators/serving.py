@@ -43,7 +43,7 @@ def trusted_targets(question):
 
     if question is None:
         return []
-    kinds = (r'["“]([^"“”]{2,80})["”]', r"\b((?:[A-Z]\.){2,10}|[A-Z]{2,10})\b", r"\b(\d+(?:st|nd|rd|th)\s+[A-Z]\w*)", r"\b([A-Z]\w+\s+\d{1,4})\b", r"\b([A-Z][\w'’]+(?:\s+(?:of|the|and)?\s*[A-Z][\w'’]+)*)", r"\b(\w+(?:-\w+)+)\b")
+    kinds = (r'["“]([^"“”]{2,80})["”]', r"\b((?:[A-Z]\.){2,10}|[A-Z]{2,10}\b)", r"\b(\d+(?:st|nd|rd|th)\s+[A-Z]\w*)", r"\b([A-Z]\w+\s+\d{1,4})\b", r"\b([A-Z][\w'’]+(?:\s+(?:of|the|and)?\s*[A-Z][\w'’]+)*)", r"\b(\w+(?:-\w+)+)\b")
     found = [(m.start(1), -len(m[1]), k, m[1]) for k, p in enumerate(kinds) for m in re.finditer(p, question)]
     out, end = [], 0
     for start, size, _, text in sorted(found):
