@@ -325,7 +325,7 @@ def owners(ids: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarr
 
 
 def _resolve(texts: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.ndarray, own: np.ndarray, least: np.ndarray, size: int, used: np.ndarray) -> None:
-    number, length, prefix = sorted_suffixes(data, starts[texts], sizes[texts], used)
+    number, length, prefix = sorted_suffixes(data, starts[texts], sizes[texts], used, size)
     runs = np.cumsum(prefix < size)
     windows = length >= size
     t, length, runs = texts[number[windows]], length[windows], runs[windows]

@@ -45,11 +45,12 @@ def symbols(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.bincount(data, minlength=256)) if len(data) else np.zeros(0, int)
 
 
-def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, used: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, length, and common prefix (CAP at most) with the one before, of all suffixes in sorted order.
 
     data: bytes; text i is data[starts[i]:starts[i] + sizes[i]]; a suffix that is a prefix of another comes first,
-    equal suffixes come in the order of texts. used: symbols(data), where it is known.
+    equal suffixes come in the order of texts. used: symbols(data), where it is known. Suffixes shorter than `least` are
+    given as length 0 of text 0.
     """
     m, used = len(starts), symbols(data) if used is None else used
     kind = np.uint8 if len(used) < 256 else np.uint16
@@ -97,10 +98,11 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use
         files.close()
     # rows of a text's suffixes, from the empty one on, by the last transform
     order, rank, done = _columns(transform)
-    number, lengths = np.empty(len(transform), np.int64), np.empty(len(transform), np.int64)
+    number, lengths = np.zeros(len(transform), np.int32), np.zeros(len(transform), np.int32)
     row, texts, length = np.arange(m), np.arange(m), 0
     while len(texts):
-        number[row], lengths[row] = texts, length
+        if length >= least:
+            number[row], lengths[row] = texts, length
         more = sizes[texts] > length
         row, texts, length = m + rank[row[more]] - done, texts[more], length + 1
     return number, lengths, prefix
