@@ -159,3 +159,18 @@ def test_save_never_replaces(spark, tmp_path):
     tables.save(spark.range(1), str(tmp_path / "x"))
     with pytest.raises(Exception, match="(?i)exist"):
         tables.save(spark.range(1), str(tmp_path / "x"))
+
+
+def test_docx(spark, tmp_path):
+    import zipfile
+
+    from quarry.sources import office
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    xml = f"<w:document {w}><w:body>{p('One')}<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl>{p('')}{p('Two')}</w:body></w:document>"
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/document.xml", xml)
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    (tmp_path / "y.txt").write_text("plain")
+    assert {r.document: r.text for r in office.documents(spark, str(tmp_path)).collect()} == {"x.docx": "One\na | b\nTwo", "bad.docx": None, "y.txt": "plain"}
