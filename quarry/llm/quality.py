@@ -1,11 +1,11 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A document's features are hashed words (present or not) and a few statistics of its whole text; one weight vector w
+A document's features are hashed words and beginnings of words (present or not) and a few statistics of its whole text; one weight vector w
 is shared by all grades and ordered thresholds split the score: P(grade <= k) = sigmoid(threshold_k - w.x). Grades
 from the labels: 0 toxic, 1 low quality, 2 good. A document is kept if the tail probability P(grade = 2) is at least
 `keep_at`; the expected grade ranks documents.
 
-The model is fitted on the driver on a bounded sample: the `max_rows` (12,000) labelled documents with the smallest
+The model is fitted on the driver on a bounded sample: the `max_rows` (8,000) labelled documents with the smallest
 hash of doc_id. Only their hashed features reach the driver, not their texts; all documents are scored on executors.
 
 Defined results: null and empty texts have no words and are scored by their statistics (all zero); labels with
@@ -33,14 +33,18 @@ N_STATS = 9
 GRADES = 3
 _UPPER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _MARKS = b"!\"#$%&*+/:;<=>?@[\\]^_`{|}~"
-_hashes: dict[bytes, int] = {}
+#: Beginnings of words, in bytes, that are features beside the words.
+STEMS = (4, 6)
+_hashes: dict[bytes, list[int]] = {}
 
 
-def _hash(word: bytes) -> int:
+def _hash(word: bytes) -> list[int]:
+    """A word's feature and those of its beginnings."""
     if (h := _hashes.get(word)) is None:
-        if len(_hashes) >= 500_000:
+        if len(_hashes) >= 300_000:
             _hashes.clear()
-        h = _hashes[word] = zlib.crc32(word) & ((1 << BITS) - 1)
+        parts = [word, *(b"%d:%b" % (n, word[:n]) for n in STEMS if len(word) >= n)]
+        h = _hashes[word] = [zlib.crc32(p) & ((1 << BITS) - 1) for p in parts]
     return h
 
 
@@ -49,7 +53,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.translate(WORD_BYTES).split()
     kinds = set(words)
-    ids = np.fromiter(map(_hash, kinds), np.int32, len(kinds))
+    ids = np.array([h for w in kinds for h in _hash(w)], np.int32)
     size = max(1, len(data))
     share = lambda drop: (len(data) - len(data.translate(None, drop))) / size
     lines = [x for x in data.split(b"\n") if x]
@@ -80,8 +84,8 @@ class Ordinal:
         return _sigmoid(scores[:, None] - self.cuts[None, :])
 
 
-def fit(ids: list[np.ndarray], stats: np.ndarray, grades: np.ndarray, *, rounds: int = 300, rate: float = 0.2, ridge: float = 1e-4, least_docs: int = 5) -> Ordinal:
-    """Full-batch Adam on the mean log likelihood; words of fewer than least_docs sample documents get no weight."""
+def fit(ids: list[np.ndarray], stats: np.ndarray, grades: np.ndarray, *, rounds: int = 300, rate: float = 0.2, ridge: float = 3e-4, least_docs: int = 5) -> Ordinal:
+    """Full-batch Adam, its rate falling to zero, on the mean log likelihood; words of fewer than least_docs sample documents get no weight."""
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     often = np.bincount(flat, minlength=1 << BITS) >= least_docs
@@ -108,7 +112,7 @@ def fit(ids: list[np.ndarray], stats: np.ndarray, grades: np.ndarray, *, rounds:
         g = np.concatenate([np.bincount(flat, ds[row], k), x.T @ ds, [dcut.sum()], [dcut[j:].sum() * np.exp(p[len(p) - GRADES + 1 + j]) for j in range(1, GRADES - 1)]])
         g[:k] -= ridge * p[:k]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p += rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
+        p += rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
     cuts = np.concatenate([p[-(GRADES - 1)][None], p[-(GRADES - 1)] + np.cumsum(np.exp(p[len(p) - GRADES + 2:]))])
     words = np.zeros(1 << BITS, np.float32)
     words[used] = p[:k]
@@ -128,7 +132,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()), batch.column(1)], ["ids", "stats", "grade"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, text: str = "text") -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, text: str = "text") -> Ordinal | None:
     small_batches(docs.sparkSession)
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     joined = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(sample), "doc_id").select("t", "grade")
