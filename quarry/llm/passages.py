@@ -39,6 +39,8 @@ PIECE = 16
 MOST = 40  # windows of a fragment
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 _HALF = np.uint64(1 << 63)
+# one context for all blobs of a process
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -105,11 +107,11 @@ def fragments(data: np.ndarray, ends: np.ndarray, size: int, hot: Hot) -> tuple[
 def _pack(arrays: list[np.ndarray]) -> bytes:
     """Arrays as one compressed blob; numbers of 32 bits, most of them rising places, by their differences."""
     parts = [np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint32 else a for a in arrays]
-    return zstandard.compress(struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(p.tobytes() for p in parts), 1)
+    return _ZIP.compress(struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(p.tobytes() for p in parts))
 
 
 def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
+    raw = _UNZIP.decompress(blob)
     sizes, at, out = struct.unpack_from(f"<{len(kinds)}I", raw), 4 * len(kinds), []
     for n, kind in zip(sizes, kinds, strict=True):
         a = np.frombuffer(raw, kind, n, at)
@@ -132,12 +134,12 @@ TEXTS = (*ANCHORS, np.uint8)
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, text) with compressed texts, for the way through a shuffle."""
     for batch in batches:
-        texts = [None if t is None else zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(2).to_pylist()]
+        texts = [None if t is None else _ZIP.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "key", "text"])
 
 
 def _unzipped(text: bytes | None) -> bytes:
-    return zstandard.decompress(text) if text else b""
+    return _UNZIP.decompress(text) if text else b""
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
