@@ -4,11 +4,18 @@ A document is the sequence of its lines that are not blank, trimmed. From each l
 following lines that together have at least `min_words` words (so it holds at most min_words lines), and selects its
 smallest line hash as fingerprint: whatever run of `min_words` words or more two places share, both select the same
 fingerprint in it. Fingerprints found at one place only are discarded (positions joined by semi-join), the windows
-around the others are compared in full, and neighbouring matches add up, i.e. extend both ways, to the maximal repeated runs. Every line of
-a window that also occurs earlier - in a smaller doc_id, or before it in the same document - is deleted.
+around the others are compared in full. Every line of a window that also occurs earlier - in a smaller doc_id, or
+before it in the same document - is deleted.
 
-Defined results: null text stays null and has no lines; blank lines and lines in no repeated window stay; a tail of
-less than min_words words has no window; documents with null doc_id come first in the order; rows with the same
+The lines that end a repeated run with less than `min_words` words after the start of its last window lie in no window
+of the run. `extend` deletes them too: a window is followed by its tail, the next lines as long as they and the
+window's lines but the first have less than `min_words` words, and each prefix of the tail that occurs earlier behind
+the same window goes. So exactly the lines of all runs of `min_words` words or more that occur earlier are deleted (to
+the front nothing is left, since an equal line before a window starts a window itself). The SQL of op10 and the tests
+of operator and pipeline set the result without `extend`.
+
+Defined results: null text stays null and has no lines; blank lines and lines in no repeated window stay; the lines
+of a document's end with less than min_words words have no window; documents with null doc_id come first in the order; rows with the same
 doc_id and the same text count as one place, so they get the same lines deleted; rows with the same doc_id and
 different texts are ordered by a hash of the text; an empty table gives an empty result; further columns stay, those named like results are replaced.
 """
@@ -23,7 +30,7 @@ from quarry.llm.common import table, without, written
 
 
 def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(__d, __h, lines array<struct<pos,a,b,w>>, fp, wa, wb) for each window; docs: __d, __h, __t."""
+    """(__d, __h, lines array<struct<pos,a,b,w>>, tail (likewise), fp, wa, wb) for each window; docs: __d, __h, __t."""
     # __c keeps the lines of rows that repeat a document apart
     docs = docs.withColumn("__c", F.monotonically_increasing_id())
     lines = docs.select("__d", "__h", "__c", F.posexplode(F.split("__t", "\n")).alias("pos", "raw"))
@@ -38,30 +45,45 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
     # length of the window: first prefix with enough words, 0 if the document ends before
     size = F.aggregate("f", F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")), lambda s, x: F.when(s.w >= min_words, s).otherwise(F.struct((s.n + 1).alias("n"), (s.w + x.w).alias("w"))), lambda s: F.when(s.w >= min_words, s.n).otherwise(0))
     out = ahead.withColumn("n", size).filter("n > 0").withColumn("lines", F.slice("f", 1, F.col("n")))
+    # the first lines after the first that have less than min_words words together
+    reach = F.aggregate(F.slice("f", 2, F.size("f")), F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")), lambda s, x: F.struct(F.when(s.w + x.w < min_words, s.n + 1).otherwise(s.n).alias("n"), (s.w + x.w).alias("w")), lambda s: s.n)
+    out = out.withColumn("tail", F.slice("f", F.col("n") + 1, F.greatest(reach + 1 - F.col("n"), F.lit(0))))
     return out.select(
-        "__d", "__h", "lines", F.array_min(F.transform("lines", lambda x: x.a)).alias("fp"),
+        "__d", "__h", "lines", "tail", F.array_min(F.transform("lines", lambda x: x.a)).alias("fp"),
         F.xxhash64(F.transform("lines", lambda x: x.a)).alias("wa"), F.xxhash64(F.transform("lines", lambda x: x.b)).alias("wb"),
     )
 
 
-def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
+def repeated_tails(members: DataFrame) -> DataFrame:
+    """(__d, __h, p): lines of tails that occur earlier behind the same window. members: repeated windows with `at`."""
+    runs = members.filter("size(tail) > 0").select("__d", "__h", "at", "lines", "tail", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("k"))
+    run = F.concat("lines", F.slice("tail", 1, F.col("k")))
+    runs = runs.select("__d", "__h", "at", F.get("tail", F.col("k") - 1).pos.alias("p"), F.xxhash64(F.transform(run, lambda x: x.a)).alias("ra"), F.xxhash64(F.transform(run, lambda x: x.b)).alias("rb"))
+    first = runs.groupBy("ra", "rb").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("ra", "rb", "first")
+    return runs.join(first, ["ra", "rb"]).filter("at > first").select("__d", "__h", "p")
+
+
+def repeated_lines(docs: DataFrame, min_words: int, extend: bool = False) -> DataFrame:
     """(__d, __h, gone array<int>): positions of the lines to delete."""
-    win = written(windows(docs, min_words), "windows").withColumn("at", F.struct("__d", "__h", F.col("lines")[0].pos.alias("p")))
+    win = windows(docs, min_words)
+    win = written(win if extend else win.drop("tail"), "windows").withColumn("at", F.struct("__d", "__h", F.col("lines")[0].pos.alias("p")))
     # a fingerprint at one place only cannot lie in a repeated run
     shared = win.groupBy("fp").agg(F.min("at").alias("x"), F.max("at").alias("y")).filter("x < y").select("fp")
     seeded = win.join(shared, "fp", "left_semi")
     first = seeded.groupBy("wa", "wb").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("wa", "wb", "first")
     later = seeded.join(first, ["wa", "wb"]).filter("at > first")
     gone = later.select("__d", "__h", F.explode("lines.pos").alias("p"))
+    if extend:
+        gone = gone.unionByName(repeated_tails(seeded.join(first.select("wa", "wb"), ["wa", "wb"], "left_semi")))
     return gone.groupBy("__d", "__h").agg(F.collect_set("p").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 10, text: str = "text") -> DataFrame:
-    """docs with text without its later repeated lines, and n_lines, n_lines_removed (long)."""
+def dedup_lines(docs: DataFrame, *, min_words: int = 10, text: str = "text", extend: bool = False) -> DataFrame:
+    """docs with text without its later repeated lines (extend: and without the tails of the repeated runs), and n_lines, n_lines_removed (long)."""
     docs = without(docs, "n_lines", "n_lines_removed")
     keep = docs.columns
     base = docs.withColumns({"__d": F.col("doc_id"), "__h": F.xxhash64(text), "__t": F.col(text)})
-    gone = repeated_lines(base.filter("__t is not null").select("__d", "__h", "__t"), min_words)
+    gone = repeated_lines(base.filter("__t is not null").select("__d", "__h", "__t"), min_words, extend)
     gone = gone.withColumnsRenamed({"__d": "__gd", "__h": "__gh", "gone": "__gone"}).hint("shuffle_hash")
     both = base.join(gone, F.col("__d").eqNullSafe(F.col("__gd")) & (F.col("__h") == F.col("__gh")), "left")
     parts = F.split("__t", "\n")
