@@ -1,97 +1,129 @@
 """Line dedup by winnowing. DataFrame operations only.
 
-A document is the sequence of its lines that are not blank, trimmed. From each line a window runs over the fewest
-following lines that together have at least `min_words` words (so it holds at most min_words lines), and selects its
-smallest line hash as fingerprint: whatever run of `min_words` words or more two places share, both select the same
-fingerprint in it. Fingerprints found at one place only are discarded (positions joined by semi-join), the windows
-around the others are compared in full. Every line of a window that also occurs earlier - in a smaller doc_id, or
-before it in the same document - is deleted.
-
-The lines that end a repeated run with less than `min_words` words after the start of its last window lie in no window
-of the run. `extend` deletes them too: a window is followed by its tail, the next lines as long as they and the
-window's lines but the first have less than `min_words` words, and each prefix of the tail that occurs earlier behind
-the same window goes. So exactly the lines of all runs of `min_words` words or more that occur earlier are deleted (to
-the front nothing is left, since an equal line before a window starts a window itself). The SQL of op10 and the tests
-of operator and pipeline set the result without `extend`.
-
-Defined results: null text stays null and has no lines; blank lines and lines in no repeated window stay; the lines
-of a document's end with less than min_words words have no window; documents with null doc_id come first in the order; rows with the same
-doc_id and the same text count as one place, so they get the same lines deleted; rows with the same doc_id and
-different texts are ordered by a hash of the text; an empty table gives an empty result; further columns stay, those named like results are replaced.
+A document is the sequence of its lines that are not blank, trimmed. A run is a stretch of such lines with at least
+`min_words` words; it is repeated if it also begins at an earlier place: in a smaller doc_id, or before it in the same
+document. Exactly the lines of all repeated runs are deleted.
+
+1. Winnowing. From each line a window runs over the fewest lines that have `min_words` words, and selects its line of
+   smallest hash as fingerprint. Whatever run two places share holds a whole window, so both select the same
+   fingerprint in it. Neighbouring windows mostly select the same line: one row leaves for each selected line.
+2. Positions of equal fingerprints are joined: fingerprints at one place only are discarded.
+3. Matches are extended both ways from the fingerprints that are left: to the left by the windows that begin before
+   it and hold it, to the right line by line while what follows the window's first line has less than `min_words`
+   words. Each stretch is compared by two hashes of its lines, with its earliest place, not pair by pair.
+4. What also begins earlier is deleted. These stretches cover all repeated runs: a line of one lies in a window of it,
+   or, where less than `min_words` words of the run follow the last window's first line, behind that window.
+
+Defined results: null text stays null and has no lines; blank lines stay; documents with null doc_id come first in the
+order; rows with the same doc_id and the same text count as one place, so they get the same lines deleted; rows with
+the same doc_id and different texts are ordered by a hash of the text; equal places can't tie otherwise; a text of any
+length is one row, its work grows with its lines; an empty table gives an empty result; further columns stay, those
+named like results are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from quarry.functions.text import once
 from quarry.llm.common import table, without, written
 
+#: What lines are trimmed of and words are separated by (beside the newline).
+BLANKS = " \t\r\f\u000b"
 
-def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(__d, __h, lines array<struct<pos,a,b,w>>, tail (likewise), fp, wa, wb) for each window; docs: __d, __h, __t."""
-    # __c keeps the lines of rows that repeat a document apart
-    docs = docs.withColumn("__c", F.monotonically_increasing_id())
-    lines = docs.select("__d", "__h", "__c", F.posexplode(F.split("__t", "\n")).alias("pos", "raw"))
-    # without blanks, tabs and carriage returns at either end
-    lines = lines.select("__d", "__h", "__c", "pos", F.trim("raw", F.lit(" \t\r\f\u000b")).alias("l")).filter("l != ''")
-    lines = lines.select("__d", "__h", "__c", F.struct(
-        "pos", F.xxhash64("l").alias("a"), F.xxhash64(F.lit(1), "l").alias("b"),
-        (F.length("l") - F.length(F.replace("l", F.lit(" "), F.lit(""))) + 1).alias("w"),
-    ).alias("x"))
-    order = W.partitionBy("__d", "__h", "__c").orderBy("x.pos")
-    ahead = lines.withColumn("f", F.collect_list("x").over(order.rowsBetween(0, min_words - 1)))
-    # length of the window: first prefix with enough words, 0 if the document ends before
-    size = F.aggregate("f", F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")), lambda s, x: F.when(s.w >= min_words, s).otherwise(F.struct((s.n + 1).alias("n"), (s.w + x.w).alias("w"))), lambda s: F.when(s.w >= min_words, s.n).otherwise(0))
-    out = ahead.withColumn("n", size).filter("n > 0").withColumn("lines", F.slice("f", 1, F.col("n")))
-    # the first lines after the first that have less than min_words words together
-    reach = F.aggregate(F.slice("f", 2, F.size("f")), F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")), lambda s, x: F.struct(F.when(s.w + x.w < min_words, s.n + 1).otherwise(s.n).alias("n"), (s.w + x.w).alias("w")), lambda s: s.n)
-    out = out.withColumn("tail", F.slice("f", F.col("n") + 1, F.greatest(reach + 1 - F.col("n"), F.lit(0))))
-    return out.select(
-        "__d", "__h", "lines", "tail", F.array_min(F.transform("lines", lambda x: x.a)).alias("fp"),
-        F.xxhash64(F.transform("lines", lambda x: x.a)).alias("wa"), F.xxhash64(F.transform("lines", lambda x: x.b)).alias("wb"),
-    )
-
-
-def repeated_tails(members: DataFrame) -> DataFrame:
-    """(__d, __h, p): lines of tails that occur earlier behind the same window. members: repeated windows with `at`."""
-    runs = members.filter("size(tail) > 0").select("__d", "__h", "at", "lines", "tail", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("k"))
-    run = F.concat("lines", F.slice("tail", 1, F.col("k")))
-    runs = runs.select("__d", "__h", "at", F.get("tail", F.col("k") - 1).pos.alias("p"), F.xxhash64(F.transform(run, lambda x: x.a)).alias("ra"), F.xxhash64(F.transform(run, lambda x: x.b)).alias("rb"))
-    first = runs.groupBy("ra", "rb").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("ra", "rb", "first")
-    return runs.join(first, ["ra", "rb"]).filter("at > first").select("__d", "__h", "p")
 
+def line_hashes(text: Column) -> Column:
+    """array<struct<pos, a, b, w>>: place, two hashes and number of words of each line that is not blank."""
+    trimmed = F.transform(F.split(text, "\n"), lambda s, i: F.struct(i.alias("pos"), F.trim(s, F.lit(BLANKS)).alias("l")))
+    words = lambda x: F.regexp_count(x.l, F.lit(r"[^ \t\r\f\x0b]+"))
+    return F.transform(F.filter(trimmed, lambda x: x.l != ""), lambda x: F.struct(
+        x.pos.alias("pos"), F.xxhash64(x.l).alias("a"), F.xxhash64(F.lit(1), x.l).alias("b"), words(x).alias("w")))
+
+
+def windows(lines: Column, min_words: int) -> Column:
+    """array<struct<n, m, fp>> by first line: lines of the window (0: the document ends before), lines up to where those
+    behind the first have min_words words, and the fingerprint (hash, place)."""
+    zero = F.struct(*(F.lit(0).alias(x) for x in ("k", "w", "first", "n", "m")))
+
+    def step(s: Column, x: Column) -> Column:
+        k, w = s.k + 1, s.w + x.w
+        first = F.when(s.k == 0, x.w).otherwise(s["first"])
+        return F.struct(
+            k.alias("k"), w.alias("w"), first.alias("first"),
+            F.when((s.n == 0) & (w >= min_words), k).otherwise(s.n).alias("n"),
+            F.when((s.k == 0) | (w - first < min_words), k).otherwise(s.m).alias("m"),
+        )
+
+    def window(x: Column, i: Column) -> Column:
+        size = F.aggregate(F.slice(lines, i + 1, F.lit(min_words)), zero, step)
+        least = lambda v: F.array_min(F.transform(F.slice(lines, i + 1, v.n), lambda y: F.struct(y.a.alias("a"), y.pos.alias("pos"))))
+        return once(size, lambda v: F.struct(v.n.alias("n"), v.m.alias("m"), least(v).alias("fp")))
+
+    return F.transform(lines, window)
+
+
+def fingerprints(text: Column, min_words: int) -> Column:
+    """array<struct<fp, matches array<struct<p, runs array<struct<q, ra, rb>>>>>>: each selected line once, with the
+    stretches of lines p..q around it and their hashes."""
+
+    def stretches(lines: Column, s: Column, v: Column) -> Column:
+        def run(k: Column) -> Column:
+            part = F.slice(lines, s + 1, k)
+            return F.struct(F.get(lines, s + k - 1).pos.alias("q"), F.xxhash64(F.transform(part, lambda x: x.a)).alias("ra"), F.xxhash64(F.transform(part, lambda x: x.b)).alias("rb"))
+
+        return F.struct(F.get(lines, s).pos.alias("p"), F.transform(F.sequence(v.n, F.greatest(v.n, v.m)), run).alias("runs"))
 
-def repeated_lines(docs: DataFrame, min_words: int, extend: bool = False) -> DataFrame:
-    """(__d, __h, gone array<int>): positions of the lines to delete."""
-    win = windows(docs, min_words)
-    win = written(win if extend else win.drop("tail"), "windows").withColumn("at", F.struct("__d", "__h", F.col("lines")[0].pos.alias("p")))
+    def selected(lines: Column, wins: Column) -> Column:
+        def group(w: Column, i: Column) -> Column:
+            # windows that hold a line begin at most min_words - 1 lines before it, one after the other
+            near = F.transform(F.slice(wins, i + 1, F.lit(min_words)), lambda v, j: F.struct((i + j).alias("s"), v.n.alias("n"), v.m.alias("m"), v.fp.alias("fp")))
+            same = F.filter(near, lambda v: v.fp == w.fp)
+            new = w.fp.isNotNull() & ((i == 0) | ~F.get(wins, i - 1).fp.eqNullSafe(w.fp))
+            return F.when(new, F.struct(w.fp.a.alias("fp"), F.transform(same, lambda v: stretches(lines, v.s, v)).alias("matches")))
+
+        return F.filter(F.transform(wins, group), lambda x: x.isNotNull())
+
+    return once(line_hashes(text), lambda lines: once(windows(lines, min_words), lambda wins: selected(lines, wins)))
+
+
+def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(__d, __h, gone array<int>): places between which no line but a blank one stays; docs: __d, __h, __t."""
+    marks = docs.select("__d", "__h", F.explode(fingerprints(F.col("__t"), min_words)).alias("x")).select("__d", "__h", "x.fp", "x.matches")
+    marks = written(marks, "fingerprints")
     # a fingerprint at one place only cannot lie in a repeated run
-    shared = win.groupBy("fp").agg(F.min("at").alias("x"), F.max("at").alias("y")).filter("x < y").select("fp")
-    seeded = win.join(shared, "fp", "left_semi")
-    first = seeded.groupBy("wa", "wb").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("wa", "wb", "first")
-    later = seeded.join(first, ["wa", "wb"]).filter("at > first")
-    gone = later.select("__d", "__h", F.explode("lines.pos").alias("p"))
-    if extend:
-        gone = gone.unionByName(repeated_tails(seeded.join(first.select("wa", "wb"), ["wa", "wb"], "left_semi")))
-    return gone.groupBy("__d", "__h").agg(F.collect_set("p").alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, *, min_words: int = 10, text: str = "text", extend: bool = False) -> DataFrame:
-    """docs with text without its later repeated lines (extend: and without the tails of the repeated runs), and n_lines, n_lines_removed (long)."""
+    shared = marks.groupBy("fp").count().filter("count > 1").select("fp")
+    matches = marks.join(shared, "fp", "left_semi").select("__d", "__h", F.explode("matches").alias("m"))
+    runs = matches.select("__d", "__h", F.col("m.p").alias("p"), F.explode("m.runs").alias("r"))
+    runs = runs.select(F.struct("__d", "__h", "p").alias("at"), "r.q", "r.ra", "r.rb")
+    first = runs.groupBy("ra", "rb").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("ra", "rb", "first")
+    later = runs.join(first, ["ra", "rb"]).filter("at > first")
+    # of the stretches from one line the longest holds the others
+    longest = later.groupBy("at").agg(F.max("q").alias("q"))
+    gone = longest.select("at.__d", "at.__h", F.explode(F.sequence("at.p", "q")).alias("line"))
+    return gone.groupBy("__d", "__h").agg(F.collect_set("line").alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, *, min_words: int = 10, text: str = "text") -> DataFrame:
+    """docs with text without its later repeated runs of lines, and n_lines, n_lines_removed (long)."""
     docs = without(docs, "n_lines", "n_lines_removed")
     keep = docs.columns
     base = docs.withColumns({"__d": F.col("doc_id"), "__h": F.xxhash64(text), "__t": F.col(text)})
-    gone = repeated_lines(base.filter("__t is not null").select("__d", "__h", "__t"), min_words, extend)
+    gone = repeated_lines(base.filter("__t is not null").select("__d", "__h", "__t"), min_words)
     gone = gone.withColumnsRenamed({"__d": "__gd", "__h": "__gh", "gone": "__gone"}).hint("shuffle_hash")
     both = base.join(gone, F.col("__d").eqNullSafe(F.col("__gd")) & (F.col("__h") == F.col("__gh")), "left")
-    parts = F.split("__t", "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
-    both = both.withColumn("__parts", F.when(F.col("__gone").isNotNull(), parts))
-    clean = F.when(F.col("__gone").isNull(), F.col("__t")).otherwise(F.array_join(F.transform(rest, lambda i: F.get("__parts", i)), "\n"))
+
+    def kept(parts: Column) -> Column:
+        places = F.transform(parts, lambda s, i: F.when(F.trim(s, F.lit(BLANKS)) == "", i))
+        blank = F.filter(places, lambda i: i.isNotNull())
+        rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+        return F.transform(F.array_sort(F.array_union(rest, blank)), lambda i: F.get(parts, i))
+
     count = F.coalesce(F.length("__t") - F.length(F.replace("__t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    out = both.withColumns({"__clean": clean, "__n": count, "__g": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
+    both = both.withColumns({"__n": count, "__left": F.when(F.col("__gone").isNotNull(), once(F.split("__t", "\n"), kept))})
+    clean = F.when(F.col("__left").isNull(), F.col("__t")).otherwise(F.array_join("__left", "\n"))
+    removed = F.when(F.col("__left").isNull(), F.lit(0)).otherwise(F.col("__n") - F.size("__left")).cast("long")
+    out = both.withColumns({"__clean": clean, "__g": removed})
     return out.select(*[F.col("__clean").alias(c) if c == text else F.col(c) for c in keep], F.col("__n").alias("n_lines"), F.col("__g").alias("n_lines_removed"))
 
 
@@ -101,23 +133,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_line_dedup": op10}
+#: All runs of at most ten lines with ten words or more (each line of a longer one lies in such a run of it).
 SQL = {
     "op10_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, pos, raw, trim(raw, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS s
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
 ), n AS (
-  SELECT doc_id, pos, s, length(s) - length(replace(s, ' ', '')) + 1 AS w FROM l WHERE s <> ''
+  SELECT doc_id, pos, s, len(regexp_extract_all(s, '[^ \t\r\f\v]+')) AS w FROM l WHERE s <> ''
 ), f AS (
   SELECT doc_id, pos, list({'pos': pos, 's': s, 'w': w}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS f FROM n
-), g AS (
-  SELECT doc_id, pos, f, list_filter(range(1, len(f) + 1), lambda k: list_sum(list_transform(f[1:k], lambda x: x.w)) >= 10) AS ok FROM f
-), win AS (
-  SELECT doc_id, pos, f[1:ok[1]] AS lines, list_transform(f[1:ok[1]], lambda x: x.s) AS body FROM g WHERE len(ok) > 0
+), runs AS (
+  SELECT doc_id, pos, f[1:k] AS lines FROM (SELECT doc_id, pos, f, unnest(range(1, len(f) + 1)) AS k FROM f)
+  WHERE list_sum(list_transform(f[1:k], lambda x: x.w)) >= 10
+), named AS (
+  SELECT doc_id, pos, list_transform(lines, lambda x: x.pos) AS places, md5(array_to_string(list_transform(lines, lambda x: x.s), chr(10))) AS body FROM runs
 ), later AS (
-  SELECT doc_id, lines FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS rn FROM win) WHERE rn > 1
+  SELECT doc_id, places FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS rn FROM named) WHERE rn > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(lines, lambda x: x.pos)) AS pos FROM later
+  SELECT DISTINCT doc_id, unnest(places) AS pos FROM later
 )
 SELECT d.doc_id, CAST(coalesce(max(k.n), 0) AS BIGINT) AS n_lines, CAST(coalesce(max(k.g), 0) AS BIGINT) AS n_lines_removed,
        sha256(coalesce(max(k.t), '')) AS kept_sha256

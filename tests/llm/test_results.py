@@ -205,19 +205,18 @@ def test_quality_held_out(spark):
 
 
 def lines_brute(docs, min_words=10):
+    """Texts without all lines of runs of min_words words or more that begin earlier too, run by run; of a run's lines
+    each lies in one of at most min_words lines."""
     seen, gone = set(), {d: set() for d, _ in docs}
     for d, t in sorted(docs):
         rows = [(i, s) for i, raw in enumerate((t or "").split("\n")) if (s := raw.strip(" \t\r\f\v"))]
         for a in range(len(rows)):
-            n, b = 0, a
-            while b < len(rows) and n < min_words:
-                n += rows[b][1].count(" ") + 1
-                b += 1
-            if n >= min_words:
-                key = tuple(s for _, s in rows[a:b])
-                if key in seen:
-                    gone[d] |= {i for i, _ in rows[a:b]}
-                seen.add(key)
+            for b in range(a + 1, min(len(rows), a + min_words) + 1):
+                run = tuple(s for _, s in rows[a:b])
+                if sum(len(s.split()) for s in run) >= min_words:
+                    if run in seen:
+                        gone[d] |= {i for i, _ in rows[a:b]}
+                    seen.add(run)
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
 
 

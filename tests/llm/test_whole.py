@@ -14,7 +14,7 @@ def runs_brute(docs, min_words=10):
         for a in range(len(rows)):
             for b in range(a + 1, len(rows) + 1):
                 run = tuple(s for _, s in rows[a:b])
-                if sum(s.count(" ") + 1 for s in run) >= min_words:
+                if sum(len(s.split()) for s in run) >= min_words:
                     if run in seen:
                         gone[d] |= {i for i, _ in rows[a:b]}
                     seen.add(run)
@@ -25,7 +25,7 @@ def test_lines_extended_to_the_end_of_runs(spark):
     long = "one two three four five six seven eight nine ten eleven"
     docs = [(1, f"{long}\nend."), (2, f"{long}\nend."), (3, f"{long}\nother end."), (4, f"{long}\nother end.\nx"), (5, f"a\nb\n{long}\n\nend.\nc"), (6, f"a\nb\n{long}\nnew"), (7, None)]
     docs += [(8 + i, "\n".join(f"l{(i * j * j + j) % 5} w w"[: 2 + 2 * (j % 3)].strip() for j in range(14))) for i in range(8)]
-    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), extend=True).collect()}
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == runs_brute(docs)
     assert got[2] == "" and got[4] == "x" and got[5] == "a\nb\n\nc" and got[6] == "new"
 
