@@ -109,6 +109,42 @@ def test_tokens_random():
     assert mine.count(texts) == [len(e.ids) for e in real.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_of_one_long_piece():
+    """A run of letters without any blank: exact, and in time that grows with its length, not its square."""
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real, mine = Tokenizer.from_file(path), tokens.Counter(tokens.read_vocabulary(path))
+    rnd, took = random.Random(2), []
+    for n in (100_000, 800_000):
+        text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.process_time()
+        count = mine.count([text])
+        took.append(time.process_time() - began)
+        assert count == [len(real.encode(text, add_special_tokens=False).ids)]
+    assert took[1] < 24 * took[0]
+
+
+def test_tokens_maps_compose():
+    """Cut anywhere, the chunks' maps give the count of the whole, also where the tables are full and start anew."""
+    import public_tokenizers
+
+    mine = tokens.Counter(tokens.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))).merges
+    rnd = random.Random(4)
+    for room in (1_000_000, 40):
+        mine.room = room
+        for _ in range(300):
+            data = "".join(rnd.choice("etaoin shr") for _ in range(rnd.randint(1, 40))).encode()
+            state = total = 0
+            for chunk in (data[:(k := rnd.randint(0, len(data)))], data[k:]):
+                state, gained = mine.run(state, chunk)
+                total += gained
+            assert total == len(mine.merge(data))
+
+
 def test_tokens_query(spark, sf, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
