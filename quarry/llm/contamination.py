@@ -16,7 +16,6 @@ further columns stay, a column named found is replaced.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -157,29 +156,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def brute_force(docs: list[tuple], items: list[tuple], n_words: int = 10) -> dict:
-    """The contract by plain loops, for tests: doc_id -> (n_words, n_hit, n_items, sha, contaminated)."""
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
-    keys: dict[tuple, set] = {}
-    for item, text in items:
-        w = split(text)
-        if item is not None and w:
-            for i in range(max(1, len(w) - n_words + 1)):
-                keys.setdefault(tuple(w[i:i + n_words]), set()).add(str(item))
-    out = {}
-    for doc, text in docs:
-        w = split(text)
-        hit, found = set(), set()
-        for size in {len(k) for k in keys}:
-            for i in range(len(w) - size + 1):
-                if (k := tuple(w[i:i + size])) in keys:
-                    hit |= set(range(i, i + size))
-                    found |= keys[k]
-        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
-    return out
-
-
 QUERIES = {"op2_decontaminate": op2}
 SQL = {
     "op2_decontaminate": r"""

@@ -229,15 +229,5 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
-def brute_force(rows: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]], k: int = 10) -> dict[int, list[tuple[int, float]]]:
-    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
-    out = {}
-    for i, q in queries:
-        d = np.sqrt(((x - np.asarray(q, float)) ** 2).sum(1))
-        order = np.lexsort((ids, d))
-        out[i] = [(int(ids[j]), float(d[j])) for j in order if ids[j] != i][:k]
-    return out
-
-
 QUERIES = {"op1_nearest": op1}
 SQL: dict[str, str] = {}

@@ -434,26 +434,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute_force(docs: list[tuple[int, str | None]], size: int = 50) -> dict[int, tuple[int, int, int, str]]:
-    """The contract by a table of all strings, for tests: doc_id -> (n_bytes, n_removed, n_spans, kept_sha256)."""
-    owner: dict[bytes, int] = {}
-    for d, t in docs:
-        data = (t or "").encode()
-        for i in range(len(data) - size + 1):
-            s = data[i:i + size]
-            owner[s] = min(owner.get(s, d), d)
-    out = {}
-    for d, t in docs:
-        data = (t or "").encode()
-        gone = bytearray(len(data))
-        for i in range(len(data) - size + 1):
-            if owner[data[i:i + size]] < d:
-                gone[i:i + size] = b"\1" * size
-        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
-        out[d] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out
-
-
 QUERIES = {"op5_repeated_strings": op5}
 SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from quarry.llm import contamination as C
 from quarry.llm import lines as L
 from quarry.llm import mixing as M
@@ -48,8 +49,8 @@ def test_contamination(spark, docs, none):
 
 
 def C_brute(text, items):
-    out = C.brute_force([(0, text)], [tuple(r) for r in items.collect()])[0]
-    found = [i for i in ("1", "4") if C.brute_force([(0, text)], [tuple(r) for r in items.collect() if str(r[0]) == i])[0][4]]
+    out = brute.contaminated([(0, text)], [tuple(r) for r in items.collect()])[0]
+    found = [i for i in ("1", "4") if brute.contaminated([(0, text)], [tuple(r) for r in items.collect() if str(r[0]) == i])[0][4]]
     return out[0], out[1], found
 
 
@@ -60,15 +61,35 @@ def test_contamination_offsets(spark):
     assert [row.text[s.start:s.end] for s in row.spans] == ["Das-ist ÉIN test"]
 
 
-def test_pii(docs, none):
-    field = pii.Field()
-    field.fit([pii.sentence(*r) for r in pii.labelled_rows(60)], rounds=5)
+@pytest.fixture(scope="module")
+def field():
+    f = pii.Field()
+    f.fit([s for r in pii.labelled_rows(300) for s in pii.sentences(*r)])
+    return f
+
+
+def test_pii(docs, none, field):
     found = pii.personal_data(docs, field)
     assert found.count() == len(TEXTS) and found.filter("size(pii) > 0").count() == 0
     assert pii.personal_data(none, field).count() == 0
     assert pii.personal_data(docs, pii.Field()).count() == len(TEXTS)
 
 
+def test_pii_in_nulls_repeats_long_texts_and_clashes(spark, field):
+    """Each row gets its own spans, also behind a very long line, and other columns stay."""
+    long = "wort " * 300_000
+    said = "Mail a.b@c.org, token = \"0123456789abcdef0123456789abcdef01234567\" from 10.0.0.1 or 4111 1111 1111 1111; +1 (555) 555-0100."
+    rows = [(1, said), (1, said), (None, said), (2, long + said), (3, None), (4, "é😀\n" + said), (5, long.replace(" ", "x") + " b@c.de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'p' as pii", "1 as n_email", "2 as base")
+    got = pii.personal_data(docs, field).collect()
+    cut = [(r.doc_id, [(s.kind, r.text[s.start:s.end], s.base) for s in r.pii]) for r in got]
+    whole = [("email", "a.b@c.org", True), ("secret", 'token = "0123456789abcdef0123456789abcdef01234567', False), ("ip", "10.0.0.1", True), ("card", "4111 1111 1111 1111", True), ("phone", "+1 (555) 555-0100", True)]
+    assert sorted(cut, key=str) == sorted([(1, whole), (1, whole), (None, whole), (2, whole), (3, []), (4, whole), (5, [("email", "b@c.de", True)])], key=str)
+    assert all(r.n_email == 1 and r.base == 2 for r in got)
+    marked = {r.doc_id: r.text for r in pii.masked(pii.personal_data(docs, field)).filter("doc_id in (3, 4)").collect()}
+    assert marked == {3: None, 4: 'é😀\nMail <EMAIL>, <SECRET>" from <IP> or <CARD>; <PHONE>.'}
+
+
 def test_tokens(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
