@@ -15,10 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, the warehouse, which executors share too;
+    a temporary folder only in local mode, where driver and executors are one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        if spark.sparkContext.master.startswith("local"):
+            where = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        else:
+            where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quarry-work"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 

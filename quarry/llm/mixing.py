@@ -3,10 +3,16 @@
 Shares p of the sources' tokens become weights p**alpha / sum(p**alpha). alpha is the smallest exponent in
 [0, 1] whose weights have at most the target entropy and repeat no source more than `repeat_limit` times; both
 conditions are monotone in alpha, so it is bisected (five levels a pass, see `solve_alpha`). A source's quota is
-floor(budget * weight) tokens. Its documents are dealt by hash into blocks of bounded size; full epochs take every
+floor(budget * weight) tokens. Its documents are dealt by hash into blocks of about `block_tokens` tokens; full epochs take every
 block, the last epoch takes blocks in a permuted order until the quota is used, and cuts the last block by document.
+The order's prefix sums are taken in two levels, so that no task has all blocks of a source: a window has a part of
+about `part_blocks` blocks, and another one the sums of a source's parts.
 
-Defined results: a null source is a source of its own; documents without words (null, empty or blank text) hold no
+Where no exponent in [0, 1] meets both conditions (a budget beyond `repeat_limit` times the tokens, or a target entropy below
+the sources' own), ValueError is raised before anything is drawn.
+
+Defined results: documents with equal keys (rows that repeat a document) are ordered by doc_id and tokens, and may swap places
+with each other only; a text of any length counts whole; a null source is a source of its own; documents without words (null, empty or blank text) hold no
 tokens and are never drawn; rows that repeat a doc_id are separate documents with the same place in the
 permutation; an empty table gives an empty result; further columns are carried along, whatever their names
 (but those named like results or with two leading underscores are dropped).
@@ -62,7 +68,7 @@ def solve_alpha(sources: DataFrame, budget: float, total: float, target_entropy:
     return high, best
 
 
-def mix(docs: DataFrame, *, carry: list[str] | None = None, budget: int | None = None, target_entropy: float | None = None, repeat_limit: float = 4.0, block_tokens: int = 250_000, seed: int = 17, source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, *, carry: list[str] | None = None, budget: int | None = None, target_entropy: float | None = None, repeat_limit: float = 4.0, block_tokens: int = 250_000, part_blocks: int = 1024, seed: int = 17, source: str = "source", text: str = "text") -> DataFrame:
     """A row for each draw: the columns to carry (all if None), mix_tokens, mix_epoch, mix_block (place of the block in its epoch) and mix_order (place in the block).
 
     Texts are read once, to count words; all else works on a table of the columns carried. budget: tokens to draw,
@@ -79,7 +85,7 @@ def mix(docs: DataFrame, *, carry: list[str] | None = None, budget: int | None =
     )
     named = written(named.filter("__tok > 0"), "mix-documents")
     sources = written(named.groupBy("__src").agg(F.sum("__tok").alias("__n")), "mix-sources")
-    total, most = sources.agg(F.sum("__n"), F.max("__n")).first()
+    total = sources.agg(F.sum("__n")).first()[0]
     extra = {"mix_tokens": F.col("__tok"), "mix_epoch": F.lit(0), "mix_block": F.lit(0).cast("long"), "mix_order": F.col("__key")}
     if not total:
         return named.withColumns(extra).select(*keep, *extra)
@@ -87,14 +93,21 @@ def mix(docs: DataFrame, *, carry: list[str] | None = None, budget: int | None =
     alpha, z = solve_alpha(sources, budget, total, target_entropy, repeat_limit)
     quota = F.floor(F.lit(float(budget)) * (F.col("__n") / F.lit(float(total))) ** F.lit(alpha) / F.lit(z) + F.lit(1e-6))
     plan = sources.withColumn("__quota", quota).withColumns({"__full": F.floor(F.col("__quota") / F.col("__n")).cast("int"), "__left": F.col("__quota") % F.col("__n")})
-    n_blocks = max(1, math.ceil(most / block_tokens))
-    dealt = named.withColumn("__blk", F.pmod("__key", F.lit(n_blocks)))
+    # blocks of about block_tokens tokens; a source's number of blocks follows its own size
+    plan = plan.withColumns({"__blocks": F.ceil(F.col("__n") / F.lit(float(block_tokens))).cast("long"), "__parts": F.ceil(F.col("__n") / F.lit(float(block_tokens) * part_blocks)).cast("long")})
+    dealt = named.join(plan.select("__src", "__blocks"), "__src").withColumn("__blk", F.pmod("__key", F.col("__blocks"))).drop("__blocks")
     blocks = dealt.groupBy("__src", "__blk").agg(F.sum("__tok").alias("__bn"))
-    order = W.partitionBy("__src").orderBy(F.xxhash64(F.lit(seed), F.col("__full"), F.col("__src"), F.col("__blk")), "__blk")
-    # one row for each source and block: the blocks of a source, not its documents, meet in a window
-    chosen = blocks.join(plan, "__src").withColumns({
-        "__end": F.sum("__bn").over(order.rowsBetween(W.unboundedPreceding, 0)),
-        "__place": F.row_number().over(order).cast("long"),
+    # blocks permuted by hash; their prefix sums in two levels: over parts of the hash range, then within each part
+    turn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("__full"), F.col("__src"), F.col("__blk")), 1)
+    blocks = blocks.join(plan, "__src").withColumn("__turn", turn)
+    blocks = blocks.withColumn("__part", F.least(F.floor(F.col("__turn") / F.lit(float(1 << 63)) * F.col("__parts")), F.col("__parts") - 1))
+    parts = blocks.groupBy("__src", "__part").agg(F.sum("__bn").alias("__sum"), F.count("*").alias("__count"))
+    so_far = W.partitionBy("__src").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("__src", "__part", F.coalesce(F.sum("__sum").over(so_far), F.lit(0)).alias("__before"), F.coalesce(F.sum("__count").over(so_far), F.lit(0)).alias("__earlier"))
+    order = W.partitionBy("__src", "__part").orderBy("__turn", "__blk")
+    chosen = blocks.join(parts, ["__src", "__part"]).withColumns({
+        "__end": F.col("__before") + F.sum("__bn").over(order.rowsBetween(W.unboundedPreceding, 0)),
+        "__place": F.col("__earlier") + F.row_number().over(order),
     }).withColumn("__room", F.least(F.col("__bn"), F.greatest(F.lit(0).cast("long"), F.col("__left") - (F.col("__end") - F.col("__bn")))))
     chosen = written(chosen.select("__src", "__blk", "__bn", "__full", "__place", "__room"), "mix-blocks")
     drawn = dealt.join(chosen, ["__src", "__blk"])

@@ -12,7 +12,10 @@ needs a large share of the lists.
 Lists are cut into blocks of bounded size and a query meets each block of its lists in a task of its own, which returns its
 `rerank` best codes; so a list that holds a third of all rows is many tasks.
 
-Defined results: vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do those of
+A query that the lists visited leave with fewer than k rows visits all lists, without passing over any code.
+
+Defined results: equal distances rank by id; vectors of any dimension are whole; of codes alike at the `rerank`-th place any may
+be left out; vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do those of
 another dimension than the sample's most frequent one; rows with null id take no part; rows that repeat an id and its vector are one;
 with different vectors each of them is searched, and none is a candidate of its own id; fewer than k candidates
 give as many rows; an empty table gives an empty result; further columns are ignored.
@@ -146,13 +149,15 @@ def _encoder(shared, dim: int):
     return run
 
 
-def _router(shared, dim: int, k: int):
+def _router(shared, dim: int, k: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             if batch.num_rows:
                 q = _matrix(batch.column(1), dim)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index.limits(q, k)), pa.array(index.visited(q).tolist(), pa.list_(pa.int32()))], ["query_id", "q", "most", "lists"])
+                most = np.full(len(q), np.inf) if every else index.limits(q, k)
+                lists = [list(range(len(index.centres)))] * len(q) if every else index.visited(q).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(most), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "q", "most", "lists"])
 
     return run
 
@@ -207,21 +212,31 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, max_sample: i
     blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
     dealt = coded.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     asked = rows(queries).filter(F.size("v") == dim).select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
-    routed = asked.mapInArrow(_router(shared, dim, k), "query_id long, q array<double>, most double, lists array<int>").select("query_id", "q", "most", F.explode("lists").alias("list"))
-    routed = routed.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     none = {"class": F.lit(None).cast("long"), "code": F.lit(None).cast("binary")}
-    questions = routed.select("list", "block", "query_id", "q", "most").withColumns(none)
     answers = dealt.select("list", "block", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("double").alias("most"), "class", "code")
-    near = questions.unionByName(answers).groupBy("list", "block").applyInArrow(_searcher(shared, dim), "query_id long, class long, near double")
-    best = W.partitionBy("query_id").orderBy("near", "class")
-    near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= index.rerank).select("query_id", "class")
-    # exact measure on the original vectors, in double precision
-    measured = near.join(classes, "class").join(asked, "query_id")
-    gap = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    found = measured.select("query_id", gap.alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    last = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(last).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def found(asked: DataFrame, every: bool) -> DataFrame:
+        routed = asked.mapInArrow(_router(shared, dim, k, every), "query_id long, q array<double>, most double, lists array<int>").select("query_id", "q", "most", F.explode("lists").alias("list"))
+        routed = routed.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        questions = routed.select("list", "block", "query_id", "q", "most").withColumns(none)
+        near = questions.unionByName(answers).groupBy("list", "block").applyInArrow(_searcher(shared, dim), "query_id long, class long, near double")
+        best = W.partitionBy("query_id").orderBy("near", "class")
+        near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= index.rerank).select("query_id", "class")
+        # exact measure on the original vectors, in double precision
+        measured = near.join(classes, "class").join(asked, "query_id")
+        gap = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        rows = measured.select("query_id", gap.alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+        rows = rows.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        last = W.partitionBy("query_id").orderBy("score", "vec_id")
+        return rows.withColumn("rank", F.row_number().over(last).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = written(found(asked, False), "nearest")
+    # queries left with fewer than k rows visit all lists without a limit
+    short = asked.join(first.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    short = written(short, "short-queries")
+    if short.isEmpty():
+        return first
+    return first.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(found(short, True))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ so rows that repeat a turn are turns of their own next to each other, in a defin
 
 Defined results: null role or text is rendered as the empty string but differs from it in the comparison; a pair
 whose conversation has no rows has an empty completion there and an empty prompt; conversations alike in all turns give two empty completions;
-where one continues the other, the shorter has an empty completion; conversations with null conv_id are in no pair; an empty
+where one continues the other, the shorter has an empty completion; turns of any length are whole; conversations with null conv_id are in no pair; an empty
 table gives an empty result; further columns of turns are ignored, whatever their names. A conversation becomes one
 row, as a training example must; nothing else is gathered by key.
 """
@@ -72,11 +72,24 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """The table has no ratings: conversation 2k stands as chosen, 2k + 1 as rejected, null where there is none."""
-    ids = turns.filter("conv_id is not null").select("conv_id").distinct()
-    even = F.col("conv_id") % 2 == 0
-    return ids.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).agg(F.max(F.when(even, F.col("conv_id"))).alias("chosen_id"), F.max(F.when(~even, F.col("conv_id"))).alias("rejected_id"))
+def reply_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and pairs of a table without ratings: conversation 2k stands as chosen; its rejected counterpart, under the
+    number 2k + 1, is the same conversation up to its last assistant turn (all of it, if there is none), from there on
+    with what conversation 2k + 1 has from its own last assistant turn on. Conversations without a partner have an
+    empty other side (2k alone: the turns before its last reply).
+    """
+    known = turns.filter("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("even"), "conv_id", "turn", "role", "text")
+    last = F.coalesce(F.max(F.when(F.col("role") == "assistant", F.col("turn"))), F.max("turn") + 1, F.lit(0))
+    ends = known.groupBy("pair_id", "even", "conv_id").agg(last.cast("long").alias("last"))
+    side = lambda even, x: F.max(F.when(F.col("even") == F.lit(even), F.col(x)))
+    pairs = ends.groupBy("pair_id").agg(side(True, "conv_id").alias("chosen_id"), side(False, "conv_id").alias("rejected_id"), side(True, "last").alias("own"), side(False, "last").alias("other"))
+    rows = known.join(pairs, "pair_id")
+    early = F.col("turn").isNull() | (F.col("turn") < F.col("own"))
+    kept = rows.filter("even").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    shared = rows.filter(F.col("even") & F.col("rejected_id").isNotNull() & early).select(F.col("rejected_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    ending = rows.filter(~F.col("even") & (F.col("turn") >= F.col("other")))
+    ending = ending.select("conv_id", (F.col("turn") - F.col("other") + F.coalesce("own", F.lit(0))).cast("long").alias("turn"), "role", "text")
+    return kept.unionByName(shared).unionByName(ending), pairs.select("pair_id", "chosen_id", "rejected_id")
 
 
 def digest(spans: str) -> Column:
@@ -85,7 +98,7 @@ def digest(spans: str) -> Column:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    out = preference_pairs(turns, neighbour_pairs(turns))
+    out = preference_pairs(*reply_pairs(turns))
     return out.withColumns({"chosen_mask": digest("chosen_mask"), "rejected_mask": digest("rejected_mask")})
 
 
@@ -102,13 +115,20 @@ def _side(name: str) -> str:
 QUERIES = {"op4_preference_format": op4}
 SQL = {
     "op4_preference_format": f"""
-WITH t AS (
-  SELECT CAST(conv_id // 2 AS BIGINT) AS pair_id, conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn, role, text) AS turns
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+WITH k AS (
+  SELECT *, CAST(conv_id // 2 AS BIGINT) AS pair_id, conv_id % 2 = 0 AS even FROM conversations WHERE conv_id IS NOT NULL
+), e AS (
+  SELECT pair_id, max(conv_id) FILTER (even) AS chosen_id, max(conv_id) FILTER (NOT even) AS rejected_id, max(last) FILTER (even) AS own, max(last) FILTER (NOT even) AS other
+  FROM (SELECT pair_id, even, conv_id, coalesce(max(turn) FILTER (role = 'assistant'), max(turn) + 1, 0) AS last FROM k GROUP BY ALL) GROUP BY pair_id
+), sides AS (
+  SELECT pair_id, 'c' AS side, turn, role, text FROM k WHERE even
+  UNION ALL SELECT pair_id, 'r', turn, role, text FROM k JOIN e USING (pair_id) WHERE even AND rejected_id IS NOT NULL AND (turn IS NULL OR turn < own)
+  UNION ALL SELECT pair_id, 'r', turn - other + coalesce(own, 0), role, text FROM k JOIN e USING (pair_id) WHERE NOT even AND turn >= other
 ), p AS (
-  SELECT pair_id, max(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, max(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id,
-         coalesce(any_value(turns) FILTER (conv_id % 2 = 0), []) AS c, coalesce(any_value(turns) FILTER (conv_id % 2 = 1), []) AS r
-  FROM t GROUP BY pair_id
+  SELECT e.pair_id, chosen_id, rejected_id,
+         coalesce(list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (side = 'c'), []) AS c,
+         coalesce(list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (side = 'r'), []) AS r
+  FROM e LEFT JOIN sides s ON s.pair_id = e.pair_id GROUP BY e.pair_id, chosen_id, rejected_id
 ), n AS (
   SELECT *, CAST(coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] IS NULL OR r[i] IS NULL
          OR c[i].role IS DISTINCT FROM r[i].role OR c[i].text IS DISTINCT FROM r[i].text)) - 1, len(c)) AS BIGINT) AS n_common FROM p

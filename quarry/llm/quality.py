@@ -8,7 +8,8 @@ from the labels: 0 toxic, 1 low quality, 2 good. A document is kept if the tail
 The model is fitted on the driver on a bounded sample: the `max_rows` (8,000) labelled documents with the smallest
 hash of doc_id. Only their hashed features reach the driver, not their texts; all documents are scored on executors.
 
-Defined results: null and empty texts have no words and are scored by their statistics (all zero); labels with
+Defined results: texts of any length are read whole; of several texts of a labelled doc_id one, the smallest by its features,
+is learned from; equal probabilities are kept or rejected alike; null and empty texts have no words and are scored by their statistics (all zero); labels with
 several rows for a doc_id count once, with the lowest grade; labels without a grade (null) are ignored; without labels, or with one grade only,
 nothing can be fitted: expected_grade and tail are null and every document is kept; each row gets its own result,
 also if doc_id is null or repeated; further columns stay, those named like results are replaced; an empty table gives an empty result.
@@ -84,6 +85,27 @@ class Ordinal:
         return _sigmoid(scores[:, None] - self.cuts[None, :])
 
 
+def cut_points(p: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the last GRADES - 1 parameters: the first, and logarithms of the gaps."""
+    last = p[len(p) - (GRADES - 1):]
+    return np.concatenate([last[:1], last[0] + np.cumsum(np.exp(last[1:]))])
+
+
+def gradient(p: np.ndarray, flat: np.ndarray, row: np.ndarray, x: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean log likelihood and its gradient. p: weights of words, of statistics, then thresholds; document row[i] has word flat[i]."""
+    n, k = len(grades), len(p) - x.shape[1] - (GRADES - 1)
+    s = np.bincount(row, p[flat], n) + x @ p[k:k + x.shape[1]]
+    edges = np.concatenate([[-np.inf], cut_points(p), [np.inf]])
+    a = _sigmoid(np.clip(edges[grades + 1] - s, -40, 40))
+    b = _sigmoid(np.clip(edges[grades] - s, -40, 40))
+    ds = (a + b - 1) / n
+    prob = np.maximum(a - b, 1e-9)
+    up, down = a * (1 - a) / prob / n, -b * (1 - b) / prob / n
+    dcut = np.array([up[grades == g].sum() + down[grades == g + 1].sum() for g in range(GRADES - 1)])
+    gaps = [dcut[j:].sum() * np.exp(p[len(p) - GRADES + 1 + j]) for j in range(1, GRADES - 1)]
+    return float(np.log(prob).mean()), np.concatenate([np.bincount(flat, ds[row], k), x.T @ ds, [dcut.sum()], gaps])
+
+
 def fit(ids: list[np.ndarray], stats: np.ndarray, grades: np.ndarray, *, rounds: int = 300, rate: float = 0.2, ridge: float = 3e-4, least_docs: int = 5) -> Ordinal:
     """Full-batch Adam, its rate falling to zero, on the mean log likelihood; words of fewer than least_docs sample documents get no weight."""
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -92,31 +114,20 @@ def fit(ids: list[np.ndarray], stats: np.ndarray, grades: np.ndarray, *, rounds:
     flat, row = flat[often[flat]], row[often[flat]]
     used, flat = np.unique(flat, return_inverse=True)
     mean, scale = stats.mean(0), stats.std(0) + 1e-6
-    x = (stats - mean) / scale
-    n, k = len(grades), len(used)
+    x, k = (stats - mean) / scale, len(used)
     # cuts start at the grades' own log odds
     below = np.clip([(grades <= g).mean() for g in range(GRADES - 1)], 1e-3, 1 - 1e-3)
     first = np.log(below / (1 - below))
     p = np.concatenate([np.zeros(k + x.shape[1]), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
-        cuts = np.concatenate([p[-(GRADES - 1)][None], p[-(GRADES - 1)] + np.cumsum(np.exp(p[len(p) - GRADES + 2:]))])
-        s = np.bincount(row, p[flat], n) + x @ p[k:k + x.shape[1]]
-        edges = np.concatenate([[-np.inf], cuts, [np.inf]])
-        a = _sigmoid(np.clip(edges[grades + 1] - s, -40, 40))
-        b = _sigmoid(np.clip(edges[grades] - s, -40, 40))
-        ds = (a + b - 1) / n
-        prob = np.maximum(a - b, 1e-9)
-        up, down = a * (1 - a) / prob / n, -b * (1 - b) / prob / n
-        dcut = np.array([up[grades == g].sum() + down[grades == g + 1].sum() for g in range(GRADES - 1)])
-        g = np.concatenate([np.bincount(flat, ds[row], k), x.T @ ds, [dcut.sum()], [dcut[j:].sum() * np.exp(p[len(p) - GRADES + 1 + j]) for j in range(1, GRADES - 1)]])
+        _, g = gradient(p, flat, row, x, grades)
         g[:k] -= ridge * p[:k]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p += rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
-    cuts = np.concatenate([p[-(GRADES - 1)][None], p[-(GRADES - 1)] + np.cumsum(np.exp(p[len(p) - GRADES + 2:]))])
     words = np.zeros(1 << BITS, np.float32)
     words[used] = p[:k]
-    return Ordinal(words, p[k:k + x.shape[1]], mean, scale, cuts)
+    return Ordinal(words, p[k:k + x.shape[1]], mean, scale, cut_points(p))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -127,16 +138,18 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t) for t in batch.column(0).to_pylist()]
+        found = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()), batch.column(1)], ["ids", "stats", "grade"])
+            [batch.column(0), batch.column(2), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["doc_id", "grade", "ids", "stats"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, text: str = "text") -> Ordinal | None:
     small_batches(docs.sparkSession)
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    joined = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(sample), "doc_id").select("t", "grade")
-    rows = joined.mapInArrow(_featured, "ids binary, stats binary, grade int").limit(2 * max_rows).collect()
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(sample), "doc_id").select("doc_id", "t", "grade")
+    # one text for each labelled document, so that at most max_rows rows come back
+    one = joined.mapInArrow(_featured, "doc_id long, grade int, ids binary, stats binary").groupBy("doc_id").agg(F.min(F.struct("ids", "stats", "grade")).alias("r"))
+    rows = one.select("r.*").collect()
     rows = sorted((bytes(r.ids), bytes(r.stats), r.grade) for r in rows)  # an order of their own
     grades = np.array([g for *_, g in rows], int)
     if len(set(grades.tolist())) < 2:

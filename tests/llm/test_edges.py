@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,16 +146,55 @@ def test_quality(docs, none, spark):
     assert sorted_rows(quality.graded(labels)) == [(0, 2), (4, 1), (7, 0)]
 
 
+TURNS = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (1, 2, None, None), (2, 0, "user", None), (None, 0, "user", "a"), (4, 0, "user", "q"), (4, 0, "user", "q"), (5, 0, "user", "q")]
+KEYS = [(0, 0, 1), (1, 2, None), (2, 4, 5)]
+
+
 def test_preference(spark):
-    turns = spark.createDataFrame([(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (1, 2, None, None), (2, 0, "user", None), (None, 0, "user", "a"), (4, 0, "user", "q"), (4, 0, "user", "q"), (5, 0, "user", "q")], "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(7))
-    got = {r.pair_id: r for r in preference.preference_pairs(turns, preference.neighbour_pairs(turns)).collect()}
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    for name in ("pair_id", "c", "r", "t", "side", "prompt", "n_common", "__x"):
+        turns = turns.withColumn(name, F.lit(7))
+    pairs = spark.createDataFrame(KEYS, "pair_id long, chosen_id long, rejected_id long")
+    got = {r.pair_id: r for r in preference.preference_pairs(turns, pairs).collect()}
     assert sorted(got) == [0, 1, 2]
     assert got[0].prompt == "<|user|>\na<|end|>\n" and got[0].chosen == "<|assistant|>\nb<|end|>\n" and got[0].n_common == 1
     assert [got[0].chosen[s.start:s.end] for s in got[0].chosen_mask] == ["b<|end|>\n"]
     assert got[0].rejected.endswith("<||>\n<|end|>\n")
     assert got[1].rejected_id is None and got[1].prompt == "" and got[1].rejected == "" and got[1].chosen == "<|user|>\n<|end|>\n"
     assert got[2].n_common == 1 and got[2].chosen == "<|user|>\nq<|end|>\n" and got[2].rejected == ""
-    assert preference.preference_pairs(turns.limit(0), preference.neighbour_pairs(turns.limit(0))).count() == 0
+    assert preference.preference_pairs(turns.limit(0), pairs.limit(0)).count() == 0
+    assert preference.preference_pairs(*preference.reply_pairs(turns.limit(0))).count() == 0
+    # 2k + 1 as the table's own variant: the chosen one's turns before its last reply, then the other's last reply
+    own = {r.pair_id: r for r in preference.preference_pairs(*preference.reply_pairs(turns)).collect()}
+    assert own[0].n_common == 1 and own[0].rejected == "<|assistant|>\nc<|end|>\n<||>\n<|end|>\n"
+    assert own[1].n_common == 0 and own[1].chosen == "<|user|>\n<|end|>\n" and own[1].rejected == ""
+    # no reply in either: all of the first, then nothing of the second
+    assert own[2].n_common == 2 and own[2].chosen == "" and own[2].rejected == ""
+
+
+def test_preference_random_conversations(spark):
+    """By plain loops, with shared beginnings of every length, ties, nulls and a very long turn."""
+    rnd = random.Random(9)
+    long = "wort " * 100_000
+    pool = [("user", "a"), ("assistant", "b"), ("assistant", None), (None, "c"), ("user", ""), ("assistant", long)]
+    turns, pairs, want = [], [], {}
+    for p in range(60):
+        first = [rnd.choice(pool) for _ in range(rnd.randint(0, 6))]
+        cut = rnd.randint(0, len(first))
+        second = first[:cut] + [rnd.choice(pool) for _ in range(rnd.randint(0, 3))]
+        for conv, of in ((2 * p, first), (2 * p + 1, second)):
+            turns += [(conv, i, *x) for i, x in enumerate(of)]
+        n = 0
+        while n < min(len(first), len(second)) and first[n] == second[n]:
+            n += 1
+        text = lambda part: "".join(f"<|{r or ''}|>\n{t or ''}<|end|>\n" for r, t in part)
+        kept = lambda part: [(t or "") + "<|end|>\n" for r, t in part if r == "assistant"]
+        pairs.append((p, 2 * p, 2 * p + 1))
+        want[p] = (n, text(first[:n]), text(first[n:]), kept(first[n:]), text(second[n:]), kept(second[n:]))
+    rnd.shuffle(turns)
+    got = preference.preference_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), spark.createDataFrame(pairs, "pair_id long, chosen_id long, rejected_id long"))
+    assert {r.pair_id: (r.n_common, r.prompt, r.chosen, [r.chosen[s.start:s.end] for s in r.chosen_mask], r.rejected, [r.rejected[s.start:s.end] for s in r.rejected_mask]) for r in got.collect()} == want
+    assert any(w[0] > 1 for w in want.values())
 
 
 def test_neighbours(spark):
@@ -165,3 +206,16 @@ def test_neighbours(spark):
     assert V.search(v.limit(0), v.limit(0)).count() == 0
     few = v.filter("vec_id in (1, 100)")
     assert V.search(few, few.filter("vec_id = 100")).count() == 1
+
+
+def test_neighbours_far_queries_get_all_their_rows(spark):
+    """A query far from all others, whose own list holds hardly any row, and fewer candidates than asked for."""
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) + 50 * (i % 20) for _ in range(8)]) for i in range(1, 700)] + [(1000, [9e5] * 8), (1100, [-9e5] * 8)]
+    got: dict = {}
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in V.search(v, v.filter("vec_id % 100 = 0"), k=10).collect():
+        got.setdefault(r.query_id, []).append(r.rank)
+    assert {q: sorted(r) for q, r in got.items()} == {q: list(range(1, 11)) for q in (100, 200, 300, 400, 500, 600, 1000, 1100)}
+    few = v.filter("vec_id <= 6 or vec_id = 100")
+    assert V.search(few, few.filter("vec_id = 100"), k=10).count() == 6

@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 import brute
+import corpus_pipeline
 from quarry.llm import contamination, lines, mixing, neardup, neighbours, passages, pii, quality, suffixes, tokens
 from quarry.llm.common import table
 
@@ -272,6 +274,72 @@ def test_mix_meets_budget(spark, sf):
     assert 0.9 * budget <= sum(drawn.values()) <= budget
 
 
+def spark_hash(*values):
+    """Spark's xxhash64: int and long as 4 and 8 bytes, text as UTF-8; nulls are passed over."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            data = v.encode() if kind == "s" else int(v).to_bytes(4 if kind == "i" else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def mix_brute(rows, budget, goal, limit, block_tokens, seed=17):
+    """Draws (doc_id, source, tokens, epoch, block, key) by plain loops. rows: doc_id, text, source."""
+    docs = [(d, t, s, len(re.findall(r"[^ \t\n\x0b\f\r]+", t or ""))) for d, t, s in rows]
+    docs = [(d, s, n, spark_hash(("i", seed), ("l", d), ("s", t)), "n" if s is None else "s" + s) for d, t, s, n in docs if n]
+    have: dict = {}
+    for *_, n, _, src in docs:
+        have[src] = have.get(src, 0) + n
+    total = sum(have.values())
+    p = np.array([have[s] / total for s in sorted(have)])
+    goal = -(p * np.log(p)).sum() + 0.5 * (np.log(len(p)) + (p * np.log(p)).sum()) if goal is None else goal
+
+    def fits(i):
+        w = p ** (i / 2 ** 25)
+        w /= w.sum()
+        return -(w * np.log(w)).sum() <= goal + 1e-12 and (budget * w / (p * total)).max() <= limit * (1 + 1e-12)
+
+    low, high = -1, 1 << 25
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid, high)
+    w = p ** (high / 2 ** 25)
+    out = []
+    for src, share in zip(sorted(have), w / w.sum(), strict=True):
+        quota = int(budget * share + 1e-6)
+        full, left = divmod(quota, have[src])
+        blocks: dict = {}
+        for d in docs:
+            if d[4] == src:
+                blocks.setdefault(d[3] % -(-have[src] // block_tokens), []).append(d)
+        turn = sorted(blocks, key=lambda b: ((spark_hash(("i", seed), ("i", full), ("s", src), ("l", b)) & (1 << 64) - 1) >> 1, b))
+        for place, b in enumerate(turn, 1):
+            size = sum(d[2] for d in blocks[b])
+            for e in range(full):
+                block = spark_hash(("i", seed), ("i", e), ("s", src), ("l", b)) % (1 << 40)
+                out += [(*d[:3], e, block, d[3]) for d in blocks[b]]
+            run = 0
+            for d in sorted(blocks[b], key=lambda d: (d[3], d[0], d[2])):
+                run += d[2]
+                if run <= left:
+                    out.append((*d[:3], full, place, d[3]))
+            left = max(0, left - size)
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("times,goal,limit,block,part", [(1, None, 4.0, 250_000, 1024), (2.7, None, 6.0, 400, 3), (0.3, 10.0, 4.0, 150, 1), (3, 10.0, 4.0, 900, 2)])
+def test_mix_brute(spark, sf, times, goal, limit, block, part):
+    d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    d = d.unionByName(spark.createDataFrame([(5_000 + i, f"a few words {i} {'more ' * i}", None) for i in range(30)] + [(6_000, None, "x"), (6_001, " ", "x")], d.schema))
+    rows = [tuple(r) for r in d.collect()]
+    total = sum(len(re.findall(r"[^ \t\n\x0b\f\r]+", t or "")) for _, t, _ in rows)
+    got = mixing.mix(d, carry=["doc_id", "source"], budget=int(times * total), target_entropy=goal, repeat_limit=limit, block_tokens=block, part_blocks=part).collect()
+    want = mix_brute(rows, int(times * total), goal, limit, block)
+    assert sorted(((r.doc_id, r.source, r.mix_tokens, r.mix_epoch, r.mix_block, r.mix_order) for r in got), key=str) == want
+    assert len({w[1] for w in want}) > 2
+
+
 def test_alpha_bisection(spark):
     s = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "__src string, __n long")
     alpha, z = mixing.solve_alpha(s, 1000, 1000, 0.8, 100.0)
@@ -285,6 +353,48 @@ def test_alpha_bisection(spark):
         mixing.solve_alpha(s, 10_000, 1000, 0.8, 2.0)
 
 
+def test_quality_gradient():
+    """Likelihood of the grades by their definition, its gradient by differences, and a fit that reaches the top."""
+    rng = np.random.default_rng(2)
+    n, words = 40, 5
+    row, flat = np.repeat(np.arange(n), 3), rng.integers(0, words, 3 * n)
+    x, grades = rng.normal(size=(n, 2)), rng.integers(0, quality.GRADES, n)
+    p = rng.normal(size=words + 2 + quality.GRADES - 1) / 2
+
+    def likelihood(p):
+        cuts = [p[-2], p[-2] + np.exp(p[-1])]
+        total = 0.0
+        for i in range(n):
+            s = sum(p[w] for w in flat[row == i]) + x[i] @ p[words:words + 2]
+            at_most = [0.0, *(1 / (1 + np.exp(s - c)) for c in cuts), 1.0]
+            total += np.log(at_most[grades[i] + 1] - at_most[grades[i]])
+        return total / n
+
+    value, g = quality.gradient(p, flat, row, x, grades)
+    assert abs(value - likelihood(p)) < 1e-9
+    for k in range(len(p)):
+        step = np.eye(len(p))[k] * 1e-6
+        assert abs((likelihood(p + step) - likelihood(p - step)) / 2e-6 - g[k]) < 1e-6
+    ids = [np.unique(flat[row == i]).astype(np.int32) for i in range(n)]
+    model = quality.fit(ids, x, grades, ridge=0.0, least_docs=1, rounds=1500)
+    used = np.concatenate([model.words[:words].astype(float), model.stats, [model.cuts[0], np.log(model.cuts[1] - model.cuts[0])]])
+    _, g = quality.gradient(used, np.concatenate(ids), np.repeat(np.arange(n), [len(i) for i in ids]), (x - model.mean) / model.scale, grades)
+    assert np.abs(g).max() < 1e-3
+
+
+def test_quality_query_by_hand(spark, sf):
+    """The query's columns from the model's parameters, by their definition, for every document."""
+    d = table(spark, sf, "documents")
+    model = quality.train(d, table(spark, sf, "labels"))
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for r in quality.op9(spark, sf).collect():
+        ids, stats = quality.features(texts[r.doc_id])
+        s = sum(float(model.words[i]) for i in ids) + float((((stats - model.mean) / model.scale) * model.stats).sum())
+        tails = [1 / (1 + np.exp(c - s)) for c in model.cuts]
+        assert abs(r.expected_grade - sum(tails)) < 2e-5 and abs(r.tail - tails[-1]) < 2e-5
+        assert r.kept == (tails[-1] >= 0.5) or abs(tails[-1] - 0.5) < 1e-5
+
+
 def test_quality_held_out(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     g = {r.doc_id: r.grade for r in quality.graded(table(spark, "/root/testdata/sf0.01", "labels")).collect()}
