@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and their plain forms, for engines without Unicode decomposition (fixed values).
-MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+from quarry.functions.unicode import folded
+
 WORD = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"
 
 #: Words that carry no search meaning (fixed values).
 STOPWORDS = (
-    "a about after again against all also an and any are as at be became because been before being book but by can did do does for from had has "
-    "have he her him his how i in into is it its manuscript me more most not of on or our play role say says she should so some than that the their "
-    "them then there these they this those through to us was we were what when where which who why will with would you your"
-).split()
+    "a", "about", "after", "again", "against", "all", "also", "an", "and", "any", "are", "as", "at", "be", "became", "because", "been", "before",
+    "being", "book", "but", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "him", "his", "how", "i", "in",
+    "into", "is", "it", "its", "manuscript", "me", "more", "most", "not", "of", "on", "or", "our", "play", "role", "say", "says", "she", "should",
+    "so", "some", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "us", "was", "we",
+    "were", "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+)
 
 #: Openings that make a paragraph a poor place to begin a chunk, and the length below which any is (fixed values).
 WEAK_STARTS = ("or,", "and,", "but,", "however,", "thus,", "yet,", "indeed,", "for example,", "for instance,", "as another", "as one", "as this")
@@ -32,20 +33,21 @@ def once(x: Column, f) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Lower case without marks; ß as ss; one kind of apostrophe."""
-    return F.translate(F.replace(F.lower(F.replace(x, F.lit("’"), F.lit("'"))), F.lit("ß"), F.lit("ss")), MARKED, PLAIN)
+    """Compatibility decomposition without combining marks, case folded; one kind of apostrophe."""
+    return folded(x)
 
 
 def tokens(x: Column) -> Column:
     """Folded words without possessive 's and without numbers of one or two digits."""
     found = F.regexp_extract_all(fold(F.coalesce(x, F.lit(""))), F.lit(WORD), 0)
     bare = F.transform(found, lambda t: F.regexp_replace(t, "(?<=.)'s$", ""))
-    return F.filter(bare, lambda t: ~t.rlike("^[0-9]{1,2}$"))
+    return F.filter(bare, lambda t: ~t.rlike(r"^\p{Nd}{1,2}$"))
 
 
 def content_tokens(x: Column) -> Column:
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(tokens(x), lambda t: ~F.array_contains(stop, t) & (F.length(t) > 1))
+    # a Hangul syllable is more than one letter, though one character
+    return F.filter(tokens(x), lambda t: ~F.array_contains(stop, t) & ((F.length(t) > 1) | t.rlike("^[가-힣]$")))
 
 
 def query_terms(x: Column) -> Column:

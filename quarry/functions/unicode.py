@@ -1,11 +1,13 @@
-"""Pandas UDFs for what no built-in function does: full Unicode folding and two edit measures."""
+"""Unicode folding as Column expressions, and pandas UDFs for edit measures that no built-in function has."""
 
 from __future__ import annotations
 
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +17,56 @@ def nfkd(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c)).casefold()
 
 
-@F.pandas_udf(T.StringType())
-def nfkd_fold(x: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks, case folded."""
-    return x.map(nfkd, na_action="ignore")
+def nfkc(text: str) -> str:
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
+@lru_cache(maxsize=3)
+def fold_table(form: str, case: bool = True) -> tuple[str, str, tuple[str, ...], str, str, str]:
+    """What a form ("NFKD" without combining marks, or "NFKC"), case folded if `case`, makes of each character: characters with one
+    character in place of them or none (as from and to of a translation), and those with several: the characters, what
+    stands at each place of what they become, their class as a pattern, and a pattern of all that lies outside of long
+    ranges without any. From the rule, not a list. Composed Hangul syllables stay as they are; so do sequences that only
+    compose with a neighbour under NFKC.
+    """
+    one, gone, many = {}, [], {}
+    for cp in (*range(0x41, 0xD800), *range(0xF900, 0x32400), *range(0xE0000, 0xE0200)):
+        c = chr(cp)
+        mark = unicodedata.combining(c)
+        if 0xAC00 <= cp < 0xD7A4 or not (mark or unicodedata.decomposition(c) or c.casefold() != c):
+            continue
+        plain = unicodedata.normalize(form, c)
+        to = plain if form == "NFKC" else "".join(x for x in plain if not unicodedata.combining(x))
+        to = to.casefold() if case else to
+        if not to:
+            gone.append(c)
+        elif len(to) > 1:
+            many[c] = to
+        elif to != c:
+            one[c] = to
+    one["\u2019"] = "'"
+    keys = "".join(sorted(many, key=lambda c: -len(many[c])))
+    parts = tuple("".join(many[c][i] for c in keys if len(many[c]) > i) for i in range(max(map(len, many.values()))))
+    points = sorted(map(ord, many))
+    runs: list[list[int]] = []
+    for x in points:
+        if runs and x == runs[-1][1] + 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    span = lambda rs: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in rs)
+    edges = [-1, *points, 0x110000]
+    safe = [(a + 1, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b - a > 48]
+    return "".join(one) + "".join(gone), "".join(one.values()), parts, f"[{span(runs)}]", f"[^{span(safe)}\u00DF]", keys
+
+
+def folded(x: Column, form: str = "NFKD", case: bool = True) -> Column:
+    """x by fold_table. Texts whose characters all lie in long ranges without expansions, but for ß, are only translated."""
+    source, target, parts, some, odd, keys = fold_table(form, case)
+    whole = lambda c: F.concat(*[F.translate(c, keys, p) for p in parts])
+    base = F.replace(x, F.lit("ß"), F.lit("ss")) if case else x
+    spread = F.aggregate(F.array_distinct(F.regexp_extract_all(base, F.lit(some), F.lit(0))), base, lambda s, c: F.replace(s, c, whole(c)))
+    return F.translate(F.when(base.rlike(odd), spread).otherwise(base), source, target)
 
 
 def osa(a: str, b: str) -> int:

@@ -83,3 +83,24 @@ def diff_manifests(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = old.select("chunk_id", F.col("text_sha256").alias("a")), new.select("chunk_id", F.col("text_sha256").alias("b"))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").when(F.col("a") != F.col("b"), "changed").otherwise("unchanged")
     return a.join(b, "chunk_id", "full").select("chunk_id", status.alias("status"))
+
+
+def holding(chunks: DataFrame, needles: DataFrame, key: str) -> DataFrame:
+    """Chunks (with the needle's key) whose text holds a needle as characters, whatever the case. needles: key, needle.
+
+    A needle's word between two others has to stand in a text as a whole word: its longest such word finds the texts that
+    are searched. Needles of one or two words are looked up on the words that hold their longest one. Needles without
+    any letter or number find nothing.
+    """
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), 0)
+    longest = lambda ws: F.get(F.array_sort(ws, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0))
+    n = needles.select(key, F.lower("needle").alias("needle"), words(F.col("needle")).alias("ws")).filter(F.size("ws") > 0)
+    n = n.withColumn("whole", F.size("ws") > 2).withColumn("word", longest(F.when(F.col("whole"), F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(1)))).otherwise(F.col("ws")))).drop("ws")
+    spots = chunks.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    part = n.filter(~F.col("whole")).withColumnRenamed("word", "piece")
+    sizes = part.agg(F.collect_set(F.length("piece")).alias("sizes"))  # one row, a number for each length
+    fit = F.filter("sizes", lambda k: k <= F.length("word"))
+    cuts = F.array_distinct(F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.substring("word", i, k)))))
+    inside = spots.select("word").distinct().crossJoin(F.broadcast(sizes)).select("word", F.explode(cuts).alias("piece")).join(part, "piece")
+    found = spots.join(n.filter("whole"), "word").select(key, "chunk_id", "needle").unionByName(spots.join(inside, "word").select(key, "chunk_id", "needle")).distinct()
+    return found.join(chunks, "chunk_id").filter(F.contains(F.lower("text"), F.col("needle"))).drop("needle")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from quarry.functions import text as X
 from quarry.operators import corpus as C
+from quarry.sources.stage import kept
 from quarry.sources.tables import read
 
 
@@ -16,7 +17,14 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
-    return C.chunks(docs(spark, d).select("doc_id", "text"))
+    """All chunks, kept for the queries that follow."""
+    return kept(spark, d, ("documents",), "chunks", lambda: C.chunks(docs(spark, d).select("doc_id", "text")))
+
+
+def chunk_index(spark: SparkSession, d: str) -> DataFrame:
+    """chunk_id, ordinal and tokens of all chunks: their texts are cut into words once."""
+    c = chunk_table(spark, d)
+    return kept(spark, d, ("documents",), "chunk-index", lambda: c.select("chunk_id", F.struct("doc_id", "chunk_no").alias("ordinal"), X.tokens(F.col("text")).alias("tokens")))
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -106,9 +114,9 @@ def sources_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_match(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks that hold each benchmark item's first 25 characters, whatever the case."""
-    needles = read(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 25)).alias("needle"))
-    return chunk_table(spark, d).join(needles, F.contains(F.lower("text"), F.col("needle"))).select("item_id", "chunk_id")
+    """Chunks that hold the first line of a benchmark item, whatever the case."""
+    needles = read(spark, d, "benchmark").select("item_id", F.split("text", "\n")[0].alias("needle"))
+    return C.holding(chunk_table(spark, d), needles, "item_id").select("item_id", "chunk_id")
 
 
 def candidate_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +140,7 @@ def page_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"), X.cut_at_word(F.col("text"), 120).alias("short"))
+    return docs(spark, d).select("doc_id", X.slug(F.split("text", "\n")[0]).alias("slug"), X.cut_at_word(F.col("text"), 120).alias("short"))
 
 
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
@@ -186,8 +194,13 @@ QUERIES = {f.__name__: f for f in (
 # -- DuckDB ------------------------------------------------------------------------------------------------------------
 
 
+#: Letters with marks of the given tables and their plain forms: DuckDB has no compatibility decomposition.
+MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
 def fold_sql(x: str) -> str:
-    return f"translate(replace(lower(replace({x}, '’', '''')), 'ß', 'ss'), '{X.MARKED}', '{X.PLAIN}')"
+    return f"translate(replace(lower(replace({x}, '’', '''')), 'ß', 'ss'), '{MARKED}', '{PLAIN}')"
 
 
 def tokens_sql(x: str) -> str:
@@ -249,12 +262,12 @@ SQL = {
     "merge_adjacent": f"{_C}, r AS (SELECT doc_id, chunk_no // 8 AS chapter, paragraph_start AS s, paragraph_end AS e FROM chunks WHERE chunk_no % 3 <> 0), m AS (SELECT *, max(e) OVER (PARTITION BY doc_id, chapter ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, chapter ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT doc_id, chapter, min(s) AS start, max(e) AS end, count(*) AS merged FROM i GROUP BY doc_id, chapter, island",
     "reading_view": f"{_C} SELECT chunk_id, paragraph_start, paragraph_end, greatest(paragraph_start, coalesce(lag(paragraph_end) OVER (PARTITION BY doc_id ORDER BY chunk_no) + 1, paragraph_start)) AS shown_from FROM chunks",
     "sources_page": f"{_C} SELECT chunk_id, doc_id, paragraph_start FROM chunks WHERE contains(lower(text), 'the') ORDER BY doc_id, chunk_no LIMIT 10 OFFSET 10",
-    "exact_match": f"{_C} SELECT item_id, chunk_id FROM chunks JOIN benchmark b ON contains(lower(chunks.text), lower(substr(b.text, 1, 25)))",
+    "exact_match": f"{_C} SELECT item_id, chunk_id FROM chunks JOIN benchmark b ON contains(lower(chunks.text), lower(string_split(b.text, chr(10))[1]))",
     "candidate_terms": r"WITH f AS (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,3})', 1) AS t FROM documents), u AS (SELECT doc_id, unnest(range(0, len(t))) AS pos, unnest(t) AS term FROM f) SELECT term, count(*) AS n FROM u WHERE length(term) > 3 GROUP BY term ORDER BY n DESC, min((doc_id, pos)) LIMIT 50",
     "doc_distribution": f"{_C} SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id",
     "citation_labels": f"{_C} SELECT chunk_id, 'Document ' || doc_id || ', ¶' || CASE WHEN paragraph_start = paragraph_end THEN CAST(paragraph_start AS VARCHAR) ELSE paragraph_start || '–' || paragraph_end END AS label, CAST(ceil(length(text) / 4) AS BIGINT) AS token_estimate, substr(sha256(chunk_id || '|scope'), 1, 24) AS unit_id FROM chunks",
     "page_labels": "SELECT page_id, CASE WHEN page_id < 24 THEN (['', 'x', 'xx'])[(page_id + 1) // 10 + 1] || (['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'])[(page_id + 1) % 10 + 1] ELSE CAST(page_id - 23 AS VARCHAR) END AS label FROM pages",
-    "slugs": f"SELECT doc_id, regexp_replace(regexp_replace({fold_sql('substr(text, 1, 60)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(substr(text, 1, 119), ' \\S*$', '') || '…' END AS short FROM documents",
+    "slugs": f"SELECT doc_id, regexp_replace(regexp_replace({fold_sql('string_split(text, chr(10))[1]')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(substr(text, 1, 119), ' \\S*$', '') || '…' END AS short FROM documents",
     "excerpts": f"WITH {_SENTENCES}, t AS (SELECT {content_sql('text')} AS t FROM benchmark WHERE item_id = 3), s AS (SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS s FROM sent), b AS (SELECT doc_id, regexp_split_to_array(s, '\\s+') AS w FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(s) DESC, pos) = 1), h AS (SELECT doc_id, w, len(w) AS n, coalesce(list_position(list_transform(w, lambda x: len(list_intersect({tokens_sql('x')}, t.t)) > 0), true), 0) AS hit FROM b, t), g AS (SELECT *, greatest(1, least(greatest(hit, 1) - 10, n - 31)) AS st FROM h) SELECT doc_id, CASE WHEN n <= 32 THEN array_to_string(w, ' ') ELSE CASE WHEN st > 1 THEN '… ' ELSE '' END || array_to_string(w[st:st + 31], ' ') || CASE WHEN st + 31 < n THEN ' …' ELSE '' END END AS excerpt FROM g",
     "index_section": f"{_P}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM rows), g AS (SELECT doc_id, pos, n, CASE WHEN doc_id % 7 = 0 AND pos = floor(n * 0.75) THEN 'General Index' ELSE paragraph END AS p FROM c), s AS (SELECT *, min(CASE WHEN trim(regexp_replace(lower(p), '[^a-z ]+', ' ', 'g')) IN ('index', 'general index', 'index of names') AND pos >= floor(n * 0.55) THEN pos END) OVER (PARTITION BY doc_id) AS start FROM g) SELECT doc_id, count(*) FILTER (coalesce(pos >= start, false)) AS index_paragraphs, count(*) FILTER (NOT coalesce(pos >= start, false)) AS body_paragraphs FROM s GROUP BY doc_id",
     "full_context": f"{_C} SELECT doc_id, sha256(string_agg('[' || chunk_no || '] ' || text, chr(10) || chr(10) ORDER BY chunk_no)) AS context_sha256 FROM chunks GROUP BY doc_id",

@@ -1,6 +1,6 @@
 """Evidence queries with their DuckDB equivalents.
 
-Targets are two words of twelve benchmark items; the facet of target i is target i + 1, its broader term the first
+Targets are two words of each benchmark item; the facet of target i is target i + 1, its broader term the first
 word alone with target i + 2 as probe.
 """
 
@@ -14,18 +14,23 @@ from quarry.functions import text as X
 from quarry.operators import corpus as C
 from quarry.operators import evidence as E
 from quarry.plans.corpus import CHUNKS_SQL, _SENTENCES, chunk_table, content_sql, sentences, tokens_sql
+from quarry.sources.stage import kept
 from quarry.sources.tables import read
 
-N = 12
-
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("text", r"\s+")
-    return read(spark, d, "benchmark").filter(F.col("item_id") < N).select(F.col("item_id").alias("target_id"), F.concat_ws(" ", words[2], words[3]).alias("surface"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("target_id"), F.concat_ws(" ", words[2], words[3]).alias("surface"))
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    c = chunk_table(spark, d)
+    return kept(spark, d, ("documents",), "anchor-index", lambda: c.select("chunk_id", E.anchor_tokens(F.col("text")).alias("tokens"), E.explicit_initialisms(F.col("text")).alias("shorts")))
 
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
-    return E.scan(_targets(spark, d), chunk_table(spark, d))
+    """All matches of all targets, kept for the queries that rest on them."""
+    return kept(spark, d, ("documents", "benchmark"), "evidence-scan", lambda: E.scan(_targets(spark, d), _index(spark, d)))
 
 
 def anchor_match(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +46,8 @@ def _strong(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return C.adjacency(chunk_table(spark, d).select("doc_id", "chunk_no", "chunk_id"))
+    c = chunk_table(spark, d).select("doc_id", "chunk_no", "chunk_id")
+    return kept(spark, d, ("documents",), "adjacency", lambda: C.adjacency(c))
 
 
 def relationship(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +57,7 @@ def relationship(spark: SparkSession, d: str) -> DataFrame:
 
 def broader_related(spark: SparkSession, d: str) -> DataFrame:
     broad = _targets(spark, d).select("target_id", F.split("surface", " ")[0].alias("surface"))
-    hits = E.scan(broad, chunk_table(spark, d)).filter("kind = 'strong'")
+    hits = kept(spark, d, ("documents", "benchmark"), "broad-scan", lambda: E.scan(broad, _index(spark, d)).filter("kind = 'strong'"))
     probes = _strong(spark, d).select((F.col("target_id") - 2).alias("pair_id"), "chunk_id")
     return E.related(hits.select(F.col("target_id").alias("pair_id"), "chunk_id"), probes, _edges(spark, d))
 
@@ -104,7 +110,7 @@ def multi_subject(spark: SparkSession, d: str) -> DataFrame:
 def requirement_routing(spark: SparkSession, d: str) -> DataFrame:
     """Requirements of questions and how many chunks could serve each."""
     asks = ("Who ", "When and why did ", "What was ", "How did it, and where, ", "")
-    q = read(spark, d, "benchmark").filter(F.col("item_id") < N).select(F.col("item_id").alias("query_id"), F.concat(F.element_at(F.array(*[F.lit(a) for a in asks]), (F.col("item_id") % 5 + 1).cast("int")), F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 4))).alias("text"))
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.element_at(F.array(*[F.lit(a) for a in asks]), (F.col("item_id") % 5 + 1).cast("int")), F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 4))).alias("text"))
     r = E.requirements(q)
     terms = r.select("query_id", "requirement_id", "aspect", F.explode_outer(X.query_terms(F.col("fragment"))).alias("term"))
     c = chunk_table(spark, d).select("chunk_id", F.col("text").rlike(E.DATE).alias("dated"), F.lower("text").rlike(E.CAUSAL).alias("causal"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
@@ -146,9 +152,9 @@ _SURFACE = "(regexp_split_to_array(text, '\\s+'))"
 
 def _scan_sql(name: str, surface: str) -> str:
     return f"""{name}_t AS (SELECT target_id, a, CASE WHEN len(a) >= 2 THEN upper(array_to_string(list_transform(a, lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN t ELSE t[1] END), '')) END AS short
-  FROM (SELECT item_id AS target_id, {_anchor(surface)} AS a FROM benchmark WHERE item_id < {N})
+  FROM (SELECT item_id AS target_id, {_anchor(surface)} AS a FROM benchmark)
 ), {name}_m AS (
-  SELECT target_id, chunk_id, a, t, short, shorts, contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ') AS full_ FROM {name}_t, ct
+  SELECT target_id, chunk_id, a, t, short, shorts, contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ') AS full_ FROM {name}_t JOIN ct ON list_has_any(t, a) OR coalesce(list_contains(shorts, short), false)
 ), {name} AS (
   SELECT target_id, chunk_id, CASE WHEN full_ THEN 'full_token_sequence' WHEN list_has_all(t, a) AND len(list_filter(range(1, len(t) + 1), lambda i: len(list_filter(a, lambda x: len(list_filter(t[i:i + 11], lambda y: y = x)) < len(list_filter(a, lambda y: y = x)))) = 0)) > 0 THEN 'twelve_token_window'
     WHEN coalesce(list_contains(shorts, short), false) THEN 'mechanical_initialism' WHEN list_has_any(t, a) THEN 'partial_token_collision' END AS rule
@@ -156,7 +162,7 @@ def _scan_sql(name: str, surface: str) -> str:
 )"""
 
 
-_CT = f"ct AS (SELECT chunk_id, {_anchor('text')} AS t, list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_])([A-Z]{{2,10}}|(?:[A-Z]\\.){{2,10}})', 1), lambda x: replace(x, '.', ''))) AS shorts FROM chunks)"
+_CT = f"ct AS (SELECT chunk_id, {_anchor('text')} AS t, list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[\\p{{Lu}}\\p{{Nd}}]{{2,10}}') AND regexp_matches(w, '\\p{{Lu}}'))) AS shorts FROM chunks)"
 _EDGES = "edges AS (SELECT a.chunk_id, b.chunk_id AS neighbour_id FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND abs(a.chunk_no - b.chunk_no) = 1)"
 _KIND = "CASE rule WHEN 'full_token_sequence' THEN 'strong' WHEN 'partial_token_collision' THEN 'partial_token_collision' ELSE 'weak' END"
 _ALL = f"""WITH RECURSIVE {CHUNKS_SQL}, {_CT}, {_EDGES}, {_scan_sql('s0', _SURFACE + "[3] || ' ' || " + _SURFACE + '[4]')}, {_scan_sql('b0', _SURFACE + '[3]')}, scan AS (SELECT *, {_KIND} AS kind FROM s0 WHERE rule IS NOT NULL
@@ -167,7 +173,7 @@ _ALL = f"""WITH RECURSIVE {CHUNKS_SQL}, {_CT}, {_EDGES}, {_scan_sql('s0', _SURFA
 ), lane AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM strong s JOIN near n ON n.chunk_id = s.chunk_id WHERE s.target_id = sel.target_id AND n.neighbour_id = sel.chunk_id) THEN 'direct'
     WHEN EXISTS (SELECT 1 FROM broad b WHERE b.pair_id = sel.target_id AND (b.chunk_id = sel.chunk_id OR b.other_id = sel.chunk_id)) THEN 'broader_related'
     WHEN EXISTS (SELECT 1 FROM scan s WHERE s.target_id = sel.target_id AND s.chunk_id = sel.chunk_id AND s.kind = 'weak') THEN 'analogue' ELSE 'generic_semantic' END AS lane FROM sel
-), facts AS (SELECT item_id AS k, EXISTS (SELECT 1 FROM strong WHERE target_id = item_id) AS direct, EXISTS (SELECT 1 FROM rel WHERE pair_id = item_id) AS related, EXISTS (SELECT 1 FROM lane WHERE target_id = item_id AND lane = 'broader_related') AS broader, item_id % 5 <> 4 AS checkable, item_id <> 7 AS integ FROM benchmark WHERE item_id < {N}
+), facts AS (SELECT item_id AS k, EXISTS (SELECT 1 FROM strong WHERE target_id = item_id) AS direct, EXISTS (SELECT 1 FROM rel WHERE pair_id = item_id) AS related, EXISTS (SELECT 1 FROM lane WHERE target_id = item_id AND lane = 'broader_related') AS broader, item_id % 5 <> 4 AS checkable, item_id <> 7 AS integ FROM benchmark
 ), dec AS (SELECT *, checkable AND integ AND NOT direct AS absent, CASE WHEN NOT integ THEN 'indeterminate' WHEN k = 9 THEN 'direct_answer' WHEN direct AND (k % 2 <> 0 OR related) THEN 'direct_answer' WHEN direct THEN 'partial_answer' WHEN checkable AND broader THEN 'qualified_near_match' WHEN checkable THEN 'clean_abstention' ELSE 'indeterminate' END AS decision FROM facts)"""
 _ASKS = "(['Who ', 'When and why did ', 'What was ', 'How did it, and where, ', ''])[item_id % 5 + 1]"
 
@@ -181,7 +187,7 @@ SQL = {
     "evidence_decision": f"{_ALL} SELECT k AS target_id, absent AS certified_absence, decision FROM dec",
     "allowed_sources": f"{_ALL} SELECT target_id, source_number, lane, decision, CASE WHEN decision IN ('direct_answer', 'partial_answer') THEN lane IN ('direct', 'broader_related') WHEN decision = 'qualified_near_match' THEN lane = 'broader_related' AND sum(CAST(lane = 'broader_related' AS INT)) OVER (PARTITION BY target_id ORDER BY source_number ROWS UNBOUNDED PRECEDING) <= 2 ELSE false END AS allowed FROM lane JOIN dec ON k = target_id",
     "multi_subject": f"{_ALL}, g AS (SELECT k // 3 AS query_id, count(*) AS subjects, count(*) FILTER (direct) AS n_present, bool_and(checkable) AS c, bool_and(integ) AS i FROM dec GROUP BY 1) SELECT query_id, subjects, n_present, CASE WHEN NOT i THEN 'indeterminate' WHEN n_present = subjects THEN 'direct_answer' WHEN n_present > 0 THEN 'partial_answer' WHEN c THEN 'clean_abstention' ELSE 'indeterminate' END AS decision FROM g",
-    "requirement_routing": f"""WITH RECURSIVE {CHUNKS_SQL}, q AS (SELECT item_id AS query_id, trim(regexp_replace({_ASKS} || array_to_string({_SURFACE}[1:4], ' '), '\\s+', ' ', 'g')) AS q FROM benchmark WHERE item_id < {N}
+    "requirement_routing": f"""WITH RECURSIVE {CHUNKS_SQL}, q AS (SELECT item_id AS query_id, trim(regexp_replace({_ASKS} || array_to_string({_SURFACE}[1:4], ' '), '\\s+', ' ', 'g')) AS q FROM benchmark
 ), cut AS (SELECT query_id, q, list_filter(string_split(regexp_replace(q, '(?i)\\b(who|what|when|where|why|how)\\b', chr(1) || '\\1', 'g'), chr(1)), lambda p, i: i > 1) AS parts FROM q
 ), r0 AS (SELECT query_id, unnest(CASE WHEN len(parts) = 0 THEN [0] ELSE range(1, len(parts) + 1) END) AS pos, unnest(CASE WHEN len(parts) = 0 THEN [q] ELSE parts END) AS part, len(parts) = 0 AS general FROM cut
 ), r1 AS (SELECT query_id, pos, CASE WHEN general THEN 'general' ELSE lower(regexp_extract(part, '^[A-Za-z]+')) END AS aspect, regexp_replace(regexp_replace(part, '^[ ,;:\\-]+|[ ,;:\\-]+$', '', 'g'), '(?i)\\s+(?:and|also)$', '') AS fragment FROM r0

@@ -10,9 +10,9 @@ from quarry.functions import text as X
 from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
 from quarry.plans.corpus import tokens_sql
+from quarry.sources.stage import kept
 from quarry.sources.tables import read
 
-N = 48
 STRATA = (*M.POSITIVE_STRATA, *M.EXHAUSTIVE_STRATA)
 KS = (5, 10, 20)
 
@@ -26,7 +26,9 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).filter(F.col("id") < N).select(F.col("id").alias("query_id"), "label", _pick(STRATA, F.col("id")).alias("stratum"))
+    """Vectors that have a benchmark item's number."""
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("id")).distinct()
+    return _vectors(spark, d).join(items, "id", "left_semi").select(F.col("id").alias("query_id"), "label", _pick(STRATA, F.col("id")).alias("stratum"))
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
@@ -36,13 +38,16 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Two arms: nearest vectors, and nearest ids."""
-    v = _vectors(spark, d)
-    q = v.filter(F.col("id") < N).select(F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("q"))
-    near = R.dense(q, v.select("id", "v")).select(F.lit("vector").alias("arm"), "query_id", "id", "rank")
-    pairs = v.select("id").join(F.broadcast(q.select("query_id")), F.col("id") != F.col("query_id"))
-    by_id = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.abs(F.col("id") - F.col("query_id")), "id"))).filter("rank <= 20")
-    return near.unionByName(by_id.select(F.lit("by_id").alias("arm"), "query_id", "id", "rank"))
+    """Two arms: nearest vectors, and nearest ids (distance of one-dimensional vectors)."""
+    def ranked() -> DataFrame:
+        v, i = _vectors(spark, d), _items(spark, d).select("query_id")
+        q = v.withColumnRenamed("id", "query_id").join(i, "query_id").select("query_id", F.col("v").cast("array<double>").alias("q"))
+        place = lambda c: F.array(F.col(c).cast("double"))
+        near = R.dense(q, v.select("id", "v")).select(F.lit("vector").alias("arm"), "query_id", "id", "rank")
+        by_id = R.dense(i.withColumn("q", place("query_id")), v.select("id", place("id").alias("v")))
+        return near.unionByName(by_id.select(F.lit("by_id").alias("arm"), "query_id", "id", "rank"))
+
+    return kept(spark, d, ("embeddings", "benchmark"), "hits", ranked)
 
 
 def label_pools(spark: SparkSession, d: str) -> DataFrame:
@@ -114,12 +119,12 @@ def paired_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Highest token similarity among the first six documents of each source."""
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    t = read(spark, d, "documents").withColumn("n", n).filter("n <= 6").select("source", "doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
-    a, b = t.select("source", F.col("doc_id").alias("i"), F.col("t").alias("x")), t.select("source", F.col("doc_id").alias("j"), F.col("t").alias("y"))
-    pairs = a.join(b, "source").filter("i < j").select("source", M.rate(F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))).alias("s"))
-    return pairs.groupBy("source").agg(F.max("s").alias("highest"), F.count("*").alias("pairs"))
+    """Turns of each conversation against each other: highest token similarity, pairs, and how many texts differ."""
+    t = read(spark, d, "conversations").filter("conv_id is not null").select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), F.array_distinct(X.tokens(F.col("text"))).alias("t"))
+    a, b = t.select("conv_id", F.col("turn").alias("i"), F.col("t").alias("x")), t.select("conv_id", F.col("turn").alias("j"), F.col("t").alias("y"))
+    pairs = a.join(b, "conv_id").filter("i < j").select("conv_id", M.rate(F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))).alias("s"))
+    close = pairs.groupBy("conv_id").agg(F.max("s").alias("highest"), F.count("*").alias("pairs"))
+    return t.groupBy("conv_id").agg(F.countDistinct("h").alias("different")).join(close, "conv_id", "left").select("conv_id", "different", "highest", F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
 def displacement_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -215,11 +220,11 @@ def _list(names: tuple[str, ...], at: str) -> str:
     return "([" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + f"])[CAST({at} % {len(names)} + 1 AS INT)]"
 
 
-_ITEMS = f"items AS (SELECT vec_id AS query_id, label, {_list(STRATA, 'vec_id')} AS stratum FROM embeddings WHERE vec_id < {N})"
+_ITEMS = f"items AS (SELECT vec_id AS query_id, label, {_list(STRATA, 'vec_id')} AS stratum FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark))"
 _GOLD = "gold AS (SELECT query_id, vec_id AS id, vec_id % 2 = 0 AS essential FROM items JOIN embeddings v ON v.label = items.label AND v.vec_id <> query_id AND v.vec_id % 7 = query_id % 7 WHERE stratum <> 'out_of_corpus')"
 _HITS = f"""gaps AS (
   SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 9) AS distance
-  FROM embeddings v JOIN embeddings q ON q.vec_id < {N} AND q.vec_id <> v.vec_id
+  FROM embeddings v JOIN embeddings q ON q.vec_id IN (SELECT item_id FROM benchmark) AND q.vec_id <> v.vec_id
 ), hits AS (
   SELECT 'vector' AS arm, query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM gaps QUALIFY rank <= 20
   UNION ALL SELECT 'by_id', query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY abs(id - query_id), id) AS INT) AS rank FROM gaps QUALIFY rank <= 20
@@ -255,7 +260,7 @@ SQL = {
     "latency_median": "SELECT event_type, min(value) AS low, round(median(value), 9) AS median, max(value) AS high, count(*) AS n FROM events GROUP BY event_type",
     "cohort_summary": "SELECT count(*) AS attempts, count(*) FILTER (event_id % 13 <> 0) AS successes, round(count(*) FILTER (event_id % 13 = 0) / count(*)::DOUBLE, 6) AS failure_rate, quantile_disc(value, 0.95) FILTER (event_id % 13 <> 0) AS p95, CAST(sum(CASE WHEN event_id % 31 = 0 THEN 5000000 ELSE round(value * 1000) END) AS BIGINT) AS cost_with_reserve FROM events",
     "paired_ratio": "WITH w AS (SELECT event_id // 2 AS item, max(value) FILTER (event_id % 2 = 0) AS s, max(value) FILTER (event_id % 2 = 1) AS f FROM events GROUP BY 1), x AS (SELECT * FROM w WHERE s > 0 AND f IS NOT NULL) SELECT count(*) AS pairs, round(median(f / s), 9) AS median_ratio, count(*) FILTER (f < s) AS wins, median(f / s) <= 0.8 AS ratio_gate, count(*) FILTER (f < s) * 4 >= count(*) * 3 AS wins_gate FROM x",
-    "pairwise_jaccard": f"WITH t AS (SELECT source, doc_id, list_distinct({tokens_sql('text')}) AS t FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 6), p AS (SELECT a.source, round(len(list_intersect(a.t, b.t)) / nullif(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)), 0)::DOUBLE, 9) AS s FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id) SELECT source, max(s) AS highest, count(*) AS pairs FROM p GROUP BY source",
+    "pairwise_jaccard": f"WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS h, list_distinct({tokens_sql('text')}) AS t FROM conversations WHERE conv_id IS NOT NULL), p AS (SELECT a.conv_id, round(len(list_intersect(a.t, b.t)) / nullif(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)), 0)::DOUBLE, 9) AS s FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn), c AS (SELECT conv_id, max(s) AS highest, count(*) AS pairs FROM p GROUP BY conv_id) SELECT u.conv_id, u.different, highest, coalesce(pairs, 0) AS pairs FROM (SELECT conv_id, count(DISTINCT h) AS different FROM t GROUP BY conv_id) u LEFT JOIN c ON c.conv_id = u.conv_id",
     "displacement_totals": f"WITH {_ITEMS}, {_GOLD}, {_HITS} SELECT g.query_id, count(*) FILTER (h.rank IS NULL) AS beyond_candidates, count(*) FILTER (h.rank IS NOT NULL) AS rank_cutoff FROM gold g LEFT JOIN hits h ON h.arm = 'vector' AND h.query_id = g.query_id AND h.id = g.id WHERE h.rank IS NULL OR h.rank > 5 GROUP BY 1",
     "citation_audit": f"""WITH a AS (SELECT doc_id, substr(text, 1, 40) || ' ' || ({_TAILS})[doc_id % 6 + 1] || ' ' || substr(text, 41, 20) || ' [Source ' || (doc_id % 9) || ']' AS a, CAST(doc_id % 6 + 1 AS INT) AS source_count FROM documents
 ), t AS (SELECT doc_id, source_count, regexp_extract_all(a, '(?s)\\[[^\\]]*\\]|\\[.*$|\\]') AS t FROM a), g AS (SELECT *, list_filter(t, lambda x: regexp_full_match(x, '{M.CITATION}')) AS g FROM t

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quarry.functions import text as X
 from quarry.operators import corpus as C
@@ -22,12 +23,11 @@ def contamination_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verbatim_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of which a document with a smaller number than theirs holds 45 words in a row."""
-    c = chunk_table(spark, d).filter("chunk_no = 1")
-    t = c.select(F.col("doc_id").alias("b"), X.tokens(F.col("text")).alias("t"))
-    p = Q.positions(t, "b", 45).withColumn("h", F.xxhash64("s"))
-    first = p.groupBy("h", "s").agg(F.min("b").alias("first"))
-    return p.join(first, ["h", "s"]).filter("first < b").groupBy("b").agg(F.min("first").alias("source"))
+    """Documents of which one with a smaller number holds 45 words in a row."""
+    t = read(spark, d, "documents").select(F.col("doc_id").alias("b"), X.tokens(F.col("text")).alias("t"))
+    p = Q.positions(t, "b", 45).select("b", "h", "g")
+    first = p.groupBy("h", "g").agg(F.min("b").alias("first"), F.max("b").alias("last")).filter("first < last").select("h", "g", "first")
+    return p.join(first, ["h", "g"]).filter("first < b").groupBy("b").agg(F.min("first").alias("source"))
 
 
 def exact_question_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -100,17 +100,36 @@ def store_verification(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("fault", fault).filter("fault is not null").select("vec_id", "fault")
 
 
-def page_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks to pages: each document is cut into pages of 120 tokens; chunks are found again by six anchors."""
-    t = read(spark, d, "documents").filter("doc_id < 60").select("doc_id", X.tokens(F.col("text")).alias("t"))
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Each document cut into pages of 120 tokens, numbered from its own million on."""
+    t = read(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
     n = F.greatest(F.ceil(F.size("t") / 120).cast("int"), F.lit(1))
-    pages = t.select("doc_id", "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("p")).select((F.col("doc_id") * 100 + F.col("p")).alias("page"), F.slice("t", F.col("p") * 120 + 1, F.lit(120)).alias("t"))
-    c = chunk_table(spark, d).filter("doc_id < 60").select(F.col("chunk_id").alias("key"), X.tokens(F.col("text")).alias("t"))
-    found = Q.anchors(c, 8, 6)
-    where = Q.locate(found, pages, 8, 4)
+    return t.select("doc_id", "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("p")).select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("p")).alias("page"), F.slice("t", F.col("p") * 120 + 1, F.lit(120)).alias("t"))
+
+
+def page_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks to pages by six anchors of twelve tokens, two of which have to be found, with a floor from chunk to chunk."""
+    c = chunk_table(spark, d).select(F.col("chunk_id").alias("key"), F.col("doc_id").alias("document"), F.col("chunk_no").alias("no"), X.tokens(F.col("text")).alias("t"))
+    found = Q.anchors(c, 12, 6)
+    where = Q.locate(c.select("document", "no", "key"), Q.candidates(found, _pages(spark, d).select("page", "t"), 12, 4, 2))
     total = found.groupBy("key").agg(F.count("*").alias("anchors"))
-    confidence = F.when(F.col("matched") == F.col("anchors"), "high").when(F.col("matched") >= 4, "medium").otherwise("review_required")
-    return where.join(total, "key").select("key", "first_page", "last_page", "matched", "anchors", confidence.alias("confidence"))
+    confidence = F.when(F.col("matched").isNull(), "not_found").when(F.col("matched") == F.col("anchors"), "high").when(F.col("matched") >= 4, "medium").otherwise("review_required")
+    return where.join(total, "key", "left").select("key", "first_page", "last_page", "matched", "regresses", F.coalesce("anchors", F.lit(0)).alias("anchors"), confidence.alias("confidence"))
+
+
+def page_of_offset(spark: SparkSession, d: str) -> DataFrame:
+    """The page on which each chunk begins: offsets of chunks in the pages' token stream, by an as-of join.
+
+    Pages end with the paragraph that fills 120 tokens, so they differ in length.
+    """
+    n = F.size(X.tokens(F.col("paragraph")))
+    p = read(spark, d, "documents").select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("pos", "paragraph")).select("doc_id", "pos", n.cast("long").alias("n"))
+    before = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    p = p.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    page = F.floor(F.col("offset") / 120)
+    starts = p.withColumn("page", page).groupBy("doc_id", "page").agg(F.min("offset").alias("offset"))
+    asked = chunk_table(spark, d).select("doc_id", "chunk_id", (F.col("paragraph_start") - 1).alias("pos")).join(p.select("doc_id", "pos", "offset"), ["doc_id", "pos"])
+    return Q.as_of(asked.select("doc_id", "chunk_id", "offset"), starts, "doc_id", "offset", "page").select("chunk_id", "offset", "page")
 
 
 def role_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +139,7 @@ def role_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    contamination_ngrams, verbatim_overlap, exact_question_overlap, near_questions, near_questions_ratio, near_match_reviews, gold_validation, stratum_counts, carryover, store_verification, page_alignment, role_terms)}
+    contamination_ngrams, verbatim_overlap, exact_question_overlap, near_questions, near_questions_ratio, near_match_reviews, gold_validation, stratum_counts, carryover, store_verification, page_alignment, page_of_offset, role_terms)}
 
 # -- DuckDB ------------------------------------------------------------------------------------------------------------
 
@@ -134,11 +153,11 @@ _NEAR = f"""g AS (SELECT item_id AS a, list_distinct(regexp_extract_all({_NORM.f
 ), o AS (SELECT item_id AS b, list_distinct(regexp_extract_all({_NORM.format("CASE item_id % 3 WHEN 0 THEN regexp_replace(text, '^\\S+\\s+', '') WHEN 1 THEN 'xx yy zz ' || text ELSE regexp_replace(text, 'th', 'ht', 'g') END")}, '[\\p{{L}}\\p{{N}}]+')) AS u FROM benchmark
 ), pairs AS (SELECT a, b, len(list_intersect(t, u)) AS shared, len(t) + len(u) AS n FROM g, o
 ), near AS (SELECT a, b, shared, round(shared / (n - shared)::DOUBLE, 9) AS jaccard FROM pairs WHERE shared >= 5 AND round(shared / (n - shared)::DOUBLE, 9) >= 0.72)"""
-_PAGES = "pages0 AS (SELECT doc_id, t, unnest(range(0, greatest(CAST(ceil(len(t) / 120) AS BIGINT), 1))) AS p FROM (SELECT doc_id, " + tokens_sql("text") + " AS t FROM documents WHERE doc_id < 60)), pg AS (SELECT doc_id * 100 + p AS page, t[p * 120 + 1:p * 120 + 120] AS t FROM pages0)"
+_PAGES = "pages0 AS (SELECT doc_id, t, unnest(range(0, greatest(CAST(ceil(len(t) / 120) AS BIGINT), 1))) AS p FROM (SELECT doc_id, " + tokens_sql("text") + " AS t FROM documents)), pg AS (SELECT doc_id * 1000000 + p AS page, t[p * 120 + 1:p * 120 + 120] AS t FROM pages0)"
 
 SQL = {
     "contamination_ngrams": f"WITH l AS (SELECT item_id AS a, {tokens_sql('text')} AS t FROM benchmark), r AS (SELECT doc_id AS b, {tokens_sql('text')} AS t FROM documents), m AS (SELECT a, b, x.pos AS i, x.pos - y.pos AS d FROM ({_pos('l', 'a', 10)}) x JOIN ({_pos('r', 'b', 10)}) y ON x.s = y.s), k AS (SELECT a, b, d, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS g FROM m), n AS (SELECT a, b, count(*) + 9 AS n FROM k GROUP BY a, b, d, g) SELECT a, b, max(n) AS longest FROM n GROUP BY a, b",
-    "verbatim_overlap": f"WITH RECURSIVE {CHUNKS_SQL}, t AS (SELECT doc_id AS b, {tokens_sql('text')} AS t FROM chunks WHERE chunk_no = 1), p AS ({_pos('t', 'b', 45)}), f AS (SELECT s, min(b) AS first FROM p GROUP BY s) SELECT b, min(first) AS source FROM p JOIN f ON f.s = p.s WHERE first < b GROUP BY b",
+    "verbatim_overlap": f"WITH t AS (SELECT doc_id AS b, {tokens_sql('text')} AS t FROM documents), p AS (SELECT b, md5(s) AS s FROM ({_pos('t', 'b', 45)})), f AS (SELECT s, min(b) AS first FROM p GROUP BY s) SELECT b, min(first) AS source FROM p JOIN f ON f.s = p.s WHERE first < b GROUP BY b",
     "exact_question_overlap": f"WITH q AS (SELECT item_id, {_NORM.format('text')} AS h FROM benchmark), t AS (SELECT conv_id, turn, {_NORM.format('text')} AS h FROM conversations UNION ALL SELECT item_id, -1, {_NORM.format('text')} FROM benchmark WHERE item_id % 9 = 0) SELECT item_id, conv_id, turn FROM q JOIN t ON q.h = t.h",
     "near_questions": f"WITH {_NEAR} SELECT a, b, shared, jaccard FROM near",
     "near_match_reviews": f"WITH {_NEAR}, r AS (SELECT a, b FROM near WHERE a % 5 <> 0 UNION ALL SELECT a, b FROM near WHERE a % 7 = 0 UNION ALL SELECT a, b + 1000 FROM near WHERE a % 11 = 0), n AS (SELECT a, b, count(*) AS n FROM r GROUP BY a, b), j AS (SELECT coalesce(x.a, n.a) AS a, coalesce(x.b, n.b) AS b, CASE WHEN n.n IS NULL THEN 'missing_review' WHEN x.a IS NULL THEN 'unknown_pair' WHEN n.n > 1 THEN 'reviewed_twice' END AS fault FROM near x FULL JOIN n ON n.a = x.a AND n.b = x.b) SELECT * FROM j WHERE fault IS NOT NULL",
@@ -146,14 +165,27 @@ SQL = {
     "stratum_counts": "WITH r(lang, least, most) AS (VALUES ('en', 1, 400), ('fr', 1, 10000), ('de', 1000, 2000), ('es', 0, 50), ('it', 1, 5)), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT r.lang, coalesce(n, 0) AS n, least, most FROM r LEFT JOIN n ON n.lang = r.lang WHERE coalesce(n, 0) < least OR coalesce(n, 0) > most",
     "carryover": f"WITH RECURSIVE {CHUNKS_SQL}, p AS (SELECT doc_id // 12 AS item_id, CASE WHEN doc_id % 30 = 0 THEN chunk_id || 'x' ELSE chunk_id END AS chunk_id FROM chunks WHERE doc_id % 6 = 0 AND chunk_no <= 5), s AS (SELECT p.item_id, p.chunk_id, CASE WHEN c.chunk_id IS NULL THEN 'invalid_old_location' WHEN c.chunk_no % 5 = 4 THEN 'missing' WHEN c.doc_id % 8 = 0 THEN 'newly_skipped' WHEN c.chunk_no % 3 = 0 THEN 'changed_hash' ELSE 'unchanged' END AS status FROM p LEFT JOIN chunks c ON c.chunk_id = p.chunk_id) SELECT *, bool_or(status <> 'unchanged') OVER (PARTITION BY item_id) AS quarantined FROM s",
     "store_verification": "SELECT vec_id, 'missing' AS fault FROM embeddings WHERE vec_id % 50 IN (7, 8) UNION ALL SELECT vec_id + 1000000, 'unexpected' FROM embeddings WHERE vec_id % 50 = 8 UNION ALL SELECT vec_id, 'label' FROM embeddings WHERE vec_id % 50 = 9 UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id % 50 = 10",
-    "page_alignment": f"""WITH RECURSIVE {CHUNKS_SQL}, {_PAGES}, ct AS (SELECT chunk_id AS key, {tokens_sql('text')} AS t FROM chunks WHERE doc_id < 60
-), st AS (SELECT key, t, unnest([round_even(i * (len(t) - 8) / 5.0, 0)::BIGINT FOR i IN range(0, 6)]) AS s FROM ct WHERE len(t) >= 8
-), an AS (SELECT DISTINCT key, array_to_string(t[s + 1:s + 8], ' ') AS anchor FROM st
-), sp AS (SELECT DISTINCT page, s AS anchor FROM ({_pos('pg', 'page', 8)})
+    "page_alignment": f"""WITH RECURSIVE {CHUNKS_SQL}, {_PAGES}, ct AS (SELECT chunk_id AS key, doc_id, chunk_no AS no, {tokens_sql('text')} AS t FROM chunks
+), st AS (SELECT key, t, unnest([round_even(i * (len(t) - 12) / 5.0, 0)::BIGINT FOR i IN range(0, 6)]) AS s FROM ct WHERE len(t) >= 12
+), an AS (SELECT DISTINCT key, array_to_string(t[s + 1:s + 12], ' ') AS anchor FROM st
+), sp AS (SELECT DISTINCT page, s AS anchor FROM ({_pos('pg', 'page', 12)})
 ), h AS (SELECT key, an.anchor, page FROM an JOIN sp ON sp.anchor = an.anchor
 ), w AS (SELECT s.key, s.page AS start, h.anchor, min(h.page) AS page FROM (SELECT DISTINCT key, page FROM h) s JOIN h ON h.key = s.key AND h.page BETWEEN s.page AND s.page + 3 GROUP BY ALL
-), e AS (SELECT key, start, count(*) AS matched, min(page) AS first_page, max(page) AS last_page FROM w GROUP BY ALL
-), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY matched DESC, last_page - first_page, first_page, last_page, start) = 1)
-SELECT b.key, first_page, last_page, matched, n AS anchors, CASE WHEN matched = n THEN 'high' WHEN matched >= 4 THEN 'medium' ELSE 'review_required' END AS confidence FROM b JOIN (SELECT key, count(*) AS n FROM an GROUP BY key) a ON a.key = b.key""",
+), e AS (SELECT key, start, count(*) AS matched, min(page) AS first_page, max(page) AS last_page FROM w GROUP BY ALL HAVING count(*) >= 2
+), o AS (SELECT key, list({{'start': start, 'matched': matched, 'first_page': first_page, 'last_page': last_page}} ORDER BY matched DESC, last_page - first_page, first_page, last_page, start) AS best FROM e GROUP BY key
+), c AS (SELECT ct.key, doc_id, no, best FROM ct LEFT JOIN o ON o.key = ct.key
+), walk AS (
+  SELECT doc_id, 0 AS no, CAST(0 AS BIGINT) AS floor, CAST(NULL AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS STRUCT(start BIGINT, matched BIGINT, first_page BIGINT, last_page BIGINT)) AS x, false AS regresses FROM (SELECT DISTINCT doc_id FROM ct)
+  UNION ALL
+  SELECT doc_id, no, coalesce(x.first_page, floor), coalesce(x.last_page, last), key, x, coalesce(x.last_page < last, false) FROM (
+    SELECT walk.doc_id, c.no, walk.floor, walk.last, c.key, list_filter(c.best, lambda b: b.start >= walk.floor)[1] AS x FROM walk JOIN c ON c.doc_id = walk.doc_id AND c.no = walk.no + 1)
+)
+SELECT walk.key, x.first_page AS first_page, x.last_page AS last_page, x.matched AS matched, regresses, coalesce(n, 0) AS anchors, CASE WHEN x.matched IS NULL THEN 'not_found' WHEN x.matched = n THEN 'high' WHEN x.matched >= 4 THEN 'medium' ELSE 'review_required' END AS confidence
+FROM walk LEFT JOIN (SELECT key, count(*) AS n FROM an GROUP BY key) a ON a.key = walk.key WHERE walk.key IS NOT NULL""",
+    "page_of_offset": f"""WITH RECURSIVE {CHUNKS_SQL}, p AS (SELECT doc_id, pos, len({tokens_sql('paragraph')}) AS n FROM (SELECT doc_id, unnest(range(0, len(ps))) AS pos, unnest(ps) AS paragraph FROM para)
+), o AS (SELECT doc_id, pos, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ FROM p
+), s AS (SELECT doc_id, offset_ // 120 AS page, min(offset_) AS start FROM o GROUP BY ALL
+), a AS (SELECT c.doc_id, c.chunk_id, o.offset_ FROM chunks c JOIN o ON o.doc_id = c.doc_id AND o.pos = c.paragraph_start - 1)
+SELECT chunk_id, offset_ AS offset, page FROM a ASOF LEFT JOIN s ON a.doc_id = s.doc_id AND a.offset_ >= s.start""",
     "role_terms": "WITH t AS (SELECT source AS document, unnest(" + content_sql("text") + ") AS term FROM documents), tf AS (SELECT document, term, count(*) AS tf FROM t WHERE NOT regexp_full_match(term, '[12][0-9]{3}') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT source) AS n FROM documents), s AS (SELECT document, tf.term, tf, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)::DOUBLE) + 1), 9) AS score FROM tf JOIN df ON df.term = tf.term, n) SELECT *, CAST(row_number() OVER (PARTITION BY document ORDER BY score DESC, tf DESC, term) AS INT) AS rank FROM s QUALIFY rank <= 10",
 }

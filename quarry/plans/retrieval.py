@@ -1,7 +1,8 @@
 """Retrieval queries with their DuckDB equivalents.
 
-Benchmark items are the queries (query_id = item_id, the first 40); the vector of document i is embedding i, which
-stands for the document's first chunk; a document's source is what diversity caps.
+All benchmark items are the queries (query_id = item_id; each fifth quotes its first two words, and its eighth to tenth);
+embedding i is the vector of item i as a query, and of document i as a candidate, where it stands for the document's first
+chunk; a document's source is what diversity caps.
 """
 
 from __future__ import annotations
@@ -13,30 +14,31 @@ from pyspark.sql.window import Window as W
 from quarry.functions import text as X
 from quarry.operators import corpus as C
 from quarry.operators import retrieval as R
-from quarry.plans.corpus import CHUNKS_SQL, chunk_table, content_sql, ordered_distinct, tokens_sql
+from quarry.plans.corpus import CHUNKS_SQL, chunk_index, chunk_table, content_sql, ordered_distinct, tokens_sql
+from quarry.sources.stage import kept
 from quarry.sources.tables import read
 
-N_QUERIES = 40
 FAR = 1.6  # a distance that filters in these tables, where 1.05 falls back
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = chunk_table(spark, d)
-    return c.withColumn("ordinal", F.struct("doc_id", "chunk_no"))
-
-
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "benchmark").filter(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), "text")
+    w = F.split("text", r"\s+")
+    quoted = F.concat(F.lit("“"), w[0], F.lit(" "), w[1], F.lit("” "), "text", F.lit(' "'), F.concat_ws(" ", F.slice(w, 8, 3)), F.lit('"'))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 5 == 0, quoted).otherwise(F.col("text")).alias("text"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.lexical(_queries(spark, d), _chunks(spark, d))
+    return kept(spark, d, ("documents", "benchmark"), "bm25", lambda: R.lexical(_queries(spark, d), chunk_index(spark, d)))
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    v = read(spark, d, "embeddings")
-    q = v.filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    return R.dense(q, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    def ranked() -> DataFrame:
+        v = read(spark, d, "embeddings")
+        items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+        q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).join(items, "query_id")
+        return R.dense(q, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+
+    return kept(spark, d, ("embeddings", "benchmark"), "dense", ranked)
 
 
 def _semantic(spark: SparkSession, d: str) -> DataFrame:
@@ -66,12 +68,16 @@ def answer_context(spark: SparkSession, d: str) -> DataFrame:
     return R.with_neighbours(diversity_select(spark, d).filter("position <= 5"), edges)
 
 
+def exact_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that hold an item's first line, whatever the case."""
+    needle = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.split("text", "\n")[0]).alias("needle"))
+    return C.holding(chunk_table(spark, d), needle, "query_id").select("query_id", "chunk_id", "doc_id", "chunk_no")
+
+
 def index_context(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that hold a term exactly, then their neighbours, then ranked chunks; each once, at most eight."""
     c = chunk_table(spark, d)
-    needle = _queries(spark, d).select("query_id", F.lower(F.substring("text", 1, 25)).alias("needle"))
-    exact = c.join(needle, F.contains(F.lower("text"), F.col("needle"))).select("query_id", "chunk_id", "doc_id", "chunk_no")
-    exact = exact.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id", "chunk_no"))).select("query_id", "chunk_id", "position")
+    exact = exact_chunks(spark, d).withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id", "chunk_no"))).select("query_id", "chunk_id", "position")
     near = R.with_neighbours(exact, C.id_neighbours(c.select("chunk_id")), 1 << 30)
     ranked = bm25_topk(spark, d).select("query_id", "chunk_id", F.lit(2).alias("tier"), "rank")
     every = near.select("query_id", "chunk_id", F.when(F.col("origin") == "primary", 0).otherwise(1).alias("tier"), F.col("source_number").alias("rank")).unionByName(ranked)
@@ -117,8 +123,9 @@ QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, threshold_fallback, rr
 # -- DuckDB ------------------------------------------------------------------------------------------------------------
 
 _LEX = f"""
-q0 AS (SELECT item_id AS query_id, {content_sql('text')} AS c FROM benchmark WHERE item_id < {N_QUERIES}
-), q AS (SELECT query_id, {ordered_distinct('c')} AS terms, list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1])) AS bigrams FROM q0
+qt AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN '“' || w[1] || ' ' || w[2] || '” ' || text || ' "' || array_to_string(w[8:10], ' ') || '"' ELSE text END AS text FROM (SELECT item_id, text, regexp_split_to_array(text, '\\s+') AS w FROM benchmark)
+), q0 AS (SELECT query_id, {content_sql('text')} AS c, list_filter(list_transform(regexp_extract_all(text, '["“”]([^"“”]+)["“”]', 1), lambda p: array_to_string({tokens_sql('p')}, ' ')), lambda p: p <> '') AS said FROM qt
+), q AS (SELECT query_id, {ordered_distinct('c')} AS terms, list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1])) AS bigrams, list_distinct(said) AS quoted FROM q0
 ), ct AS (SELECT chunk_id, doc_id, chunk_no, {tokens_sql('text')} AS t FROM chunks
 ), st AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS mean FROM ct
 ), post AS (SELECT chunk_id, term, len, count(*) AS tf FROM (SELECT chunk_id, len(t) AS len, unnest(t) AS term FROM ct) GROUP BY ALL
@@ -127,16 +134,16 @@ q0 AS (SELECT item_id AS query_id, {content_sql('text')} AS c FROM benchmark WHE
   SELECT query_id, post.chunk_id, count(*) AS matched, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1.0::DOUBLE - 0.75 + 0.75::DOUBLE * len / mean)))) AS bm25
   FROM (SELECT query_id, unnest(terms) AS term FROM q) x JOIN post ON post.term = x.term JOIN dfs ON dfs.term = x.term, st GROUP BY ALL
 ), lexs AS (
-  SELECT m.query_id, m.chunk_id, ct.doc_id, ct.chunk_no, matched AS matched_terms,
-         round(bm25 * (1.0::DOUBLE + 0.2::DOUBLE * matched / len(terms)) + 0.5::DOUBLE * len(list_filter(bigrams, lambda p: contains(array_to_string(t, ' '), p))), 9) AS score
-  FROM m JOIN q ON q.query_id = m.query_id JOIN ct ON ct.chunk_id = m.chunk_id
+  SELECT q.query_id, ct.chunk_id, ct.doc_id, ct.chunk_no, coalesce(matched, 0) AS matched_terms,
+         round(coalesce(bm25 * (1.0::DOUBLE + 0.2::DOUBLE * matched / len(terms)), 0) + 0.5::DOUBLE * len(list_filter(bigrams, lambda p: contains(body, p))) + 2.0::DOUBLE * len(list_filter(quoted, lambda p: contains(body, p))), 9) AS score
+  FROM q JOIN (SELECT *, array_to_string(t, ' ') AS body FROM ct) ct ON len(terms) > 0 LEFT JOIN m ON q.query_id = m.query_id AND ct.chunk_id = m.chunk_id
 ), lex AS (
   SELECT query_id, chunk_id, score, matched_terms, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no, chunk_id) AS INT) AS rank FROM lexs WHERE score > 0 QUALIFY rank <= 20
 )"""
 _DENSE = f"""
 gaps AS (
   SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 9) AS distance
-  FROM embeddings v JOIN embeddings q ON q.vec_id < {N_QUERIES} AND q.vec_id <> v.vec_id
+  FROM embeddings v JOIN embeddings q ON q.vec_id IN (SELECT item_id FROM benchmark) AND q.vec_id <> v.vec_id
 ), den AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM gaps QUALIFY rank <= 20)"""
 _FUSED = f"""{CHUNKS_SQL}, {_LEX}, {_DENSE}, sem AS (
   SELECT den.*, id || '_001' AS chunk_id FROM den JOIN chunks ON chunk_id = id || '_001'
@@ -174,7 +181,7 @@ SQL = {
     "diversity_select": f"WITH RECURSIVE {_DIVERSE} SELECT query_id, chunk_id, document, rank, rrf_score, deferred, position FROM diverse",
     "answer_context": f"WITH RECURSIVE {_CONTEXT} SELECT * FROM context",
     "index_context": f"""WITH RECURSIVE {CHUNKS_SQL}, {_LEX}, {_EDGES}, ex AS (
-  SELECT b.item_id AS query_id, c.chunk_id, row_number() OVER (PARTITION BY b.item_id ORDER BY doc_id, chunk_no) AS position FROM chunks c JOIN benchmark b ON b.item_id < {N_QUERIES} AND contains(lower(c.text), lower(substr(b.text, 1, 25)))
+  SELECT b.item_id AS query_id, c.chunk_id, row_number() OVER (PARTITION BY b.item_id ORDER BY doc_id, chunk_no) AS position FROM chunks c JOIN benchmark b ON contains(lower(c.text), lower(string_split(b.text, chr(10))[1]))
 ), near0 AS (SELECT query_id, chunk_id, 0 AS tier, position AS parent, '' AS side FROM ex UNION ALL SELECT query_id, neighbour_id, 1, position, neighbour_id FROM ex JOIN edges ON edges.chunk_id = ex.chunk_id
 ), near1 AS (SELECT * FROM near0 QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY tier, parent, side) = 1
 ), every AS (SELECT query_id, chunk_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, parent, side) AS rank FROM near1 UNION ALL SELECT query_id, chunk_id, 2, rank FROM lex

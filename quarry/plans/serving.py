@@ -49,7 +49,7 @@ def stage_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scope_apportionment(spark: SparkSession, d: str) -> DataFrame:
-    c = chunk_table(spark, d).filter("chunk_no <= 4").select(F.col("doc_id").alias("query_id"), F.col("chunk_no").alias("source"), (F.col("paragraph_end") - F.col("paragraph_start") + 1).alias("length"))
+    c = chunk_table(spark, d).select(F.col("doc_id").alias("query_id"), F.col("chunk_no").alias("source"), (F.col("paragraph_end") - F.col("paragraph_start") + 1).alias("length"))
     return S.apportion(c, 10)
 
 
@@ -132,7 +132,7 @@ SQL = {
     "bounded_history": "WITH t AS (SELECT conv_id, turn, row_number() OVER w AS n, sum(length(text) * 10) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, CAST(total AS BIGINT) AS chars_from_here FROM t WHERE n <= 6 AND total <= 16000",
     "followup_subject": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' AND length(text) < 400 THEN nullif(regexp_extract(text, '^\\S+\\s+(\\S+)', 1), '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM conversations",
     "stage_bands": "WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS ordinal FROM (SELECT DISTINCT source FROM documents)) SELECT source, CAST(ordinal AS INT) AS ordinal, CAST(least(5, floor(ordinal * 6 / count(*) OVER ())) AS BIGINT) AS band FROM s",
-    "scope_apportionment": f"WITH RECURSIVE {CHUNKS_SQL}, s AS (SELECT doc_id AS query_id, chunk_no AS source, paragraph_end - paragraph_start + 1 AS length FROM chunks WHERE chunk_no <= 4), m AS (SELECT *, unnest(range(1, length)) AS j FROM s WHERE length > 1), r AS (SELECT m.query_id, source, row_number() OVER (PARTITION BY m.query_id ORDER BY length / j::DOUBLE DESC, source) AS r, spare FROM m JOIN (SELECT query_id, 10 - count(*) AS spare FROM s GROUP BY 1) x ON x.query_id = m.query_id), w AS (SELECT query_id, source, count(*) AS e FROM r WHERE r <= spare GROUP BY ALL) SELECT s.*, coalesce(e, 0) + 1 AS scopes FROM s LEFT JOIN w ON w.query_id = s.query_id AND w.source = s.source",
+    "scope_apportionment": f"WITH RECURSIVE {CHUNKS_SQL}, s AS (SELECT doc_id AS query_id, chunk_no AS source, paragraph_end - paragraph_start + 1 AS length FROM chunks), m AS (SELECT *, unnest(range(1, length)) AS j FROM s WHERE length > 1), r AS (SELECT m.query_id, source, row_number() OVER (PARTITION BY m.query_id ORDER BY length / j::DOUBLE DESC, source) AS r, spare FROM m JOIN (SELECT query_id, 10 - count(*) AS spare FROM s GROUP BY 1) x ON x.query_id = m.query_id), w AS (SELECT query_id, source, count(*) AS e FROM r WHERE r <= spare GROUP BY ALL) SELECT s.*, coalesce(e, 0) + 1 AS scopes FROM s LEFT JOIN w ON w.query_id = s.query_id AND w.source = s.source",
     "requirement_sources": f"WITH {_DENSE_LABEL_SQL}, f AS (SELECT query_id, rank % 3 % 2 AS requirement, id, min(rank) AS first FROM pools GROUP BY ALL) SELECT query_id, requirement, string_agg(CAST(id AS VARCHAR), ',' ORDER BY first, id) AS sources FROM f GROUP BY ALL",
     "lane_first_pick": f"WITH {_LANES} SELECT query_id, facet, arg_min(chunk_id, rank) AS chunk_id, min(rank) AS rank FROM lanes GROUP BY ALL",
     "mechanism_rerank": f"WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT chunk_id, doc_id, len(regexp_extract_all(lower(text), '(?:the|and)')) AS signal, unnest([length(text) % 97, length(text) % 89, length(text) % 83]) AS raw FROM chunks WHERE doc_id < 100), s AS (SELECT doc_id, chunk_id, round(raw / nullif(max(raw) OVER (PARTITION BY doc_id), 0)::DOUBLE * (1 + 0.02::DOUBLE * least(signal, 10)), 9) AS score FROM c), g AS (SELECT doc_id, chunk_id, max(score) AS score FROM s GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC NULLS LAST, chunk_id) AS INT) AS rank FROM g QUALIFY rank <= 3",

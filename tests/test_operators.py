@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.functions.unicode import nfkd_fold, osa, sequence_ratio
+from quarry.functions.unicode import folded, nfkd, osa, sequence_ratio
 from quarry.operators import corpus as C
 from quarry.operators import evidence as E
 from quarry.operators import ledger as L
@@ -28,6 +28,16 @@ def test_tokens(spark):
     assert one(spark, X.tokens, None) == []
 
 
+def test_fold_is_compatibility_decomposition(spark):
+    rnd = random.Random(5)
+    pools = [range(32, 0x250), range(0x250, 0x3000), range(0x3000, 0xA000), range(0xF900, 0x10000), range(0x1D400, 0x1D800), range(0x300, 0x370), range(0x1E00, 0x2200)]
+    texts = ["Dvořák Łódź ﬁne Ｆｕｌｌ ½ ﷺ Straße ΟΔΟΣ ǅ ĳ", "’s"] + ["".join(chr(rnd.choice(pool)) for pool in rnd.choices(pools, k=rnd.randint(1, 30))) for _ in range(3000)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", folded(F.col("x"))).collect()
+    assert all(r[1] == nfkd(texts[r[0]]) for r in got), [(texts[r[0]], r[1], nfkd(texts[r[0]])) for r in got if r[1] != nfkd(texts[r[0]])][:3]
+    assert one(spark, X.tokens, "Dvořák Łódź ﬁne Ｆｕｌｌ’s ① ٣ ٣٤٥") == ["dvorak", "łodz", "fine", "full", "٣٤٥"]
+    assert one(spark, X.content_tokens, "한 글 a") == ["한", "글"]
+
+
 def loop_chunks(ps):
     out, start = [], 0
     while start < len(ps):
@@ -104,7 +114,7 @@ def test_budget_without_events(spark):
 
 def test_edit_measures(spark):
     assert osa("ca", "abc") == 3 and osa("teh", "the") == 1 and osa("", "ab") == 2
-    row = spark.createDataFrame([("Éa’s", "abcd", "bcde")], "a string, b string, c string").select(nfkd_fold("a"), sequence_ratio("b", "c")).first()
+    row = spark.createDataFrame([("Éa’s", "abcd", "bcde")], "a string, b string, c string").select(folded(F.col("a")), sequence_ratio("b", "c")).first()
     assert tuple(row) == ("ea's", 0.75)
 
 
