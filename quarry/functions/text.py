@@ -37,11 +37,15 @@ def fold(x: Column) -> Column:
     return folded(x)
 
 
+def without_possessive(t: Column) -> Column:
+    return F.when(F.endswith(t, F.lit("'s")) & (F.length(t) > 2), F.left(t, F.length(t) - 2)).otherwise(t)
+
+
 def tokens(x: Column) -> Column:
     """Folded words without possessive 's and without numbers of one or two digits."""
     found = F.regexp_extract_all(fold(F.coalesce(x, F.lit(""))), F.lit(WORD), 0)
-    bare = F.transform(found, lambda t: F.regexp_replace(t, "(?<=.)'s$", ""))
-    return F.filter(bare, lambda t: ~t.rlike(r"^\p{Nd}{1,2}$"))
+    bare = F.transform(found, without_possessive)
+    return F.filter(bare, lambda t: ~((F.length(t) <= 2) & t.rlike(r"^\p{Nd}+$")))
 
 
 def content_tokens(x: Column) -> Column:
@@ -66,6 +70,30 @@ def shingles(words: Column, size: int) -> Column:
     return F.when(n < size, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " ")))
 
 
+def run_hashes(words: Column, size: int) -> Column:
+    """A 128-bit hash (struct h, g) of each run of `size` words, from hashes of runs of 1, 2, 4, ... words: as many steps as
+    the size has binary digits, not one for each word of a run."""
+    shift = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
+    both = lambda a, b: F.struct(F.xxhash64(a.h, b.h).alias("h"), F.xxhash64(a.g, b.g).alias("g"))
+
+    def joined(a: Column, b: Column) -> Column:
+        n = F.least(F.size(a), F.size(b))
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), both)
+
+    def step(level: Column, width: int, done: Column | None, n: int, left: int) -> Column:
+        if left & 1:
+            done, n = level if done is None else joined(done, shift(level, n)), n + width
+        if left < 2:
+            return done
+        longer = joined(level, shift(level, width))
+        if done is None:
+            return once(longer, lambda x: step(x, 2 * width, None, n, left >> 1))
+        return once(F.struct(longer.alias("x"), done.alias("y")), lambda p: step(p.x, 2 * width, p.y, n, left >> 1))
+
+    first = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), F.xxhash64(F.lit(1), w).alias("g")))
+    return once(first, lambda x: step(x, 1, None, 0, size))
+
+
 def quoted_phrases(x: Column) -> Column:
     found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit('["“”]([^"“”]+)["“”]'), 1)
     return F.array_distinct(F.filter(F.transform(found, lambda p: F.array_join(tokens(p), " ")), lambda p: p != ""))

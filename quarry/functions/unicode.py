@@ -25,8 +25,7 @@ def nfkc(text: str) -> str:
 def fold_table(form: str, case: bool = True) -> tuple[str, str, tuple[str, ...], str, str, str]:
     """What a form ("NFKD" without combining marks, or "NFKC"), case folded if `case`, makes of each character: characters with one
     character in place of them or none (as from and to of a translation), and those with several: the characters, what
-    stands at each place of what they become, their class as a pattern, and a pattern of all that lies outside of long
-    ranges without any. From the rule, not a list. Composed Hangul syllables stay as they are; so do sequences that only
+    stands at each place of what they become, their class as a pattern, and one of these and all beyond U+024F. From the rule, not a list. Composed Hangul syllables stay as they are; so do sequences that only
     compose with a neighbour under NFKC.
     """
     one, gone, many = {}, [], {}
@@ -55,18 +54,20 @@ def fold_table(form: str, case: bool = True) -> tuple[str, str, tuple[str, ...],
         else:
             runs.append([x, x])
     span = lambda rs: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in rs)
-    edges = [-1, *points, 0x110000]
-    safe = [(a + 1, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b - a > 48]
-    return "".join(one) + "".join(gone), "".join(one.values()), parts, f"[{span(runs)}]", f"[^{span(safe)}\u00DF]", keys
+    edges = [-1, *(x for x in points if x < 0x250 and x != 0xDF), 0x250]
+    plain = [(a + 1, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+    return "".join(one) + "".join(gone), "".join(one.values()), parts, f"[{span(runs)}]", f"[^{span(plain)}]", keys
 
 
 def folded(x: Column, form: str = "NFKD", case: bool = True) -> Column:
-    """x by fold_table. Texts whose characters all lie in long ranges without expansions, but for ß, are only translated."""
+    """x by fold_table. Texts of Latin letters that stay one character, or ß, are only translated; others are looked through for
+    characters that become several."""
     source, target, parts, some, odd, keys = fold_table(form, case)
     whole = lambda c: F.concat(*[F.translate(c, keys, p) for p in parts])
     base = F.replace(x, F.lit("ß"), F.lit("ss")) if case else x
     spread = F.aggregate(F.array_distinct(F.regexp_extract_all(base, F.lit(some), F.lit(0))), base, lambda s, c: F.replace(s, c, whole(c)))
-    return F.translate(F.when(base.rlike(odd), spread).otherwise(base), source, target)
+    has = base.rlike(odd) & (F.length(F.translate(base, keys, "")) < F.length(base))
+    return F.translate(F.when(has, spread).otherwise(base), source, target)
 
 
 def osa(a: str, b: str) -> int:

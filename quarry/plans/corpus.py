@@ -9,11 +9,11 @@ from pyspark.sql.window import Window as W
 from quarry.functions import text as X
 from quarry.operators import corpus as C
 from quarry.sources.stage import kept
-from quarry.sources.tables import read
+from quarry.sources.tables import read, texts
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents")
+    return texts(spark, d)
 
 
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from quarry.functions import text as X
 from quarry.operators import corpus as C
 from quarry.operators import evidence as E
-from quarry.plans.corpus import CHUNKS_SQL, _SENTENCES, chunk_table, content_sql, sentences, tokens_sql
+from quarry.plans.corpus import CHUNKS_SQL, _SENTENCES, chunk_index, chunk_table, content_sql, sentences, tokens_sql
 from quarry.sources.stage import kept
 from quarry.sources.tables import read
 
@@ -113,9 +113,11 @@ def requirement_routing(spark: SparkSession, d: str) -> DataFrame:
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.element_at(F.array(*[F.lit(a) for a in asks]), (F.col("item_id") % 5 + 1).cast("int")), F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 4))).alias("text"))
     r = E.requirements(q)
     terms = r.select("query_id", "requirement_id", "aspect", F.explode_outer(X.query_terms(F.col("fragment"))).alias("term"))
-    c = chunk_table(spark, d).select("chunk_id", F.col("text").rlike(E.DATE).alias("dated"), F.lower("text").rlike(E.CAUSAL).alias("causal"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    hit = terms.join(c, "term").filter((F.col("aspect") != "when") | F.col("dated")).filter((F.col("aspect") != "why") | F.col("causal"))
-    n = hit.groupBy("query_id", "requirement_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+    texts, words = chunk_table(spark, d), chunk_index(spark, d)
+    signs = kept(spark, d, ("documents",), "chunk-signs", lambda: texts.select("chunk_id", F.col("text").rlike(E.DATE).alias("dated"), F.col("text").rlike(E.CAUSAL).alias("causal")))
+    hit = terms.join(words.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term")), "term").select("query_id", "requirement_id", "aspect", "chunk_id").distinct()
+    hit = hit.join(signs, "chunk_id").filter((F.col("aspect") != "when") | F.col("dated")).filter((F.col("aspect") != "why") | F.col("causal"))
+    n = hit.groupBy("query_id", "requirement_id").agg(F.count("*").alias("chunks"))
     return r.join(n, ["query_id", "requirement_id"], "left").select("query_id", "requirement_id", "aspect", "fragment", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window as W
 from quarry.functions import text as X
 from quarry.operators import corpus as C
 from quarry.operators import quality as Q
-from quarry.plans.corpus import CHUNKS_SQL, chunk_table, content_sql, tokens_sql
-from quarry.sources.tables import read
+from quarry.plans.corpus import CHUNKS_SQL, chunk_index, chunk_table, content_sql, tokens_sql
+from quarry.sources.stage import written
+from quarry.sources.tables import read, texts
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -18,13 +19,13 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contamination_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    right = read(spark, d, "documents").select(F.col("doc_id").alias("b"), X.tokens(F.col("text")).alias("t"))
+    right = texts(spark, d).select(F.col("doc_id").alias("b"), X.tokens(F.col("text")).alias("t"))
     return Q.shared_runs(_items(spark, d), right, 10)
 
 
 def verbatim_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which one with a smaller number holds 45 words in a row."""
-    t = read(spark, d, "documents").select(F.col("doc_id").alias("b"), X.tokens(F.col("text")).alias("t"))
+    t = texts(spark, d).select(F.col("doc_id").alias("b"), X.tokens(F.col("text")).alias("t"))
     p = Q.positions(t, "b", 45).select("b", "h", "g")
     first = p.groupBy("h", "g").agg(F.min("b").alias("first"), F.max("b").alias("last")).filter("first < last").select("h", "g", "first")
     return p.join(first, ["h", "g"]).filter("first < b").groupBy("b").agg(F.min("first").alias("source"))
@@ -101,17 +102,18 @@ def store_verification(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """Each document cut into pages of 120 tokens, numbered from its own million on."""
-    t = read(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    """Each document's edition: pages of 120 tokens, from 0."""
+    t = texts(spark, d).select("doc_id", X.tokens(F.col("text")).alias("t"))
     n = F.greatest(F.ceil(F.size("t") / 120).cast("int"), F.lit(1))
-    return t.select("doc_id", "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("p")).select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("p")).alias("page"), F.slice("t", F.col("p") * 120 + 1, F.lit(120)).alias("t"))
+    return t.select("doc_id", "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("p")).select(F.col("doc_id").alias("document"), F.col("p").cast("long").alias("page"), F.slice("t", F.col("p") * 120 + 1, F.lit(120)).alias("t"))
 
 
 def page_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks to pages by six anchors of twelve tokens, two of which have to be found, with a floor from chunk to chunk."""
-    c = chunk_table(spark, d).select(F.col("chunk_id").alias("key"), F.col("doc_id").alias("document"), F.col("chunk_no").alias("no"), X.tokens(F.col("text")).alias("t"))
-    found = Q.anchors(c, 12, 6)
-    where = Q.locate(c.select("document", "no", "key"), Q.candidates(found, _pages(spark, d).select("page", "t"), 12, 4, 2))
+    """Chunks to the pages of their document by six anchors of twelve tokens, two of which have to be found, with a floor
+    from chunk to chunk."""
+    c = chunk_index(spark, d).select(F.col("chunk_id").alias("key"), F.col("ordinal.doc_id").alias("document"), F.col("ordinal.chunk_no").alias("no"), F.col("tokens").alias("t"))
+    found = written(Q.anchors(c, 12, 6), "anchors")
+    where = Q.locate(c.select("document", "no", "key"), Q.candidates(found, _pages(spark, d), 12, 4, 2))
     total = found.groupBy("key").agg(F.count("*").alias("anchors"))
     confidence = F.when(F.col("matched").isNull(), "not_found").when(F.col("matched") == F.col("anchors"), "high").when(F.col("matched") >= 4, "medium").otherwise("review_required")
     return where.join(total, "key", "left").select("key", "first_page", "last_page", "matched", "regresses", F.coalesce("anchors", F.lit(0)).alias("anchors"), confidence.alias("confidence"))
@@ -123,7 +125,7 @@ def page_of_offset(spark: SparkSession, d: str) -> DataFrame:
     Pages end with the paragraph that fills 120 tokens, so they differ in length.
     """
     n = F.size(X.tokens(F.col("paragraph")))
-    p = read(spark, d, "documents").select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("pos", "paragraph")).select("doc_id", "pos", n.cast("long").alias("n"))
+    p = texts(spark, d).select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("pos", "paragraph")).select("doc_id", "pos", n.cast("long").alias("n"))
     before = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     p = p.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     page = F.floor(F.col("offset") / 120)
@@ -134,7 +136,7 @@ def page_of_offset(spark: SparkSession, d: str) -> DataFrame:
 
 def role_terms(spark: SparkSession, d: str) -> DataFrame:
     """The ten most telling terms of each source, its documents taken together."""
-    docs = read(spark, d, "documents").select(F.col("source").alias("document"), X.content_tokens(F.col("text")).alias("t"))
+    docs = texts(spark, d).select(F.col("source").alias("document"), X.content_tokens(F.col("text")).alias("t"))
     return Q.role_terms(docs, 10)
 
 
@@ -153,7 +155,7 @@ _NEAR = f"""g AS (SELECT item_id AS a, list_distinct(regexp_extract_all({_NORM.f
 ), o AS (SELECT item_id AS b, list_distinct(regexp_extract_all({_NORM.format("CASE item_id % 3 WHEN 0 THEN regexp_replace(text, '^\\S+\\s+', '') WHEN 1 THEN 'xx yy zz ' || text ELSE regexp_replace(text, 'th', 'ht', 'g') END")}, '[\\p{{L}}\\p{{N}}]+')) AS u FROM benchmark
 ), pairs AS (SELECT a, b, len(list_intersect(t, u)) AS shared, len(t) + len(u) AS n FROM g, o
 ), near AS (SELECT a, b, shared, round(shared / (n - shared)::DOUBLE, 9) AS jaccard FROM pairs WHERE shared >= 5 AND round(shared / (n - shared)::DOUBLE, 9) >= 0.72)"""
-_PAGES = "pages0 AS (SELECT doc_id, t, unnest(range(0, greatest(CAST(ceil(len(t) / 120) AS BIGINT), 1))) AS p FROM (SELECT doc_id, " + tokens_sql("text") + " AS t FROM documents)), pg AS (SELECT doc_id * 1000000 + p AS page, t[p * 120 + 1:p * 120 + 120] AS t FROM pages0)"
+_PAGES = "pages0 AS (SELECT doc_id, t, unnest(range(0, greatest(CAST(ceil(len(t) / 120) AS BIGINT), 1))) AS p FROM (SELECT doc_id, " + tokens_sql("text") + " AS t FROM documents)), pg AS (SELECT doc_id || ':' || p AS dp, t[p * 120 + 1:p * 120 + 120] AS t FROM pages0)"
 
 SQL = {
     "contamination_ngrams": f"WITH l AS (SELECT item_id AS a, {tokens_sql('text')} AS t FROM benchmark), r AS (SELECT doc_id AS b, {tokens_sql('text')} AS t FROM documents), m AS (SELECT a, b, x.pos AS i, x.pos - y.pos AS d FROM ({_pos('l', 'a', 10)}) x JOIN ({_pos('r', 'b', 10)}) y ON x.s = y.s), k AS (SELECT a, b, d, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS g FROM m), n AS (SELECT a, b, count(*) + 9 AS n FROM k GROUP BY a, b, d, g) SELECT a, b, max(n) AS longest FROM n GROUP BY a, b",
@@ -167,9 +169,9 @@ SQL = {
     "store_verification": "SELECT vec_id, 'missing' AS fault FROM embeddings WHERE vec_id % 50 IN (7, 8) UNION ALL SELECT vec_id + 1000000, 'unexpected' FROM embeddings WHERE vec_id % 50 = 8 UNION ALL SELECT vec_id, 'label' FROM embeddings WHERE vec_id % 50 = 9 UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id % 50 = 10",
     "page_alignment": f"""WITH RECURSIVE {CHUNKS_SQL}, {_PAGES}, ct AS (SELECT chunk_id AS key, doc_id, chunk_no AS no, {tokens_sql('text')} AS t FROM chunks
 ), st AS (SELECT key, t, unnest([round_even(i * (len(t) - 12) / 5.0, 0)::BIGINT FOR i IN range(0, 6)]) AS s FROM ct WHERE len(t) >= 12
-), an AS (SELECT DISTINCT key, array_to_string(t[s + 1:s + 12], ' ') AS anchor FROM st
-), sp AS (SELECT DISTINCT page, s AS anchor FROM ({_pos('pg', 'page', 12)})
-), h AS (SELECT key, an.anchor, page FROM an JOIN sp ON sp.anchor = an.anchor
+), an AS (SELECT DISTINCT key, doc_id, array_to_string(t[s + 1:s + 12], ' ') AS anchor FROM st JOIN ct USING (key, t)
+), sp AS (SELECT DISTINCT CAST(split_part(dp, ':', 1) AS BIGINT) AS doc_id, CAST(split_part(dp, ':', 2) AS BIGINT) AS page, s AS anchor FROM ({_pos('pg', 'dp', 12)})
+), h AS (SELECT key, an.anchor, page FROM an JOIN sp ON sp.anchor = an.anchor AND sp.doc_id = an.doc_id
 ), w AS (SELECT s.key, s.page AS start, h.anchor, min(h.page) AS page FROM (SELECT DISTINCT key, page FROM h) s JOIN h ON h.key = s.key AND h.page BETWEEN s.page AND s.page + 3 GROUP BY ALL
 ), e AS (SELECT key, start, count(*) AS matched, min(page) AS first_page, max(page) AS last_page FROM w GROUP BY ALL HAVING count(*) >= 2
 ), o AS (SELECT key, list({{'start': start, 'matched': matched, 'first_page': first_page, 'last_page': last_page}} ORDER BY matched DESC, last_page - first_page, first_page, last_page, start) AS best FROM e GROUP BY key

@@ -10,6 +10,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, where its files have fewer splits than there are cores: such a table is small, and one task
+    would do the work of all. Tables of many splits are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows take work: whole texts."""
+    return spread(read(spark, sf_dir, name))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage ledger: one row for each priced or unpriced event. Money is in nano-USD, integers throughout."""
     e = read(spark, sf_dir, "events")

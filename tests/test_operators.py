@@ -87,9 +87,97 @@ def test_context_takes_all_primaries_first(spark):
     assert got == [("d_002", "primary"), ("d_005", "primary"), ("d_001", "neighbour"), ("d_003", "neighbour"), ("d_004", "neighbour"), ("d_006", "neighbour")]
 
 
+def test_run_hashes(spark):
+    """Equal runs have equal hashes and others don't, whatever the size's binary digits."""
+    rnd = random.Random(3)
+    rows = [[rnd.choice("abc") for _ in range(rnd.randint(0, 60))] for _ in range(60)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>")
+    for size in (1, 2, 5, 8, 12, 45):
+        seen: dict = {}
+        for r in df.select("i", X.run_hashes(F.col("t"), size).alias("h")).collect():
+            t = rows[r.i]
+            assert len(r.h) == max(0, len(t) - size + 1)
+            for k, h in enumerate(r.h):
+                assert seen.setdefault(tuple(h), tuple(t[k:k + size])) == tuple(t[k:k + size])
+        assert len(seen) == len(set(seen.values()))
+
+
+def loop_lexical(queries, chunks):
+    """Scores by a loop over all chunks of every query."""
+    cuts = {c: t for c, t in chunks}
+    mean = max(1.0, sum(map(len, cuts.values())) / len(cuts))
+    out = {}
+    for q, (terms, content, quoted) in queries.items():
+        terms = list(dict.fromkeys(content))
+        for c, t in cuts.items():
+            score, hit = 0.0, 0
+            for w in terms:
+                if n := t.count(w):
+                    df = sum(w in x for x in cuts.values())
+                    score += math.log(1 + (len(cuts) - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(t) / mean))
+                    hit += 1
+            body = " ".join(t)
+            score *= 1 + 0.2 * hit / max(1, len(terms))
+            score += 0.5 * sum(p in body for p in dict.fromkeys(" ".join(p) for p in zip(content, content[1:]))) + 2 * sum(p in body for p in dict.fromkeys(quoted))
+            if terms and score > 0:
+                out[q, c] = round(score, 6)
+    return out
+
+
+def test_lexical_against_loop(spark):
+    rnd = random.Random(7)
+    words = ["lay", "play", "ing", "playing", "red", "reddish", "an", "ant", "anti", "x"]
+    chunks = [(f"c{i:02}", [rnd.choice(words) for _ in range(rnd.randint(0, 12))]) for i in range(40)]
+    texts = {q: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 5))) for q in range(12)} | {20: "“play” 'x'", 21: '"lay ing" red', 22: '“lay ing red” play', 23: "the and of", 24: '"d"'}
+    df = spark.createDataFrame(list(texts.items()), "query_id long, text string")
+    cut = {r.query_id: (None, r.c, r.q) for r in df.select("query_id", X.content_tokens(F.col("text")).alias("c"), X.quoted_phrases(F.col("text")).alias("q")).collect()}
+    index = spark.createDataFrame([(c, i, t) for i, (c, t) in enumerate(chunks)], "chunk_id string, ordinal int, tokens array<string>")
+    got = {(r.query_id, r.chunk_id): round(r.score, 6) for r in R.lexical(df, index, 1000).collect()}
+    assert got == loop_lexical(cut, chunks) and len(got) > 100
+
+
+def test_needles_as_characters(spark):
+    texts = [("a", "Some lay reddish Ants here"), ("b", "replay reddish ant"), ("c", "ant"), ("d", "lay-reddish... ANT!"), ("e", None)]
+    needles = [(1, "lay reddish ant"), (2, "AN"), (3, "ay red"), (4, "!"), (5, ""), (6, "lay-reddish... ant")]
+    got = C.holding(spark.createDataFrame(texts, "chunk_id string, text string"), spark.createDataFrame(needles, "k int, needle string"), "k").collect()
+    assert {(r.k, r.chunk_id) for r in got} == {(k, c) for k, n in needles for c, t in texts if t and any(x.isalnum() for x in n) and n.lower() in t.lower()}
+
+
+def test_page_floor(spark):
+    """A passage that repeats goes to a page at or after that of the chunk before; where there is none, the floor stays."""
+    w = lambda n: [f"w{n}_{i}" for i in range(30)]
+    of = [(1, w(1)), (2, w(2)), (3, w(3)), (4, w(1)), (5, w(5))]
+    pages = spark.createDataFrame([(d, *p) for d in "dx" for p in of], "document string, page long, t array<string>")
+    chunks = spark.createDataFrame([("d", 1, "a", w(2)), ("d", 2, "b", w(1)), ("d", 3, "c", w(9)), ("d", 4, "e", w(3)), ("d", 5, "f", w(5)), ("x", 1, "g", w(1))], "document string, no int, key string, t array<string>")
+    got = Q.locate(chunks.drop("t"), Q.candidates(Q.anchors(chunks, 12, 6), pages, 12, 4, 2)).collect()
+    assert {r.key: (r.first_page, r.matched) for r in got} == {"a": (2, 6), "b": (4, 6), "c": (None, None), "e": (None, None), "f": (5, 6), "g": (1, 6)}
+
+
+def test_as_of(spark):
+    known = spark.createDataFrame([("a", 0, 1), ("a", 10, 2), ("b", 5, 3)], "k string, at int, page int")
+    asked = spark.createDataFrame([("a", 0, "x"), ("a", 9, "y"), ("a", 10, "z"), ("b", 4, "n")], "k string, at int, id string")
+    assert {r.id: r.page for r in Q.as_of(asked, known, "k", "at", "page").collect()} == {"x": 1, "y": 1, "z": 2, "n": None}
+
+
+def test_compound_anchors(spark):
+    said = {"Mary Smith and John Doe": ["Mary Smith", "John Doe"], "Mary Smith & John Doe.": ["Mary Smith", "John Doe"], "World Bank and Mary Smith": None, "Mary and John": None, "mary smith and John Doe": None, "A B and C D and E F": None, "Area 51 Base and Mary Smith": None}
+    for x, want in said.items():
+        assert one(spark, E.compound_anchors, x) == (want or [x])
+
+
+def anchor_index(spark, rows):
+    return spark.createDataFrame(rows, "chunk_id string, text string").select("chunk_id", E.anchor_tokens(F.col("text")).alias("tokens"), E.explicit_initialisms(F.col("text")).alias("shorts"))
+
+
+def test_anchor_tokens(spark):
+    assert one(spark, E.anchor_tokens, "The U.S. Ｆｕｌｌ–time O’Brien's A1b2 u.n.x1 W.H.O") == ["the", "us", "full", "time", "o'brien", "a", "1", "b", "2", "un", "x", "1", "who"]
+    assert sorted(one(spark, E.explicit_initialisms, "NATO, the W.H.O. and U2, aNATO NATOa 42 ABCDEFGHIJKL")) == ["NATO", "U2", "WHO"]
+
+
 def test_anchor_kinds(spark):
     t = spark.createDataFrame([(1, "World Health Organization"), (2, "Article 9"), (3, "red red")], "target_id long, surface string")
     c = spark.createDataFrame([("a", "the World Health Organization’s rule"), ("b", "Organization of world and of health"), ("c", "W.H.O. said"), ("d", "health"), ("e", "who said"), ("f", "article9 red"), ("g", "red blue red")], "chunk_id string, text string")
+    c = anchor_index(spark, [tuple(r) for r in c.collect()])
     got = {(r.target_id, r.chunk_id): r.rule for r in E.scan(t, c).collect()}
     assert got == {(1, "a"): "full_token_sequence", (1, "b"): "twelve_token_window", (1, "c"): "mechanical_initialism", (1, "d"): "partial_token_collision", (2, "f"): "full_token_sequence", (3, "f"): "partial_token_collision", (3, "g"): "twelve_token_window"}
 
