@@ -3,28 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.stage import shared_dir
+from quarry.sources.tables import read, texts
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, the warehouse, which executors share too;
-    a temporary folder only in local mode, where driver and executors are one process."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if spark.sparkContext.master.startswith("local"):
-            where = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        else:
-            where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quarry-work"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return texts(spark, sf_dir, name) if name == "documents" else read(spark, sf_dir, name)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
