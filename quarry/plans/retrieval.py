@@ -122,8 +122,10 @@ QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, threshold_fallback, rr
 
 # -- DuckDB ------------------------------------------------------------------------------------------------------------
 
-_LEX = f"""
-qt AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN '“' || w[1] || ' ' || w[2] || '” ' || text || ' "' || array_to_string(w[8:10], ' ') || '"' ELSE text END AS text FROM (SELECT item_id, text, regexp_split_to_array(text, '\\s+') AS w FROM benchmark)
+def lexical_sql(queries: str) -> str:
+    """CTEs up to lex (query_id, chunk_id, score, matched_terms, rank), from chunks and SQL that gives query_id and text."""
+    return f"""
+qt AS ({queries}
 ), q0 AS (SELECT query_id, {content_sql('text')} AS c, list_filter(list_transform(regexp_extract_all(text, '["“”]([^"“”]+)["“”]', 1), lambda p: array_to_string({tokens_sql('p')}, ' ')), lambda p: p <> '') AS said FROM qt
 ), q AS (SELECT query_id, {ordered_distinct('c')} AS terms, list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1])) AS bigrams, list_distinct(said) AS quoted FROM q0
 ), ct AS (SELECT chunk_id, doc_id, chunk_no, {tokens_sql('text')} AS t FROM chunks
@@ -140,6 +142,9 @@ qt AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN '“' || w[1]
 ), lex AS (
   SELECT query_id, chunk_id, score, matched_terms, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no, chunk_id) AS INT) AS rank FROM lexs WHERE score > 0 QUALIFY rank <= 20
 )"""
+
+
+_LEX = lexical_sql("SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN '“' || w[1] || ' ' || w[2] || '” ' || text || ' \"' || array_to_string(w[8:10], ' ') || '\"' ELSE text END AS text FROM (SELECT item_id, text, regexp_split_to_array(text, '\\s+') AS w FROM benchmark)")
 _DENSE = f"""
 gaps AS (
   SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 9) AS distance

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, evidence, imports, ledger, metrics, quality, retrieval, serving
+from quarry.plans import corpus, evidence, facets, imports, ledger, metrics, quality, retrieval, serving
 
-MODULES = (ledger, corpus, retrieval, metrics, evidence, quality, serving, imports)
+MODULES = (ledger, corpus, retrieval, metrics, evidence, quality, serving, imports, facets)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -9,6 +9,7 @@ from quarry.functions import text as X
 from quarry.functions.unicode import folded, nfkd, osa, sequence_ratio
 from quarry.operators import corpus as C
 from quarry.operators import evidence as E
+from quarry.operators import facets as A
 from quarry.operators import ledger as L
 from quarry.operators import metrics as M
 from quarry.operators import quality as Q
@@ -207,11 +208,145 @@ def test_edit_measures(spark):
 
 
 def test_help_and_targets(spark):
-    m = S.help_matcher(("what can you do",))
-    said = spark.createDataFrame([("what can yuo do",), ("whatcan you do",), ("waht cna you do",), ("when can you do",), ("what did they do",)], "x string")
-    assert [r[0] for r in said.select(m("x")).collect()] == [True, True, True, False, False]
+    m = S.help_matcher()
+    said = [("what can yuo do", True), ("whatcan you do?", True), ("waht cna you do", True), ("when can you do", False), ("what did they do", False), ("what is our purpose", False), ("what is yuor purpose", True), ("how do i sue archivist", False), ("what can\nyou do", False), (None, False), ("What’s Archivist", True), ("how does this wrok", True)]
+    got = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(said)], "i int, x string").select("i", m("x", F.lit(True)).alias("h")).collect()
+    assert [r.h for r in sorted(got)] == [w for _, w in said]
+    assert not S.is_help("how does this work", False)
     got = spark.createDataFrame([('Did “the Act” shape the U.N. and Mary Smith in the long-term?',)], "q string").select(S.trusted_targets("q")).first()[0]
-    assert [t["text"] for t in got] == ["the Act", "U.N.", "Mary Smith"]
+    assert [t["text"] for t in got] == ["the Act", "Mary Smith"] and [t["role"] for t in got] == ["subject", "facet"]
+    kinds = lambda q: [(t["text"], t["role"]) for t in S.targets_of(q)]
+    assert kinds("What is the relation between Mary Smith and John Doe?") == [("Mary Smith", "subject"), ("John Doe", "facet")]
+    assert kinds("Who Was Mary of Guise, and what about Article 9 or the 3rd Army?") == [("Mary of Guise", "subject"), ("Article 9", "subject"), ("3rd Army", "subject")]
+    assert kinds("did a well-known plan fail? his A-12 plan") == [("A-12", "subject")] and kinds("is it so?") == []
+    # the longest from the left wins, and the same name counts once
+    assert kinds("Virginia Company of London or 'Virginia Company of London'") == [("Virginia Company of London", "subject")]
+
+
+def test_route_traits(spark):
+    said = {
+        "Trace the development of the court": "broad_synthesis", "How did it change over time?": "broad_synthesis", "Who was it, and why did he go? And then?": "multi_part,premise_sensitive",
+        "What is the relationship between land and law?": "relationship", "What is the relationship between land and law in the colony?": "broad_synthesis,relationship",
+        "Does the book mention Mary Smith?": "absence_sensitive", "How does the book treat land?": "broad_synthesis", "Why did they leave?": "premise_sensitive",
+        "How did rain relate to grain": "relationship", "What are the main causes?": "multi_part", "causes and stages": "multi_part", "How did it cause of course": "", "How did it cause war": "premise_sensitive",
+        "How does the book explain the causes of war in Rome versus Athens?": "multi_part", "Who was she?": "",
+    }
+    q = spark.createDataFrame(list(said.items()), "q string, want string").withColumn("t", F.size(S.trusted_targets("q")) > 0)
+    got = {r.q: r.traits for r in q.select("q", F.array_join(S.route_traits(F.col("q"), F.col("t")), ",").alias("traits")).collect()}
+    assert got == said
+
+
+def loop_gate(rows, rates, at_once):
+    """Each decision from the list of admitted requests before, without any queue."""
+    out, held = {}, []
+    for i, client, category, at, seconds in sorted(rows, key=lambda r: (r[3], r[0])):
+        near = [h for h in held if h[3] > at - 60]
+        busy = [h for h in held if h[3] + h[4] > at]
+        counts = [
+            ("category_rate_limit", rates[0], sum(h[1] == client and h[2] == category for h in near)), ("client_rate_limit", rates[1], sum(h[1] == client for h in near)), ("global_rate_limit", rates[2], len(near)),
+            ("category_concurrency_limit", at_once[0], sum(h[2] == category for h in busy)), ("client_concurrency_limit", at_once[1], sum(h[1] == client for h in busy)), ("global_concurrency_limit", at_once[2], len(busy)),
+        ]
+        out[i] = next((n for n, limit, k in counts if limit is not None and k >= limit), "admitted")
+        if out[i] == "admitted":
+            held.append((i, client, category, at, seconds))
+    return out
+
+
+def test_gate_against_loop(spark):
+    rnd = random.Random(8)
+    for rates, at_once in (((2, 4, 9), (3, 2, 5)), ((None, 3, None), (None, None, 2))):
+        rows = [(i, rnd.choice("abc"), rnd.choice("xy"), float(rnd.randint(0, 300)), float(rnd.randint(0, 40))) for i in range(200)]
+        df = spark.createDataFrame([(1, *r) for r in rows], "instance int, id long, client string, category string, at double, seconds double")
+        got = {r.id: r.decision for r in S.rate_gate(df, rates, at_once).collect()}
+        assert got == loop_gate(rows, rates, at_once)
+        assert len(set(got.values())) >= 3
+
+
+def test_budget_admission_against_loop(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice("ab"), i // 2, None if rnd.random() < 0.1 else rnd.randint(0, 40)) for i in range(120)]
+    got = {r.id: (r.admitted, r.spent) for r in S.admit_within(spark.createDataFrame([(i, k, t, None if c is None else float(c)) for i, k, t, c in rows], "id long, key string, at long, cost double"), 300).collect()}
+    spent: dict = {}
+    for i, k, _, c in rows:
+        ok = c is not None and spent.get(k, 0) + c <= 300
+        spent[k] = spent.get(k, 0) + (c if ok else 0)
+        assert got[i] == (ok, spent[k])
+
+
+def loop_allocate(lanes, limit, prefer_new):
+    """Choices one after the other, each from scratch. lanes: facet -> candidates (chunk, document, score) in order."""
+    order, shared = [], {}
+    for f, cs in lanes.items():
+        if cs[0][0] in order:
+            shared.setdefault(f, []).append(cs[0][0])
+            continue
+        free = [c for c in cs if c[0] not in order]
+        if len(order) < limit and free:
+            docs = {d for g in lanes.values() for c, d, _ in g if c in order}
+            new = [c for c in free if c[1] not in docs and (free[0][2] <= 0 or c[2] >= 0.75 * free[0][2])] if prefer_new else []
+            pick = (new or free)[0][0]
+            order.append(pick)
+            shared.setdefault(f, []).append(pick)
+    place = dict.fromkeys(lanes, 0)
+    while len(order) < limit and any(place[f] < len(cs) for f, cs in lanes.items()):
+        for f, cs in lanes.items():
+            while place[f] < len(cs) and len(order) < limit:
+                c = cs[place[f]][0]
+                place[f] += 1
+                if c not in shared.setdefault(f, []):
+                    shared[f].append(c)
+                if c not in order:
+                    order.append(c)
+                    break
+    return {(f, c): order.index(c) + 1 for f, cs in shared.items() for c in cs}
+
+
+def test_allocation_against_loop(spark):
+    rnd, rows, want = random.Random(11), [], {False: {}, True: {}}
+    for q in range(60):
+        lanes = {}
+        for k in range(rnd.randint(1, 4)):
+            ids = rnd.sample(range(12), rnd.randint(1, 6))
+            score = sorted((rnd.choice([0.0, 1.0, 2.0, 2.5, 3.0]) for _ in ids), reverse=True)
+            lanes[f"F{k}"] = [(f"c{i:02}", f"d{i % 4}", s) for i, s in zip(ids, score)]
+            rows += [(q, f"F{k}", k + 1, f"c{i:02}", f"d{i % 4}", s, r) for r, (i, s) in enumerate(zip(ids, score), 1)]
+        for new in want:
+            want[new].update({(q, *k): n for k, n in loop_allocate(lanes, 6, new).items()})
+    df = spark.createDataFrame(rows, "query_id long, facet_id string, lane int, chunk_id string, document string, score double, rank int")
+    for new in want:
+        got = {(r.query_id, r.facet_id, r.chunk_id): r.source_number for r in A.allocate(df, 6, new).collect()}
+        assert got == want[new]
+    one_left = A.remapped(A.allocate(df, 6), df.filter("chunk_id > 'c03'"))
+    for q, part in {r.query_id: [x for x in one_left.collect() if x.query_id == r.query_id] for r in one_left.select("query_id").distinct().limit(5).collect()}.items():
+        assert sorted({r.source_number for r in part}) == list(range(1, len({r.chunk_id for r in part}) + 1))
+
+
+def test_role_profiles_against_loop(spark):
+    rnd = random.Random(13)
+    pool = ["Council", "council", "NATO", "Mary", "smith", "1607", "1984", "counsel", "river", "The", "A1", "land", "Éclair", "x"]
+    docs = [(f"d{i % 5}", rnd.choice(pool), " ".join(rnd.choice(pool) for _ in range(rnd.randint(0, 60)))) for i in range(25)]
+    got = {r.document: r.terms for r in A.role_profiles(spark.createDataFrame(docs, "document string, title string, text string"), ("the",), ("council",)).collect()}
+    fold = lambda w: "eclair" if w == "Éclair" else w.lower()
+    ok = lambda w: len(w) >= 2 and fold(w) != "the"
+    n: dict = {d: {} for d, _, _ in docs}
+    named, acronym, titles = ({d: {} for d in n} for _ in range(3))
+    for d, title, text in docs:
+        titles[d] |= {fold(title): 1} if ok(title) else {}
+        for w in filter(ok, text.split()):
+            for table, yes in ((n, True), (named, w[0].isupper()), (acronym, w.isupper() and not w.isdigit() or w.isdigit())):
+                if yes:
+                    table[d][fold(w)] = table[d].get(fold(w), 0) + 1
+    for d in n:
+        year = lambda w: w in ("1607", "1984")
+        df = {w: sum(w in n[x] for x in n) for w in n[d]}
+        score = {w: round((1 + math.log(k)) * (math.log(6 / (df[w] + 1)) + 1) + (1.5 if w in titles[d] else 0), 9) for w, k in n[d].items() if not year(w)}
+        rank = lambda ws, by: sorted(ws, key=lambda w: (-score.get(w, 1.5 if w in titles[d] and not year(w) else 0.0), -by.get(w, 0), w))  # noqa: B023, E731
+        periods = sorted((w for w in n[d] if year(w)), key=lambda w: (-n[d][w], w))[:4]
+        out: list = []
+        lists = ((rank([w for w in titles[d] if not year(w)], n[d]), 4), (rank(acronym[d], acronym[d]), 6), (rank(named[d], named[d]), 18), (rank([w for w in score if w == "council"], n[d]), 16), (rank(score, n[d]), 48), (periods, 4))
+        for ws, limit in lists:
+            out += [w for w in ws if w not in out][:limit]
+        assert got[d] == out, d
 
 
 def test_apportion_against_loop(spark):

@@ -44,5 +44,5 @@ def test_rate_gate_agrees_with_batch(spark, tmp_path):
     path = str(tmp_path / "in")
     rows.coalesce(1).write.parquet(path)
     got = {r.id: r.admitted for r in run(S.rate_gate(spark.readStream.schema(rows.schema).parquet(path), 5), "gate").collect()}
-    want = {r.id: r.decision == "admitted" for r in batch_gate(rows.withColumn("category", F.lit("c")), 1 << 30, 5).collect()}
+    want = {r.id: r.decision == "admitted" for r in batch_gate(rows.withColumns({"category": F.lit("c"), "instance": F.lit(1), "seconds": F.lit(0.0)}), (None, 5, None), (None, None, None)).collect()}
     assert got == want and not all(got.values())
