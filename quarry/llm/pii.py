@@ -306,7 +306,8 @@ def _borders(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gradient(w: np.ndarray, moves: np.ndarray, local: np.ndarray, tags: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log likelihood of padded sentences and its gradient. local: sentences x tokens x features, rows of w; real: 1 or 0."""
     (b, t, per), n = local.shape, w.shape[1]
-    s = w[local].sum(2)
+    here, s = real > 0, np.zeros((b, t, n))
+    s[here] = w[local[here]].sum(1)
     alpha, beta = np.zeros((b, t, n)), np.zeros((b, t, n))
     alpha[:, 0] = s[:, 0] + moves[n]
     for k in range(1, t):
@@ -332,8 +333,8 @@ def gradient(w: np.ndarray, moves: np.ndarray, local: np.ndarray, tags: np.ndarr
     for k in range(1, t):
         x = np.exp(alpha[:, k - 1, :, None] + moves[None, :n] + (s[:, k] + beta[:, k])[:, None, :] - z[:, None, None])
         dm[:n] -= (x * real[:, k, None, None]).sum(0)
-    each, flat = np.repeat((gold - p)[real > 0], per, axis=0), local[real > 0].ravel()
-    dw = np.stack([np.bincount(flat, each[:, j], len(w)) for j in range(n)], 1)
+    each, flat = (gold - p)[here], local[here].ravel()
+    dw = np.stack([np.bincount(flat, np.repeat(each[:, j], per), len(w)) for j in range(n)], 1)
     return float(reached - z.sum()), dw, dm
 
 
