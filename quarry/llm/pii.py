@@ -196,7 +196,7 @@ class Field:
 
     def fit(self, sentences: list[tuple[list[str], list[int]]], *, rounds: int = 50, rate: float = 0.3, ridge: float = 1e-3, least: int = 8) -> None:
         """Full-batch AdaGrad on the conditional log likelihood, by forward and backward sums."""
-        sentences = [s for s in sentences if s[0]]
+        sentences = sorted((s for s in sentences if s[0]), key=lambda s: -len(s[0]))
         if not sentences:
             return
         n, b, t = len(TAGS), len(sentences), max(len(w) for w, _ in sentences)
@@ -304,22 +304,24 @@ def _borders(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gradient(w: np.ndarray, moves: np.ndarray, local: np.ndarray, tags: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood of padded sentences and its gradient. local: sentences x tokens x features, rows of w; real: 1 or 0."""
+    """Log likelihood of padded sentences, longest first, and its gradient. local: sentences x tokens x features, rows of w; real: 1 or 0."""
     (b, t, per), n = local.shape, w.shape[1]
     here, s = real > 0, np.zeros((b, t, n))
     s[here] = w[local[here]].sum(1)
     alpha, beta = np.zeros((b, t, n)), np.zeros((b, t, n))
+    longer = here.sum(0)  # how many sentences have a token at each place
     alpha[:, 0] = s[:, 0] + moves[n]
     for k in range(1, t):
-        x = alpha[:, k - 1, :, None] + moves[None, :n]
+        m = longer[k]
+        x = alpha[:m, k - 1, :, None] + moves[None, :n]
         top = x.max(1)
-        new = s[:, k] + top + np.log(np.exp(x - top[:, None]).sum(1))
-        alpha[:, k] = np.where(real[:, k, None] > 0, new, alpha[:, k - 1])
+        alpha[:m, k] = s[:m, k] + top + np.log(np.exp(x - top[:, None]).sum(1))
+        alpha[m:, k] = alpha[m:, k - 1]
     for k in range(t - 2, -1, -1):
-        x = moves[None, :n] + (s[:, k + 1] + beta[:, k + 1])[:, None, :]
+        m = longer[k + 1]
+        x = moves[None, :n] + (s[:m, k + 1] + beta[:m, k + 1])[:, None, :]
         top = x.max(2)
-        new = top + np.log(np.exp(x - top[..., None]).sum(2))
-        beta[:, k] = np.where(real[:, k + 1, None] > 0, new, 0)
+        beta[:m, k] = top + np.log(np.exp(x - top[..., None]).sum(2))
     top = alpha[:, -1].max(1)
     z = top + np.log(np.exp(alpha[:, -1] - top[:, None]).sum(1))
     p = np.exp(alpha + beta - z[:, None, None]) * real[..., None]
@@ -331,8 +333,8 @@ def gradient(w: np.ndarray, moves: np.ndarray, local: np.ndarray, tags: np.ndarr
     reached = (moves * dm).sum() + (s * gold).sum()
     dm[n] -= p[:, 0].sum(0)
     for k in range(1, t):
-        x = np.exp(alpha[:, k - 1, :, None] + moves[None, :n] + (s[:, k] + beta[:, k])[:, None, :] - z[:, None, None])
-        dm[:n] -= (x * real[:, k, None, None]).sum(0)
+        m = longer[k]
+        dm[:n] -= np.exp(alpha[:m, k - 1, :, None] + moves[None, :n] + (s[:m, k] + beta[:m, k])[:, None, :] - z[:m, None, None]).sum(0)
     each, flat = (gold - p)[here], local[here].ravel()
     dw = np.stack([np.bincount(flat, np.repeat(each[:, j], per), len(w)) for j in range(n)], 1)
     return float(reached - z.sum()), dw, dm
