@@ -5,7 +5,8 @@ of neighbouring windows with one anchor are a fragment, at most 40 windows; equa
 fragments of one anchor need to be compared, and only where two documents have the anchor:
 
 1. anchors meet in buckets by hash; those of one document only are discarded;
-2. the bytes of the other fragments meet in buckets by anchor. Equal fragments are one text, of the smallest document;
+2. the bytes of the other fragments meet in buckets by anchor. Equal fragments are one text, of the smallest document:
+   within a batch already before they travel, so that a passage of many documents is sent once for hundreds of them;
    the suffixes of the texts of an anchor are sorted by column-wise construction of their collection transform
    (quarry.llm.suffixes); windows are suffixes of at least `size` bytes, equal ones are neighbours whose common prefix
    is at least `size`; the smallest document of a run of neighbours owns the window, all others lose it;
@@ -15,7 +16,7 @@ Pieces of many documents (at least a 25th of a fixed sample of 500) are chosen a
 other, so that the surroundings of a passage that many documents share do not all have the same anchor; the sample decides on the choice of
 anchors only, never on results. In each task only the first of equal texts is read; the later are lost as a whole.
 
-Defined results: null texts and texts below `size` bytes lose nothing; strings are judged on the input; rows with
+Defined results: texts of any length are whole; equal strings of one document are no repeats of each other; null texts and texts below `size` bytes lose nothing; strings are judged on the input; rows with
 null doc_id are not compared and lose nothing; rows that repeat a doc_id are one document, which loses nothing to itself;
 an empty table gives an empty result; further columns are ignored.
 """
@@ -127,8 +128,9 @@ ANCHORS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
 PLACES = (np.uint32, np.uint32, np.uint8)
 # start, end
 LOST = (np.uint32, np.uint32)
-# as ANCHORS, and the bytes of all fragments
-TEXTS = (*ANCHORS, np.uint8)
+# doc_id and text key of the documents of a blob; text, document and start of its fragments; anchor and windows of its
+# texts (equal fragments are one), and their bytes
+TEXTS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,16 +193,29 @@ def _anchors(size: int, buckets: int, shared):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray] | None:
-    """Blobs of ANCHORS or TEXTS as columns: document ids and keys of each fragment, then the fragment's columns."""
-    parts = [_unpack(b, kinds) for batch in batches for b in batch.column("blob").to_pylist()]
+def _gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    """Blobs of ANCHORS as columns: document ids and keys of each fragment, then the fragment's columns."""
+    parts = [_unpack(b, ANCHORS) for batch in batches for b in batch.column("blob").to_pylist()]
     if not parts:
         return None
     docs = [[p[0][p[3]] for p in parts], [p[1][p[3]] for p in parts]]
-    rest = [[p[i] for p in parts] for i in (2, *range(4, len(kinds)))]
+    rest = [[p[i] for p in parts] for i in (2, 4, 5)]
     return [np.concatenate(x) for x in (*docs, *rest)]
 
 
+def _gathered_texts(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    """Blobs of TEXTS as columns: document ids, keys, text and start of each fragment; anchor, windows and bytes of the texts."""
+    parts = [_unpack(b, TEXTS) for batch in batches for b in batch.column("blob").to_pylist()]
+    if not parts:
+        return None
+    before = np.cumsum([0, *(len(p[5]) for p in parts[:-1])])
+    columns = [
+        [p[0][p[3]] for p in parts], [p[1][p[3]] for p in parts], [p[2].astype(np.int64) + n for p, n in zip(parts, before.tolist(), strict=True)],
+        *([p[i] for p in parts] for i in (4, 5, 6, 7)),
+    ]
+    return [np.concatenate(x) for x in columns]
+
+
 def _by_document(ids: np.ndarray, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """(doc_id, key, blob of columns) for each document."""
     order = np.lexsort((keys, ids))
@@ -252,7 +267,7 @@ def _shared(homes: int):
                 d, k, _ = _unpack(blob, (np.int64,) * 3)
                 yield _kind(_homes(d, k, [np.zeros(len(d), np.uint8)], homes), 1)
             parts.append(batch.filter(pa.array(~whole)))
-        if (all_of := _gathered(iter(parts), ANCHORS)) is None:
+        if (all_of := _gathered(iter(parts))) is None:
             return
         ids, keys, anchor, start, runs = all_of
         order = np.argsort(anchor, kind="stable")
@@ -279,29 +294,36 @@ def _texts(size: int, buckets: int):
             anchor, start, runs = (np.concatenate([f[k] for f, _ in found]) for k in range(3))
             owner = np.repeat(np.array([i for _, i in found]), [len(f[0]) for f, _ in found])
             ids, keys, out = np.array(ids, np.int64), np.array(keys, np.int64), []
+            raw, begins = data.tobytes(), (begin[owner] + start).tolist()
+            lengths = (runs.astype(np.int64) + size - 1).tolist()
             for b, part in _by_bucket(_bucket(anchor, buckets)):
                 some, local = np.unique(owner[part], return_inverse=True)
-                sizes = runs[part].astype(np.int64) + size - 1
-                at = np.repeat(begin[owner[part]] + start[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                out.append((b, _pack([ids[some], keys[some], anchor[part], local.astype(np.uint32), start[part], runs[part], data[at]])))
+                # equal fragments travel as one text
+                number: dict[tuple[int, bytes], int] = {}
+                text = [number.setdefault((a, raw[begins[i]:begins[i] + lengths[i]]), len(number)) for i, a in zip(part.tolist(), anchor[part].tolist(), strict=True)]
+                anchors, wins = np.array([a for a, _ in number], np.uint32), np.array([len(x) - size + 1 for _, x in number], np.uint8)
+                blob = [ids[some], keys[some], np.array(text, np.uint32), local.astype(np.uint32), start[part], anchors, wins, np.frombuffer(b"".join(x for _, x in number), np.uint8)]
+                out.append((b, _pack(blob)))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def owners(ids: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarray, size: int, block: int = 1 << 18) -> np.ndarray:
-    """For each window of each fragment, in order, the smallest document that has it."""
+def owners(ids: np.ndarray, text_of: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarray, size: int, block: int = 1 << 18) -> np.ndarray:
+    """For each window of each fragment, in order, the smallest document that has it. ids, text_of: document and text of
+    each fragment; anchor, runs, data: of each text."""
     sizes = runs.astype(np.int64) + size - 1
     starts = np.cumsum(sizes) - sizes
     raw = data.tobytes()
     bodies = [raw[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
-    # equal fragments become one text, of the smallest document
+    # texts that several tasks had become one, of the smallest document
     number: dict[tuple, int] = {}
-    text = np.array([number.setdefault(k, len(number)) for k in zip(anchor.tolist(), bodies, strict=True)], np.int64)
+    same = np.array([number.setdefault(k, len(number)) for k in zip(anchor.tolist(), bodies, strict=True)], np.int64)
+    text = same[text_of]
     least = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(least, text, ids)
     first = np.zeros(len(number), np.int64)
-    first[text[::-1]] = np.arange(len(text))[::-1]
+    first[same[::-1]] = np.arange(len(same))[::-1]
     wins = runs[first].astype(np.int64)
     base = np.cumsum(wins) - wins
     own = np.repeat(least, wins)
@@ -322,7 +344,7 @@ def owners(ids: np.ndarray, anchor: np.ndarray, runs: np.ndarray, data: np.ndarr
     if held:
         _resolve(np.concatenate(held), data, starts[first], sizes[first], base, own, least, size, used)
     del number, bodies, raw
-    total = runs.astype(np.int64)
+    total = runs.astype(np.int64)[text_of]
     return own[np.repeat((base[text] - (np.cumsum(total) - total)).astype(np.int32), total) + np.arange(total.sum(), dtype=np.int32)]
 
 
@@ -341,13 +363,13 @@ def _resolve(texts: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.
 def _lost(size: int, homes: int):
     """Blobs of TEXTS to blobs by home of LOST: runs of windows owned by a smaller document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (all_of := _gathered(batches, TEXTS)) is None:
+        if (all_of := _gathered_texts(batches)) is None:
             return
-        ids, keys, anchor, start, runs, data = all_of
+        ids, keys, text_of, start, anchor, runs, data = all_of
         if not len(ids):
             return
-        own = owners(ids, anchor, runs, data, size)
-        total = runs.astype(np.int64)
+        own = owners(ids, text_of, anchor, runs, data, size)
+        total = runs.astype(np.int64)[text_of]
         fragment = np.repeat(np.arange(len(ids), dtype=np.int32), total)
         inside = np.arange(total.sum(), dtype=np.int32) - np.repeat((np.cumsum(total) - total).astype(np.int32), total)
         gone = own < ids[fragment]
