@@ -211,7 +211,7 @@ class Merges:
         token, gain = found
         base = more[0][0] if more else len(tail)
         to = (tail[base:], (*[(at - base, last, so_far - gain) for at, last, so_far in more], (len(tail) - base, token, 0)))
-        full = len(self.steps) >= self.room // 4
+        full = len(self.steps) >= self.room // 2
         if full:
             self._forget()
         if (number := self.numbers.get(to)) is None:
@@ -306,11 +306,11 @@ class Counter:
         starts = boundaries(classes)
         at = np.searchsorted(starts, ends)  # END begins a piece of its own
         places = starts.tolist()
-        pieces = list(map(whole.__getitem__, map(slice, places, [*places[1:], len(whole)])))
-        gained, count = list(map(self.merges.counts.get, pieces)), self.merges.count
-        for k, n in enumerate(gained):
-            if n is None:
-                gained[k] = count(pieces[k])
+        known, count = self.merges.counts.get, self.merges.count
+        gained = [known(whole[a:b]) for a, b in zip(places, places[1:], strict=False)]
+        if None in gained:
+            gained = [count(whole[a:b]) if n is None else n for n, a, b in zip(gained, places, places[1:], strict=False)]
+        gained.append(0)  # the last END
         # boundaries annotated with the tokens of their pieces: by a prefix sum each text's are a difference
         gained = np.array(gained, np.int64)
         gained[at] = 0
