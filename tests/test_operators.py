@@ -362,6 +362,25 @@ def test_apportion_against_loop(spark):
     assert {(r.query_id, r.source): r.scopes for r in S.apportion(spark.createDataFrame(rows, "query_id long, source int, length int"), 10).collect()} == want
 
 
+def test_near_questions_against_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab cde") for _ in range(rnd.randint(10, 60))) for _ in range(25)] + ["one two three four five six seven", "xenotwothreefourfivesixseven nine"]
+    edit = lambda t: "".join(c for c in t.replace("a", rnd.choice("ax")) if rnd.random() > 0.06)
+    others = [edit(t) for t in texts] + [t.replace(" ", "") for t in texts]
+    norm = lambda t: " ".join(t.split()).lower()
+    want = set()
+    for i, a in enumerate(map(norm, texts)):
+        for j, b in enumerate(map(norm, others)):
+            x, y = set(a.split()), set(b.split())
+            tokens = len(x & y) >= 5 and round(len(x & y) / len(x | y), 9) >= 0.72
+            chars = min(len(a), len(b)) >= 24 and round(SequenceMatcher(None, a, b, autojunk=False).ratio(), 9) >= 0.86
+            want |= {(i, j, tokens, chars)} if tokens or chars else set()
+    side = lambda rows, k: spark.createDataFrame(list(enumerate(rows)), f"{k} long, text string")
+    assert {(r.a, r.b, r.by_tokens, r.by_ratio) for r in Q.near_questions(side(texts, "a"), side(others, "b")).collect()} == want and len(want) > 15
+
+
 def test_shared_runs(spark):
     a = spark.createDataFrame([(1, list("abcdefgh"))], "a long, t array<string>")
     b = spark.createDataFrame([(7, list("xxcdefyyabc")), (8, list("zz"))], "b long, t array<string>")
