@@ -64,16 +64,24 @@ def near_match_reviews(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("fault", fault).filter("fault is not null").select("a", "b", "fault")
 
 
-def gold_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Rules over gold rows made from the items, with faults planted by number."""
+def _gold_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Gold rows made from the items, with faults planted by number: places are chunks of the document of the item's number."""
     k = F.col("item_id")
-    g = read(spark, d, "benchmark").select(
-        "item_id", F.when(k % 13 == 5, F.lit(" ")).otherwise(F.col("text")).alias("question"), F.when(k % 6 == 4, "out_of_corpus").otherwise("conceptual").alias("stratum"),
-        F.when(k % 7 == 3, "maybe").when(k % 6 == 4, "abstain").otherwise("answer").alias("expected"), (k % 4).alias("relevant"), (k % 5).alias("claims"))
-    return Q.broken_rules(g, "item_id", {
-        "question_blank": F.trim("question") == "", "expected_unknown": ~F.col("expected").isin("answer", "abstain"), "answer_without_location": (F.col("expected") == "answer") & (F.col("relevant") == 0),
-        "answer_without_claim": (F.col("expected") == "answer") & (F.col("claims") == 0), "abstain_with_location": (F.col("expected") == "abstain") & (F.col("relevant") > 0), "stratum_mismatch": (F.col("stratum") == "out_of_corpus") & (F.col("expected") == "answer"),
-    })
+    at = lambda n: F.format_string("%d_%03d", k, F.lit(n))
+    none = F.array().cast("array<string>")
+    places = F.when(k % 6 == 4, F.when(k % 5 == 4, F.array(at(1))).otherwise(none)).when(k % 8 == 3, none).when(k % 9 == 2, F.array(at(1), at(1))).when(k % 10 == 1, F.array(at(1), F.lit("no_such"))).when(k % 14 == 6, F.array(F.lit(" "))).otherwise(F.array(at(1)))
+    needed = F.when(k % 11 == 5, F.array(at(1), at(2))).when(k % 6 == 4, none).otherwise(F.slice(places, 1, 1))
+    claims = F.when(k % 6 == 4, F.when(k % 7 == 1, F.array(F.lit("x"))).otherwise(none)).when(k % 5 == 0, none).when(k % 7 == 2, F.array(F.lit("x"), F.lit("X "))).when(k % 13 == 3, F.array(F.lit(""))).otherwise(F.array(F.lit("x")))
+    return read(spark, d, "benchmark").select(
+        F.when(k % 19 == 18, k - 1).otherwise(k).alias("item_id"), k.alias("row"), F.when(k % 13 == 5, F.lit(" ")).when(k % 17 == 7, F.lit("Who was it?")).otherwise(F.col("text")).alias("question"),
+        F.when(k % 23 == 9, "other").when(k % 6 == 4, "out_of_corpus").when(k % 12 == 8, "out_of_corpus").otherwise("conceptual").alias("stratum"),
+        F.when(k % 7 == 3, "maybe").when(k % 6 == 4, "abstain").otherwise("answer").alias("expected"), places.alias("relevant"), needed.alias("supporting"), claims.alias("claims"), (k % 4 != 1).alias("essential"))
+
+
+def gold_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule that a gold row breaks; skipped chunks are those of documents whose number leaves 7 by 20."""
+    manifest = chunk_table(spark, d).select("chunk_id", (F.col("doc_id") % 20 == 7).alias("skipped"))
+    return Q.gold_faults(_gold_rows(spark, d), manifest, STRATA)
 
 
 def stratum_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -140,6 +148,7 @@ def role_terms(spark: SparkSession, d: str) -> DataFrame:
     return Q.role_terms(docs, 10)
 
 
+STRATA = ("focused_biographical", "focused_analytical", "conceptual", "broad_thematic", "out_of_corpus", "adversarial_premise")
 QUERIES = {f.__name__: f for f in (
     contamination_ngrams, verbatim_overlap, exact_question_overlap, near_questions, near_questions_ratio, near_match_reviews, gold_validation, stratum_counts, carryover, store_verification, page_alignment, page_of_offset, role_terms)}
 
@@ -163,7 +172,21 @@ SQL = {
     "exact_question_overlap": f"WITH q AS (SELECT item_id, {_NORM.format('text')} AS h FROM benchmark), t AS (SELECT conv_id, turn, {_NORM.format('text')} AS h FROM conversations UNION ALL SELECT item_id, -1, {_NORM.format('text')} FROM benchmark WHERE item_id % 9 = 0) SELECT item_id, conv_id, turn FROM q JOIN t ON q.h = t.h",
     "near_questions": f"WITH {_NEAR} SELECT a, b, shared, jaccard FROM near",
     "near_match_reviews": f"WITH {_NEAR}, r AS (SELECT a, b FROM near WHERE a % 5 <> 0 UNION ALL SELECT a, b FROM near WHERE a % 7 = 0 UNION ALL SELECT a, b + 1000 FROM near WHERE a % 11 = 0), n AS (SELECT a, b, count(*) AS n FROM r GROUP BY a, b), j AS (SELECT coalesce(x.a, n.a) AS a, coalesce(x.b, n.b) AS b, CASE WHEN n.n IS NULL THEN 'missing_review' WHEN x.a IS NULL THEN 'unknown_pair' WHEN n.n > 1 THEN 'reviewed_twice' END AS fault FROM near x FULL JOIN n ON n.a = x.a AND n.b = x.b) SELECT * FROM j WHERE fault IS NOT NULL",
-    "gold_validation": "WITH g AS (SELECT item_id AS k, item_id % 13 = 5 AS blank, CASE WHEN item_id % 7 = 3 THEN 'maybe' WHEN item_id % 6 = 4 THEN 'abstain' ELSE 'answer' END AS e, item_id % 4 AS r, item_id % 5 AS c, item_id % 6 = 4 AS ooc FROM benchmark) SELECT k AS item_id, 'question_blank' AS rule FROM g WHERE blank UNION ALL SELECT k, 'expected_unknown' FROM g WHERE e = 'maybe' UNION ALL SELECT k, 'answer_without_location' FROM g WHERE e = 'answer' AND r = 0 UNION ALL SELECT k, 'answer_without_claim' FROM g WHERE e = 'answer' AND c = 0 UNION ALL SELECT k, 'abstain_with_location' FROM g WHERE e = 'abstain' AND r > 0 UNION ALL SELECT k, 'stratum_mismatch' FROM g WHERE ooc AND e = 'answer'",
+    "gold_validation": f"""WITH RECURSIVE {CHUNKS_SQL}, b AS (SELECT item_id AS k, format('{{:d}}_001', item_id) AS c1, format('{{:d}}_002', item_id) AS c2, text FROM benchmark
+), g0 AS (SELECT k AS row, CASE WHEN k % 19 = 18 THEN k - 1 ELSE k END AS item_id, CASE WHEN k % 13 = 5 THEN ' ' WHEN k % 17 = 7 THEN 'Who was it?' ELSE text END AS question,
+  CASE WHEN k % 23 = 9 THEN 'other' WHEN k % 6 = 4 OR k % 12 = 8 THEN 'out_of_corpus' ELSE 'conceptual' END AS stratum, CASE WHEN k % 7 = 3 THEN 'maybe' WHEN k % 6 = 4 THEN 'abstain' ELSE 'answer' END AS e,
+  CASE WHEN k % 6 = 4 THEN CASE WHEN k % 5 = 4 THEN [c1] ELSE [] END WHEN k % 8 = 3 THEN [] WHEN k % 9 = 2 THEN [c1, c1] WHEN k % 10 = 1 THEN [c1, 'no_such'] WHEN k % 14 = 6 THEN [' '] ELSE [c1] END AS p, c1, c2,
+  CASE WHEN k % 6 = 4 THEN CASE WHEN k % 7 = 1 THEN ['x'] ELSE [] END WHEN k % 5 = 0 THEN [] WHEN k % 7 = 2 THEN ['x', 'X '] WHEN k % 13 = 3 THEN [''] ELSE ['x'] END AS cl, k % 4 <> 1 AS essential FROM b
+), g AS (SELECT *, CASE WHEN row % 11 = 5 THEN [c1, c2] WHEN row % 6 = 4 THEN [] ELSE p[1:1] END AS s FROM g0
+), u AS (SELECT DISTINCT row, unnest(list_concat(p, s)) AS c FROM g
+), st AS (SELECT u.row, bool_or(k.chunk_id IS NULL) AS unknown, bool_or(coalesce(k.doc_id % 20 = 7, false)) AS skipped FROM u LEFT JOIN chunks k ON k.chunk_id = u.c WHERE trim(u.c) <> '' GROUP BY u.row
+), f AS (SELECT g.*, coalesce(unknown, false) AS unknown, coalesce(skipped, false) AS skipped, count(*) OVER (PARTITION BY item_id) AS same_id, count(*) OVER (PARTITION BY lower(trim(regexp_replace(question, '\\s+', ' ', 'g')))) AS same_q FROM g LEFT JOIN st ON st.row = g.row)
+SELECT row, rule FROM (SELECT row, unnest([CASE WHEN trim(question) = '' THEN 'question_blank' END, CASE WHEN trim(question) <> '' AND same_q > 1 THEN 'question_duplicate' END, CASE WHEN same_id > 1 THEN 'id_duplicate' END,
+  CASE WHEN stratum NOT IN ('conceptual', 'out_of_corpus') THEN 'stratum_unknown' END, CASE WHEN e = 'maybe' THEN 'expected_unknown' END, CASE WHEN stratum = 'out_of_corpus' AND e = 'answer' THEN 'stratum_mismatch' END,
+  CASE WHEN e = 'answer' AND len(p) = 0 THEN 'answer_without_location' END, CASE WHEN e = 'abstain' AND len(p) > 0 THEN 'abstain_with_location' END, CASE WHEN list_contains(p, ' ') OR list_contains(s, ' ') THEN 'location_blank' END,
+  CASE WHEN len(list_distinct(p)) < len(p) OR len(list_distinct(s)) < len(s) THEN 'location_duplicate' END, CASE WHEN unknown THEN 'location_unknown' END, CASE WHEN skipped THEN 'location_skipped' END,
+  CASE WHEN NOT list_has_all(p, s) THEN 'supporting_not_relevant' END, CASE WHEN e = 'answer' AND len(cl) = 0 THEN 'answer_without_claim' END, CASE WHEN e = 'abstain' AND len(cl) > 0 THEN 'abstain_with_claim' END,
+  CASE WHEN list_contains(cl, '') THEN 'claim_blank' END, CASE WHEN len(list_distinct(list_transform(cl, lambda x: lower(trim(x))))) < len(cl) THEN 'claim_duplicate' END, CASE WHEN e = 'answer' AND len(cl) > 0 AND NOT essential THEN 'no_essential_claim' END]) AS rule FROM f) WHERE rule IS NOT NULL""",
     "stratum_counts": "WITH r(lang, least, most) AS (VALUES ('en', 1, 400), ('fr', 1, 10000), ('de', 1000, 2000), ('es', 0, 50), ('it', 1, 5)), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT r.lang, coalesce(n, 0) AS n, least, most FROM r LEFT JOIN n ON n.lang = r.lang WHERE coalesce(n, 0) < least OR coalesce(n, 0) > most",
     "carryover": f"WITH RECURSIVE {CHUNKS_SQL}, p AS (SELECT doc_id // 12 AS item_id, CASE WHEN doc_id % 30 = 0 THEN chunk_id || 'x' ELSE chunk_id END AS chunk_id FROM chunks WHERE doc_id % 6 = 0 AND chunk_no <= 5), s AS (SELECT p.item_id, p.chunk_id, CASE WHEN c.chunk_id IS NULL THEN 'invalid_old_location' WHEN c.chunk_no % 5 = 4 THEN 'missing' WHEN c.doc_id % 8 = 0 THEN 'newly_skipped' WHEN c.chunk_no % 3 = 0 THEN 'changed_hash' ELSE 'unchanged' END AS status FROM p LEFT JOIN chunks c ON c.chunk_id = p.chunk_id) SELECT *, bool_or(status <> 'unchanged') OVER (PARTITION BY item_id) AS quarantined FROM s",
     "store_verification": "SELECT vec_id, 'missing' AS fault FROM embeddings WHERE vec_id % 50 IN (7, 8) UNION ALL SELECT vec_id + 1000000, 'unexpected' FROM embeddings WHERE vec_id % 50 = 8 UNION ALL SELECT vec_id, 'label' FROM embeddings WHERE vec_id % 50 = 9 UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id % 50 = 10",
