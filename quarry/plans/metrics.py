@@ -180,17 +180,60 @@ def abstention_rates(spark: SparkSession, d: str) -> DataFrame:
     return M.abstention(i.select(_pick(STRATA, F.col("k")).alias("stratum"), expected.alias("expected"), _pick(("answer", "decline", "partial_decline", "premise_correction", "decline"), F.col("k")).alias("outcome")))
 
 
+def _bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers, one claim each: citations, labels, gold status, behaviour and release, by language."""
+    k = F.col("doc_id")
+    audit = citation_audit(spark, d).select("doc_id", F.col("references").alias("refs"), F.col("resolvable").alias("resolved"), "malformed", (F.col("malformed") + F.col("groups")).alias("brackets"))
+    claims = _claims(spark, d).select("doc_id", "stratum", "human", "judge", F.col("cited").cast("long").alias("cited"), "essential")
+    rows = claims.join(audit, "doc_id")
+    mapped = k % 5 != 0
+    return rows.select(
+        "*", F.when(~((k % 50 == 49) & (F.col("stratum") == "fr")), F.col("human")).alias("faithful"), F.when(mapped, F.col("cited")).otherwise(0).alias("gold_pairs"), F.when(~mapped, F.col("cited")).otherwise(0).alias("judge_pairs"),
+        F.when(mapped, F.least("cited", k % 3)).otherwise(0).alias("gold_grounded"), F.when(~mapped, F.least("cited", k % 2)).otherwise(0).alias("judge_grounded"),
+        F.col("judge").isin("supported", "partially_supported").alias("present"), (k % 29 == 0).alias("asserted"), _pick(STRATA, k).alias("kind"), F.when(k % 6 == 4, "abstain").otherwise("answer").alias("expected"),
+        F.when(~((k % 37 == 5) & (F.col("stratum") == "de")), _pick(("answer", "decline", "partial_decline", "premise_correction", "decline"), k)).alias("behaviour"), (k % 13 != 0).alias("released"), (k % 4 < 3).alias("located"))
+
+
 def public_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of claims, overall and by stratum; those that wait for a human have no value yet."""
-    n = F.count("*")
-    count = lambda c: F.count_if(c)
-    return M.metric_rows(_claims(spark, d), ["stratum"], {
-        "judge_full_support": (count(F.col("judge") == "supported"), n, None),
-        "human_full_support": (count(F.col("human") == "supported"), n, n > 100),
-        "citation_completeness": (count(F.col("cited") > 0), n, None),
-        "essential_support": (count(F.col("essential") & (F.col("judge") == "supported")), count(F.col("essential")), None),
-        "agreement": (count(F.col("human") == F.col("judge")), n, n > 100),
-        "none": (count(F.lit(False)), count(F.lit(False)), None),
+    """The sixteen published metrics, overall and by stratum. Those that wait for a label or a behaviour have no value yet."""
+    n, one, zero = F.count("*"), F.count_if, lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    labelled = F.bool_and(F.col("faithful").isNotNull())
+    outside, premise = F.col("kind") == "out_of_corpus", F.col("kind") == "adversarial_premise"
+    asked = (F.col("expected") == "answer") & ~outside
+    known = lambda of: F.bool_and(~of | F.col("behaviour").isNotNull())
+    acts = lambda of, how: one(of & (F.col("behaviour") == how))
+    return M.metric_rows(_bundles(spark, d), ["stratum"], {
+        "citation_resolvability": (zero("resolved"), zero("refs"), None),
+        "citation_completeness": (one(F.col("cited") > 0), n, None),
+        "malformed_citation_rate": (zero("malformed"), zero("brackets"), None),
+        "citation_groundedness_gold_matched": (zero("gold_grounded"), zero("gold_pairs"), None),
+        "citation_groundedness_judge_only": (zero("judge_grounded"), zero("judge_pairs"), None),
+        **{f"faithfulness_{x}": (one(F.col("faithful") == x), n, labelled) for x in M.LABELS},
+        "gold_claim_recall": (one("present"), n, None),
+        "essential_gold_claim_recall": (one(F.col("essential") & F.col("present")), one("essential"), None),
+        "must_not_claim_violation": (one("asserted"), n, None),
+        "out_of_corpus_abstention": (acts(outside, "decline"), one(outside), known(outside)),
+        "adversarial_premise_correction": (acts(premise, "premise_correction"), one(premise), known(premise)),
+        "false_abstention": (acts(asked, "decline"), one(asked), known(asked)),
+        "answer_success": (one("released"), n, None),
+    })
+
+
+def precalibration_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics that there are before anything is scored: five with values, eleven that only have a denominator."""
+    n, one, zero = F.count("*"), F.count_if, lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    later = lambda of: (of, of, F.lit(False))
+    outside, premise = F.col("kind") == "out_of_corpus", F.col("kind") == "adversarial_premise"
+    return M.metric_rows(_bundles(spark, d), ["stratum"], {
+        "citation_resolvability": (zero("resolved"), zero("refs"), None),
+        "citation_completeness": (one(F.col("cited") > 0), n, None),
+        "malformed_citation_rate": (zero("malformed"), zero("brackets"), None),
+        "cited_source_gold_location_match": (zero("gold_grounded"), zero("cited"), None),
+        "gold_location_retrieval_coverage": (one("located"), n, None),
+        "citation_groundedness": later(zero("cited")),
+        **{f"faithfulness_{x}": later(n) for x in M.LABELS},
+        "gold_claim_recall": later(n), "essential_gold_claim_recall": later(one("essential")), "must_not_claim_violation": later(n),
+        "out_of_corpus_abstention": later(one(outside)), "adversarial_premise_correction": later(one(premise)), "false_abstention": later(one((F.col("expected") == "answer") & ~outside)),
     })
 
 
@@ -210,7 +253,7 @@ def stability_variance(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     recall_at_k, macro_by_stratum, micro_macro, noise_subset, calibration_subset, noise_floor, metric_unpivot, latency_nearest_rank, latency_interpolated, latency_median, cohort_summary,
-    paired_ratio, pairwise_jaccard, displacement_totals, citation_audit, citation_completeness, label_distribution, confusion_matrix, decision_agreement, abstention_rates, public_metrics,
+    paired_ratio, pairwise_jaccard, displacement_totals, citation_audit, citation_completeness, label_distribution, confusion_matrix, decision_agreement, abstention_rates, public_metrics, precalibration_metrics,
     coverage_summary, stability_variance)}
 
 # -- DuckDB ------------------------------------------------------------------------------------------------------------
@@ -274,9 +317,33 @@ SELECT doc_id, source_count, len(g) AS groups, len(flatten(r)) AS references, le
     "abstention_rates": f"WITH o AS (SELECT {_list(STRATA, 'doc_id')} AS s, CASE WHEN doc_id % 6 = 4 THEN 'abstain' ELSE 'answer' END AS e, {_list(('answer', 'decline', 'partial_decline', 'premise_correction', 'decline'), 'doc_id')} AS o FROM documents) SELECT " + ", ".join(
         f"count(*) FILTER ({of} AND {hit}) AS {n}_n, count(*) FILTER ({of}) AS {n}_of, round(count(*) FILTER ({of} AND {hit}) / nullif(count(*) FILTER ({of}), 0)::DOUBLE, 9) AS {n}_rate" for n, of, hit in (
             ("out_of_corpus_decline", "s = 'out_of_corpus'", "o = 'decline'"), ("false_abstention", "e = 'answer'", "o = 'decline'"), ("premise_correction", "s = 'adversarial_premise'", "o = 'premise_correction'"))) + " FROM o",
-    "public_metrics": f"WITH {_CLAIMS} " + " UNION ALL ".join(_METRIC.format(*m) for m in (
-        ("judge_full_support", "count(*) FILTER (judge = 'supported')", "count(*)", "true"), ("human_full_support", "count(*) FILTER (human = 'supported')", "count(*)", "count(*) > 100"), ("citation_completeness", "count(*) FILTER (cited > 0)", "count(*)", "true"),
-        ("essential_support", "count(*) FILTER (essential AND judge = 'supported')", "count(*) FILTER (essential)", "true"), ("agreement", "count(*) FILTER (human = judge)", "count(*)", "count(*) > 100"), ("none", "count(*) FILTER (false)", "count(*) FILTER (false)", "true"))),
     "coverage_summary": f"WITH {_CLAIMS}, c AS (SELECT item, count(*) FILTER (judge IN ('supported', 'partially_supported')) AS present, count(*) FILTER (judge = 'unsupported') AS absent, count(*) FILTER (judge = 'contradicted') AS contradicted, count(*) FILTER (essential) AS essential, round(count(*) FILTER (essential AND judge IN ('supported', 'partially_supported')) / nullif(count(*) FILTER (essential), 0)::DOUBLE, 9) AS essential_share FROM claims GROUP BY item) SELECT *, CASE WHEN essential_share IS NULL THEN 'empty' WHEN essential_share >= 0.8 THEN 'complete' WHEN essential_share > 0 THEN 'partial' ELSE 'missing' END AS outcome FROM c",
     "stability_variance": f"WITH {_CLAIMS}, c AS (SELECT item, cited, count(*) AS n FROM claims WHERE cited < 3 GROUP BY ALL) SELECT item, count(*) AS repeats, round(var_pop(n), 9) AS variance FROM c GROUP BY item HAVING count(*) = 3",
 }
+
+_BUNDLES = f"""{_CLAIMS}, audit AS ({SQL['citation_audit']}), bundles AS (
+  SELECT c.stratum, c.doc_id, cited, essential, judge, a."references" AS refs, a.resolvable AS resolved, a.malformed, a.malformed + a.groups AS brackets, CASE WHEN NOT (c.doc_id % 50 = 49 AND c.stratum = 'fr') THEN human END AS faithful,
+         CASE WHEN c.doc_id % 5 <> 0 THEN cited ELSE 0 END AS gold_pairs, CASE WHEN c.doc_id % 5 = 0 THEN cited ELSE 0 END AS judge_pairs, CASE WHEN c.doc_id % 5 <> 0 THEN least(cited, c.doc_id % 3) ELSE 0 END AS gold_grounded,
+         CASE WHEN c.doc_id % 5 = 0 THEN least(cited, c.doc_id % 2) ELSE 0 END AS judge_grounded, judge IN ('supported', 'partially_supported') AS present, c.doc_id % 29 = 0 AS asserted, {_list(STRATA, 'c.doc_id')} AS kind,
+         CASE WHEN c.doc_id % 6 = 4 THEN 'abstain' ELSE 'answer' END AS expected, CASE WHEN NOT (c.doc_id % 37 = 5 AND c.stratum = 'de') THEN {_list(('answer', 'decline', 'partial_decline', 'premise_correction', 'decline'), 'c.doc_id')} END AS behaviour,
+         c.doc_id % 13 <> 0 AS released, c.doc_id % 4 < 3 AS located
+  FROM claims c JOIN audit a ON a.doc_id = c.doc_id
+)"""
+_MATCHED = _METRIC.replace("FROM claims", "FROM bundles")
+_SUM, _OF, _ASKED = "CAST(coalesce(sum({0}), 0) AS BIGINT)".format, "count(*) FILTER ({0})".format, "expected = 'answer' AND kind <> 'out_of_corpus'"
+_FIRST = [("citation_resolvability", _SUM("resolved"), _SUM("refs"), "true"), ("citation_completeness", _OF("cited > 0"), "count(*)", "true"), ("malformed_citation_rate", _SUM("malformed"), _SUM("brackets"), "true")]
+
+
+def _acts(name: str, of: str, how: str) -> tuple[str, ...]:
+    return (name, _OF(f"{of} AND behaviour = '{how}'"), _OF(of), f"bool_and(NOT ({of}) OR behaviour IS NOT NULL)")
+
+
+SQL["public_metrics"] = f"WITH {_BUNDLES} " + " UNION ALL ".join(_MATCHED.format(*m) for m in (
+    *_FIRST, ("citation_groundedness_gold_matched", _SUM("gold_grounded"), _SUM("gold_pairs"), "true"), ("citation_groundedness_judge_only", _SUM("judge_grounded"), _SUM("judge_pairs"), "true"),
+    *((f"faithfulness_{x}", _OF(f"faithful = '{x}'"), "count(*)", "bool_and(faithful IS NOT NULL)") for x in M.LABELS), ("gold_claim_recall", _OF("present"), "count(*)", "true"),
+    ("essential_gold_claim_recall", _OF("essential AND present"), _OF("essential"), "true"), ("must_not_claim_violation", _OF("asserted"), "count(*)", "true"), _acts("out_of_corpus_abstention", "kind = 'out_of_corpus'", "decline"),
+    _acts("adversarial_premise_correction", "kind = 'adversarial_premise'", "premise_correction"), _acts("false_abstention", _ASKED, "decline"), ("answer_success", _OF("released"), "count(*)", "true")))
+SQL["precalibration_metrics"] = f"WITH {_BUNDLES} " + " UNION ALL ".join(_MATCHED.format(*m) for m in (
+    *_FIRST, ("cited_source_gold_location_match", _SUM("gold_grounded"), _SUM("cited"), "true"), ("gold_location_retrieval_coverage", _OF("located"), "count(*)", "true"), ("citation_groundedness", _SUM("cited"), _SUM("cited"), "false"),
+    *((n, of, of, "false") for n, of in (*((f"faithfulness_{x}", "count(*)") for x in M.LABELS), ("gold_claim_recall", "count(*)"), ("essential_gold_claim_recall", _OF("essential")), ("must_not_claim_violation", "count(*)"),
+                                         ("out_of_corpus_abstention", _OF("kind = 'out_of_corpus'")), ("adversarial_premise_correction", _OF("kind = 'adversarial_premise'")), ("false_abstention", _OF(_ASKED))))))
