@@ -148,9 +148,49 @@ def role_terms(spark: SparkSession, d: str) -> DataFrame:
     return Q.role_terms(docs, 10)
 
 
+def scan_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Whether scans looked at the corpus as a whole: one that did, one of another order, one that lacks a chunk, one with another."""
+    ids = chunk_table(spark, d).select("chunk_id")
+    scans = {
+        "whole": ids, "reversed": ids.orderBy(F.desc("chunk_id")), "lacking": ids.filter("chunk_id <> '0_001'"),
+        "other": ids.select(F.when(F.col("chunk_id") == "0_001", "x_001").otherwise(F.col("chunk_id")).alias("chunk_id")),
+    }
+    want = Q.scope(ids, "chunk_id").withColumnsRenamed({"n": "n0", "h1": "g1", "h2": "g2"})
+    every = [Q.scope(x, "chunk_id").withColumn("scan", F.lit(name)) for name, x in scans.items()]
+    rows = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).crossJoin(F.broadcast(want))  # a row each
+    return rows.select("scan", "n", ((F.col("n") == F.col("n0")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).alias("complete"))
+
+
+def text_free(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of artifacts that would publish texts: three that do, at several depths, and one that does not."""
+    docs, turns = read(spark, d, "documents"), read(spark, d, "conversations")
+    artifacts = {
+        "documents": docs, "turns": turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "Text")).alias("turns")),
+        "nested": docs.select("doc_id", F.struct(F.struct(F.col("text").alias("Question")).alias("inner")).alias("outer")), "counts": docs.groupBy("lang").count(),
+    }
+    found = [(name, path) for name, x in artifacts.items() for path in Q.named_fields(x.schema, frozenset({"text", "question", "answer", "excerpt"}))]
+    return spark.createDataFrame(found, "artifact string, path string")
+
+
+def run_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Events' properties as diagnostics of runs, with numbers that are none and fields that nobody asked for planted."""
+    k = F.col("event_id")
+    raw = F.concat(F.lit('{"total_ms": "'), F.when(k % 17 == 3, "NaN").when(k % 19 == 4, "-1").when(k % 23 == 5, "soon").otherwise(F.col("value").cast("string")), F.lit('", "retries": '), (k % 4).cast("string"), F.lit(', "mode": "'), F.col("event_type"), F.lit('"'), F.when(k % 7 == 0, ', "prompt": "x", "user": 1').otherwise(""), F.lit("}"))
+    raw = F.when(k % 41 == 6, F.lit(None)).otherwise(raw)
+    rows = Q.diagnostics(read(spark, d, "events").select("event_id", raw.alias("raw")), "raw", ("total_ms", "retries"), ("mode",))
+    return rows.select("event_id", F.round("total_ms", 6).alias("total_ms"), "retries", "mode", "others", "valid")
+
+
+def run_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Runs described by three documents, the first that knows a field deciding; items and elapsed time summed over the run's parts."""
+    o = read(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("run"), (F.col("o_orderkey") % 4).alias("part"), F.col("o_orderpriority").alias("model"), F.round(F.col("o_totalprice")).cast("long").alias("ms"))
+    named = lambda part: F.min(F.when(F.col("part") == part, F.col("model")))
+    return o.groupBy("run").agg(F.coalesce(named(3), named(1), named(2)).alias("model"), F.count("*").alias("items"), F.sum("ms").alias("elapsed_ms"))
+
+
 STRATA = ("focused_biographical", "focused_analytical", "conceptual", "broad_thematic", "out_of_corpus", "adversarial_premise")
 QUERIES = {f.__name__: f for f in (
-    contamination_ngrams, verbatim_overlap, exact_question_overlap, near_questions, near_questions_ratio, near_match_reviews, gold_validation, stratum_counts, carryover, store_verification, page_alignment, page_of_offset, role_terms)}
+    contamination_ngrams, verbatim_overlap, exact_question_overlap, near_questions, near_questions_ratio, near_match_reviews, gold_validation, stratum_counts, carryover, store_verification, page_alignment, page_of_offset, role_terms, scan_scope, text_free, run_diagnostics, run_metadata)}
 
 # -- DuckDB ------------------------------------------------------------------------------------------------------------
 
@@ -213,4 +253,8 @@ FROM walk LEFT JOIN (SELECT key, count(*) AS n FROM an GROUP BY key) a ON a.key
 ), a AS (SELECT c.doc_id, c.chunk_id, o.offset_ FROM chunks c JOIN o ON o.doc_id = c.doc_id AND o.pos = c.paragraph_start - 1)
 SELECT chunk_id, offset_ AS offset, page FROM a ASOF LEFT JOIN s ON a.doc_id = s.doc_id AND a.offset_ >= s.start""",
     "role_terms": "WITH t AS (SELECT source AS document, unnest(" + content_sql("text") + ") AS term FROM documents), tf AS (SELECT document, term, count(*) AS tf FROM t WHERE NOT regexp_full_match(term, '[12][0-9]{3}') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT source) AS n FROM documents), s AS (SELECT document, tf.term, tf, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)::DOUBLE) + 1), 9) AS score FROM tf JOIN df ON df.term = tf.term, n) SELECT *, CAST(row_number() OVER (PARTITION BY document ORDER BY score DESC, tf DESC, term) AS INT) AS rank FROM s QUALIFY rank <= 10",
+    "scan_scope": f"WITH RECURSIVE {CHUNKS_SQL} SELECT unnest(['whole', 'reversed', 'lacking', 'other']) AS scan, unnest([n, n, n - 1, n]) AS n, unnest([true, true, false, false]) AS complete FROM (SELECT count(*) AS n FROM chunks)",
+    "text_free": "SELECT * FROM (VALUES ('documents', 'text'), ('turns', 'turns.[]Text'), ('nested', 'outer.inner.Question')) v(artifact, path)",
+    "run_diagnostics": "WITH e AS (SELECT event_id AS k, event_type, value, event_id % 41 = 6 AS gone, event_id % 17 = 3 OR event_id % 19 = 4 OR event_id % 23 = 5 AS odd FROM events) SELECT k AS event_id, CASE WHEN NOT gone AND NOT odd THEN round(value, 6) END AS total_ms, CASE WHEN NOT gone THEN CAST(k % 4 AS DOUBLE) END AS retries, CASE WHEN NOT gone THEN event_type END AS mode, CASE WHEN NOT gone AND k % 7 = 0 THEN 2 ELSE 0 END AS others, NOT gone AND NOT odd AS valid FROM e",
+    "run_metadata": "SELECT o_orderkey % 50 AS run, coalesce(min(o_orderpriority) FILTER (o_orderkey % 4 = 3), min(o_orderpriority) FILTER (o_orderkey % 4 = 1), min(o_orderpriority) FILTER (o_orderkey % 4 = 2)) AS model, count(*) AS items, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS elapsed_ms FROM orders GROUP BY 1",
 }
