@@ -63,12 +63,17 @@ def broader_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 def integrity_codes(spark: SparkSession, d: str) -> DataFrame:
-    """A whole corpus, and one with a chunk gone, one double and one without id."""
-    ids = chunk_table(spark, d).select("chunk_id")
-    n = ids.count()
-    broken = ids.filter("chunk_id <> '0_001'").unionByName(ids.filter("chunk_id = '1_001'")).unionByName(spark.createDataFrame([(" ",)], "chunk_id string"))
-    good = E.integrity(ids, ids, n, n).withColumn("corpus", F.lit("whole"))
-    return good.unionByName(E.integrity(broken, ids, n - 1, n).withColumn("corpus", F.lit("broken")))
+    """A whole corpus; one with a chunk gone, one double and one without id; one of another manifest, which names a blank chunk and
+    one twice, and whose first text is missing; one without identity."""
+    c = chunk_table(spark, d).select("chunk_id", "text")
+    ids, n = c.select("chunk_id"), c.count()
+    blank = spark.createDataFrame([(" ", "x")], "chunk_id string, text string")
+    broken = c.filter("chunk_id <> '0_001'").unionByName(c.filter("chunk_id = '1_001'")).unionByName(blank)
+    foreign = ids.unionByName(blank.select("chunk_id")).unionByName(ids.filter("chunk_id = '1_001'"))
+    lost = c.withColumn("text", F.when(F.col("chunk_id") != "0_001", F.col("text")))
+    cases = {"whole": (c, ids, n, n, ("A1", " a1")), "broken": (broken, ids, n - 1, n, ("a1", "a1")), "foreign": (lost, foreign, n, n, ("a1", "b2")), "nameless": (c, ids, n, n, ("a1", None))}
+    out = [E.integrity(*x).withColumn("corpus", F.lit(name)) for name, x in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def _selected(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +189,8 @@ SQL = {
     "target_scan": f"{_ALL} SELECT target_id, kind, rule, count(*) AS chunks, min(chunk_id) AS first_id FROM scan GROUP BY ALL",
     "relationship": f"{_ALL} SELECT * FROM rel",
     "broader_related": f"{_ALL} SELECT * FROM broad",
-    "integrity_codes": "SELECT 'whole' AS corpus, '' AS codes, true AS passed UNION ALL SELECT 'broken', 'invalid_loaded_chunk,duplicate_loaded_chunk_id,eligible_chunk_ids_mismatch,loaded_chunk_count_mismatch,collection_count_mismatch', false",
+    "integrity_codes": """SELECT * FROM (VALUES ('whole', '', true), ('broken', 'invalid_loaded_chunk,duplicate_loaded_chunk_id,eligible_chunk_ids_mismatch,loaded_chunk_count_mismatch,collection_count_mismatch', false),
+  ('foreign', 'manifest_identity_mismatch,invalid_manifest_chunk_id,duplicate_manifest_chunk_id,invalid_loaded_chunk,loaded_chunk_count_mismatch,manifest_collection_count_mismatch', false), ('nameless', 'manifest_identity_missing', false)) v(corpus, codes, passed)""",
     "evidence_lanes": f"{_ALL} SELECT * FROM lane",
     "evidence_decision": f"{_ALL} SELECT k AS target_id, absent AS certified_absence, decision FROM dec",
     "allowed_sources": f"{_ALL} SELECT target_id, source_number, lane, decision, CASE WHEN decision IN ('direct_answer', 'partial_answer') THEN lane IN ('direct', 'broader_related') WHEN decision = 'qualified_near_match' THEN lane = 'broader_related' AND sum(CAST(lane = 'broader_related' AS INT)) OVER (PARTITION BY target_id ORDER BY source_number ROWS UNBOUNDED PRECEDING) <= 2 ELSE false END AS allowed FROM lane JOIN dec ON k = target_id",

@@ -183,6 +183,53 @@ def test_anchor_kinds(spark):
     assert got == {(1, "a"): "full_token_sequence", (1, "b"): "twelve_token_window", (1, "c"): "mechanical_initialism", (1, "d"): "partial_token_collision", (2, "f"): "full_token_sequence", (3, "f"): "partial_token_collision", (3, "g"): "twelve_token_window"}
 
 
+def test_missing_chunk_is_an_error(spark):
+    import pytest
+
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, text string")
+    ask = lambda *ids: R.looked_up(spark.createDataFrame([(1, i) for i in ids], "query_id int, chunk_id string"), chunks).collect()
+    assert sorted((r.chunk_id, r.text) for r in ask("a", "b", "a")) == [("a", "x"), ("a", "x"), ("b", "y")]
+    for lost in ("c", None):
+        with pytest.raises(Exception, match="no such chunk"):
+            ask("a", lost)
+
+
+def loop_dossier(rows):
+    """Units of a question: how many paragraphs each may show is tried from all of them down."""
+    units, used = [], 0
+    size = lambda ps: -(-len("\n\n".join(ps)) // 4)
+    seen, todo = set(), []
+    for c, _, text in sorted(rows, key=lambda r: (r[1], r[0])):
+        if c not in seen and text and text.strip():
+            todo.append((c, [p for p in text.split("\n\n") if p.strip()]))
+        seen.add(c)
+    for k, (c, ps) in enumerate(todo):
+        still = max(0, 4 - len(units) - 1)
+        cheapest = sorted(size(q[:1]) for _, q in todo[k + 1:])
+        reserve = sum(cheapest[:still]) if still <= len(cheapest) else 0
+        for n in range(len(ps), 0, -1):
+            if used + size(ps[:n]) + reserve <= 4500:
+                units.append((len(units) + 1, c, n, size(ps[:n]), n < len(ps)))
+                used += size(ps[:n])
+                break
+        if len(units) == 8 or (len(units) >= 4 and used >= 2500):
+            break
+    return units
+
+
+def test_dossier_against_loop(spark):
+    rnd, rows, want = random.Random(21), [], {}
+    for q in range(40):
+        mine = [(f"c{i:02}", rnd.randint(1, 12), rnd.choice([None, " ", *["\n\n".join("w" * rnd.randint(1, 4000) for _ in range(rnd.randint(1, 5)))] * 6])) for i in range(rnd.randint(1, 14))]
+        mine += mine[:1]
+        rows += [(q, *r) for r in mine]
+        want[q] = loop_dossier(mine)
+    got: dict = {q: [] for q in want}
+    for r in E.dossier(spark.createDataFrame(rows, "query_id long, chunk_id string, rank int, text string")).orderBy("query_id", "unit").collect():
+        got[r.query_id].append((r.unit, r.chunk_id, r.paragraphs, r.tokens, r.shortened))
+    assert got == want and any(u[4] for us in want.values() for u in us)
+
+
 def test_citations(spark):
     cases = [("[Source 1] [Source 2, Source 9] [", 3, (2, 3, 1, 1, 2, 1)), ("] [Source 1; Source 2] [[Source 1]]", 3, (0, 0, 4, 0, 0, 0)), ("", 0, (0, 0, 0, 0, 0, 0))]
     for answer, n, want in cases:
