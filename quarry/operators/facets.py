@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from quarry.functions.unicode import folded
@@ -158,3 +159,37 @@ def remapped(allocated: DataFrame, kept: DataFrame) -> DataFrame:
     """Facets' sources after a filter: numbered anew in the old order. kept: query_id, chunk_id."""
     rows = allocated.join(kept.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
     return rows.withColumn("source_number", F.dense_rank().over(W.partitionBy("query_id").orderBy("source_number")))
+
+
+def promote(context: DataFrame, facets: DataFrame, anchors: DataFrame, limit: int = 8) -> DataFrame:
+    """query_id, source_number, chunk_id, origin, protected: contexts with the chunks that a scan of the corpus certified.
+
+    Each facet keeps the first of its sources that no facet before it keeps. Anchors are admitted in their order as long as
+    there is room beside those; then come the other sources, first one of each document that is not there yet.
+    context: query_id, chunk_id, document, source_number; facets: the same and facet_id, for those to protect; anchors: query_id,
+    chunk_id, document, place. A context without anchors stays as it is. A question's few sources are one row.
+    """
+    pair = F.struct("chunk_id", "document")
+    in_order = lambda df, at: df.groupBy("query_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), pair.alias("c")))), lambda x: x.c)).alias("cs"))
+    per = facets.groupBy("query_id", "facet_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_number", pair.alias("c")))), lambda x: x.c).alias("cs"))
+    per = per.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("facet_id", "cs"))), lambda x: x.cs).alias("lanes"))
+    rows = in_order(context, "source_number").withColumnRenamed("cs", "old").join(in_order(anchors, "place").withColumnRenamed("cs", "asked"), "query_id", "left").join(per, "query_id", "left")
+    kind = rows.schema["old"].dataType
+    none = F.array().cast(kind)
+    rows = rows.withColumns({"asked": F.coalesce("asked", none), "lanes": F.coalesce("lanes", F.array().cast(T.ArrayType(kind)))})
+    rows = rows.withColumn("guarded", F.aggregate("lanes", none, lambda s, cs: F.concat(s, F.slice(F.array_except(cs, s), 1, 1))))
+    fresh = F.slice(F.array_except("asked", "guarded"), F.lit(1), F.greatest(F.lit(limit) - F.size("guarded"), F.lit(0)))
+    rows = rows.withColumn("admitted", F.filter("asked", lambda c: F.array_contains("guarded", c) | F.array_contains(fresh, c)))
+    rows = rows.withColumn("must", F.array_distinct(F.concat("admitted", "guarded"))).withColumn("rest", F.array_except("old", "must"))
+    start = F.struct(none.alias("new"), none.alias("same"), F.transform("must", lambda c: c.document).alias("docs"))
+
+    def fill(s: Column, c: Column) -> Column:
+        seen = F.array_contains(s.docs, c.document)
+        more = F.array(c)
+        return F.struct(F.when(seen, s.new).otherwise(F.concat(s.new, more)).alias("new"), F.when(seen, F.concat(s["same"], more)).otherwise(s["same"]).alias("same"), F.when(seen, s.docs).otherwise(F.concat(s.docs, F.array(c.document))).alias("docs"))
+
+    rows = rows.withColumn("filled", F.aggregate("rest", start, fill))
+    final = F.when(F.size("asked") == 0, F.col("old")).otherwise(F.slice(F.concat("must", "filled.new", "filled.same"), 1, limit))
+    out = rows.select("query_id", "old", "guarded", F.posexplode(final).alias("pos", "c"))
+    origin = F.when(F.array_contains("old", F.col("c")), "retrieval").otherwise("corpus_anchor")
+    return out.select("query_id", (F.col("pos") + 1).alias("source_number"), "c.chunk_id", origin.alias("origin"), F.array_contains("guarded", F.col("c")).alias("protected"))

@@ -15,6 +15,7 @@ from quarry.operators import evidence as E
 from quarry.operators import facets as A
 from quarry.operators import retrieval as R
 from quarry.plans.corpus import CHUNKS_SQL, chunk_index, chunk_table, content_sql
+from quarry.plans.evidence import anchor_match, relationship
 from quarry.plans.retrieval import lexical_sql
 from quarry.sources.stage import kept
 from quarry.sources.tables import read, texts
@@ -61,6 +62,18 @@ def facet_remap(spark: SparkSession, d: str) -> DataFrame:
     return A.remapped(a, a.filter(F.regexp_extract("chunk_id", r"_(\d+)$", 1).cast("int") % 3 != 0))
 
 
+def anchor_promotion(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of facets with certified chunks: those in which an item's target stands near the next item's, then its first."""
+    source = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("source").alias("document"))
+    placed = lambda df: df.withColumn("doc", F.regexp_extract("chunk_id", "^(.*)_", 1)).join(source, "doc").drop("doc")
+    lanes = placed(facet_lanes(spark, d))
+    near = relationship(spark, d).select(F.col("pair_id").alias("query_id"), F.lit(0).alias("tier"), "chunk_id")
+    first = anchor_match(spark, d).filter("kind = 'strong'").groupBy(F.col("target_id").alias("query_id")).agg(F.min("chunk_id").alias("chunk_id")).select("query_id", F.lit(1).alias("tier"), "chunk_id")
+    anchors = placed(near.unionByName(first)).select("query_id", "chunk_id", "document", F.struct("tier", "chunk_id").alias("place"))
+    context = lanes.select("query_id", "chunk_id", "document", "source_number").distinct()
+    return A.promote(context, lanes.filter("facet_id <> 'F0'"), anchors)
+
+
 def lane_first_pick(spark: SparkSession, d: str) -> DataFrame:
     """Each lane's best candidate."""
     best = W.partitionBy("query_id", "facet_id").orderBy("rank", "chunk_id")
@@ -126,7 +139,7 @@ def role_profiles(spark: SparkSession, d: str) -> DataFrame:
     return A.role_profiles(rows, GENERIC, VOCABULARY).select("document", F.size("terms").alias("n"), F.array_join("terms", " ").alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (facet_candidates, facet_lanes, facet_lanes_diverse, facet_remap, lane_first_pick, mechanism_rerank, stage_anchor_rank, transition_rank, stage_positions, stage_terms, narrative_span, role_profiles)}
+QUERIES = {f.__name__: f for f in (facet_candidates, facet_lanes, facet_lanes_diverse, facet_remap, anchor_promotion, lane_first_pick, mechanism_rerank, stage_anchor_rank, transition_rank, stage_positions, stage_terms, narrative_span, role_profiles)}
 
 # -- DuckDB ------------------------------------------------------------------------------------------------------------
 

@@ -368,6 +368,38 @@ def test_allocation_against_loop(spark):
         assert sorted({r.source_number for r in part}) == list(range(1, len({r.chunk_id for r in part}) + 1))
 
 
+def test_promotion_against_loop(spark):
+    rnd = random.Random(31)
+    document = lambda c: f"d{int(c[1:]) % 4}"
+    context, facets, anchors, want = [], [], [], {}
+    for q in range(80):
+        old = [f"c{i:02}" for i in rnd.sample(range(14), rnd.randint(1, 6))]
+        lanes = {f"F{k}": rnd.sample(old, rnd.randint(1, len(old))) for k in range(1, rnd.randint(1, 5))}
+        asked = [f"c{i:02}" for i in rnd.sample(range(14), rnd.randint(0, 4))]
+        context += [(q, c, document(c), i) for i, c in enumerate(old, 1)]
+        facets += [(q, f, c, document(c), old.index(c) + 1) for f, cs in lanes.items() for c in cs]
+        anchors += [(q, c, document(c), i) for i, c in enumerate(asked)]
+        guarded: list = []
+        for f in sorted(lanes):
+            free = [c for c in sorted(lanes[f], key=old.index) if c not in guarded]
+            guarded += free[:1]
+        admitted: list = []
+        for c in asked:
+            if c in guarded or len(guarded) + sum(x not in guarded for x in admitted) < 6:
+                admitted.append(c)
+        new = list(dict.fromkeys(admitted + guarded))
+        seen, late = {document(c) for c in new}, []
+        for c in old:
+            if c not in new:
+                (late if document(c) in seen else new).append(c)
+                seen.add(document(c))
+        for i, c in enumerate((new + late)[:6] if asked else old, 1):
+            want[q, i] = (c, "retrieval" if c in old else "corpus_anchor", c in guarded)
+    kinds = "query_id long, chunk_id string, document string, source_number int", "query_id long, facet_id string, chunk_id string, document string, source_number int", "query_id long, chunk_id string, document string, place int"
+    got = A.promote(*(spark.createDataFrame(r, k) for r, k in zip((context, facets, anchors), kinds)), 6).collect()
+    assert {(r.query_id, r.source_number): (r.chunk_id, r.origin, r.protected) for r in got} == want
+
+
 def test_role_profiles_against_loop(spark):
     rnd = random.Random(13)
     pool = ["Council", "council", "NATO", "Mary", "smith", "1607", "1984", "counsel", "river", "The", "A1", "land", "Éclair", "x"]
