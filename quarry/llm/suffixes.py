@@ -64,7 +64,7 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use
 
     files, texts, place, length = Files(kind), np.arange(m), np.arange(m), 0
     try:
-        files.write(symbol(texts, 0), np.zeros(m, np.uint8))
+        files.write(symbol(texts, 0), np.zeros(m + 1, np.uint8))  # prefixes have one place more, behind the last
         while True:
             alive = sizes[texts] > length
             texts, place = texts[alive], place[alive]
@@ -77,13 +77,17 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use
             new = m + r - done
             own = transform[place]
             earlier, later = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
-            up = np.where((r > 0) & (transform[earlier] == own), 1 + _least(prefix, np.minimum(earlier + 1, place + 1), place + 1), 0)
-            down = np.where((r + 1 < n) & (transform[later] == own), 1 + _least(prefix, place + 1, np.maximum(later, place) + 1), 0)
+            # the smallest prefix from the equal symbol before on, and from here to the one behind, in one pass
+            bounds = np.empty((len(texts), 3), np.int64)
+            bounds[:, 0], bounds[:, 1], bounds[:, 2] = np.minimum(earlier, place) + 1, place + 1, np.maximum(later, place) + 1
+            least_of = np.minimum.reduceat(prefix, bounds.ravel()).reshape(-1, 3).astype(np.int64)
+            up = np.where((r > 0) & (transform[earlier] == own), 1 + least_of[:, 0], 0)
+            down = np.where((r + 1 < n) & (transform[later] == own), 1 + least_of[:, 1], 0)
             total = n + len(texts)
             old = np.ones(total, bool)
             old[new] = False
-            out = [np.empty(total, kind), np.empty(total, np.uint8)]
-            out[0][old], out[1][old] = transform, prefix
+            out = [np.empty(total, kind), np.empty(total + 1, np.uint8)]
+            out[0][old], out[1][:total][old], out[1][total] = transform, prefix[:n], 0
             out[0][new] = symbol(texts, length + 1)
             # what follows a new suffix shares `down` with it; where that is new itself, its own `up` says the same
             inside = new + 1 < total
@@ -105,7 +109,7 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, use
             number[row], lengths[row] = texts, length
         more = sizes[texts] > length
         row, texts, length = m + rank[row[more]] - done, texts[more], length + 1
-    return number, lengths, prefix
+    return number, lengths, prefix[:-1]
 
 
 def _columns(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -114,11 +118,3 @@ def _columns(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     rank = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
     rank[order] = np.arange(len(order), dtype=rank.dtype)
     return order, rank, int(np.count_nonzero(transform == 0))
-
-
-def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """min(values[start:end]) for each pair, nothing of use where it is empty; pairs about in order, so that what lies
-    between them, which is reduced too, adds up to the length of values."""
-    bounds = np.empty(2 * len(start), np.int64)
-    bounds[::2], bounds[1::2] = start, end
-    return np.minimum.reduceat(np.append(values, 0), bounds)[::2].astype(np.int64)
