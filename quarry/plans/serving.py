@@ -13,8 +13,8 @@ from quarry.sources.tables import LEDGER_SQL, ledger, read
 
 #: Openings that are put before the items' texts.
 ASKS = (
-    "Trace the development of ", "Does the book mention ", "What is the relationship between trade and ", "Why did they leave, and when did ", "Who was ", "How did the Act cause ",
-    "How does the manuscript describe the causes of ", "Given that several causes matter, compare ", "From the first to the last, what changed in ",
+    "Trace the development of ", "Does the book mention Mary Smith or ", "What is the relationship between Mary Smith and John Doe in ", "Why did they leave, and when did ", "Who was ", "How did Article 9 and the 3rd Army cause ",
+    "How does the manuscript describe the causes of ", "Given that several causes matter, compare ", "From the U-2 to “the last”, what did NATO change in ",
 )
 
 
