@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 
 TEXT = "Opening 10.\n1219538112535716 is of 4 words, and 121\n  2 blanks before and after 32  \n343\n404 last. 51 small. 2 words of the longest sentence that there is in this text of numbers, 313. 7!"
-QUERIES = ["paragraphs", "sentences", "chapter_title", "chunk_paragraphs", "citation_labels", "claim_anchoring", "manifest_chunks", "page_of_offset", "excerpts"]
+QUERIES = ["paragraphs", "sentences", "chapter_title", "chunk_paragraphs", "citation_labels", "claim_anchoring", "manifest_chunks", "page_of_offset", "excerpts", "full_context"]
 
 
 @pytest.fixture(scope="module")
