@@ -50,3 +50,14 @@ def test_slices_do_not_matter(spark, monkeypatch):
     for name, value in (("WORDS", 7), ("CELLS", 6), ("STEP", 3)):
         monkeypatch.setattr(scoring, name, value)
     assert run() == whole
+
+
+def test_facets_are_ranked_in_one_scan(spark, sf):
+    """The lanes' shuffles hold their candidates and the names of documents only."""
+    from quarry.plans import facets
+
+    got = {(r.query_id, r.facet_id): r.n for r in facets.facet_candidates(spark, sf).groupBy("query_id", "facet_id").agg(F.count("*").alias("n")).collect()}
+    assert got and max(got.values()) == 10
+    f = facets._facets(spark, sf).select(F.concat_ws(":", F.col("query_id").cast("string"), "facet_id").alias("query_id"), "text")
+    plan = R.lexical(f, facets.chunk_index(spark, sf), 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
