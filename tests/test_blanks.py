@@ -15,6 +15,7 @@ TEXTS = [
 QUERIES = [
     "chapter_title",
     "chunk_paragraphs",
+    "citation_labels",
 ]
 
 
