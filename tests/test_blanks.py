@@ -17,6 +17,7 @@ QUERIES = [
     "chunk_paragraphs",
     "citation_labels",
     "claim_anchoring",
+    "manifest_chunks",
 ]
 
 
