@@ -18,6 +18,7 @@ QUERIES = [
     "citation_labels",
     "claim_anchoring",
     "manifest_chunks",
+    "page_of_offset",
 ]
 
 
