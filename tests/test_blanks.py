@@ -20,6 +20,7 @@ QUERIES = [
     "manifest_chunks",
     "page_of_offset",
     "excerpts",
+    "full_context",
 ]
 
 
