@@ -4,7 +4,8 @@ Every `size`-byte string (window) of a document belongs to the smallest hash of
 of neighbouring windows with one anchor are a fragment, at most 40 windows; equal windows have equal anchors, so only
 fragments of one anchor need to be compared, and only where two documents have the anchor:
 
-1. anchors meet in buckets by hash; those of one document only are discarded;
+1. anchors meet in buckets by hash; those of one document only are discarded, and so are fragments that agree with none of
+   another document on the piece half of the rest of a window before the anchor or behind it: a common window has one of the two;
 2. the bytes of the other fragments meet in buckets by anchor. Equal fragments are one text, of the smallest document;
    the suffixes of the texts of an anchor are sorted by column-wise construction of their collection transform
    (quarry.llm.suffixes); windows are suffixes of at least `size` bytes, equal ones are neighbours whose common prefix
@@ -71,9 +72,9 @@ class Hot:
             x[at[self.hashes[near] == x[at]]] |= _HALF
 
 
-def fragments(data: np.ndarray, ends: np.ndarray, size: int, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, document number, start in data, windows; ends: where each document of data ends."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def fragments(data: np.ndarray, ends: np.ndarray, size: int, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchor, document number, start in data, windows, left and right side (see _sides); ends: where each document of data ends."""
+    none = np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint16)] * 2
     if len(data) < size:
         return none
     x = piece_hashes(data)
@@ -101,7 +102,21 @@ def fragments(data: np.ndarray, ends: np.ndarray, size: int, hot: Hot) -> tuple[
     step = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
     starts = np.repeat(starts, cut) + step * MOST
     runs = np.minimum(MOST, np.repeat(runs, cut) - step * MOST)
-    return least[starts], owner[starts], starts, runs
+    return least[starts], owner[starts], starts, runs, *_sides(x, starts, runs, span)
+
+
+def _sides(x: np.ndarray, starts: np.ndarray, runs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits of the pieces `span // 2` before and behind the anchor of each fragment; 0 where no window of it holds that piece,
+    both 0 where the windows' first pieces with the anchor's hash are not one place.
+
+    Equal windows have that place at the same distance. With the anchor `half` or more behind its start, a window holds the
+    left piece, else the right one.
+    """
+    half = (span - 1) // 2
+    at = np.lib.stride_tricks.sliding_window_view(x, span)[starts].argmin(axis=1)
+    place, one = starts + at, runs <= at + 1
+    bits = lambda i, has: np.where(has & one, x[np.clip(i, 0, len(x) - 1)] % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+    return bits(place - half, at >= half), bits(place + half, at - runs + 1 < half)
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -121,14 +136,14 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 
 
 # Anchors travel as 32 bits beside the bucket they belong to; those that fall together there are told apart by their bytes.
-# doc_id and text key of the documents of a blob; anchor, document, start and windows of its fragments.
-ANCHORS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
+# doc_id and text key of the documents of a blob; anchor, document, start, windows and sides of its fragments.
+ANCHORS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint16, np.uint16)
 # anchor, start, windows
 PLACES = (np.uint32, np.uint32, np.uint8)
 # start, end
 LOST = (np.uint32, np.uint32)
-# as ANCHORS, and the bytes of all fragments
-TEXTS = (*ANCHORS, np.uint8)
+# as ANCHORS without sides, and the bytes of all fragments
+TEXTS = (*ANCHORS[:6], np.uint8)
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +194,13 @@ def _anchors(size: int, buckets: int, shared):
             if copies:
                 out += [(-1, _pack([np.array(x, np.int64) for x in zip(*copies, strict=True)]))]
             if texts:
-                anchor, owner, start, runs = fragments(*(joined := _joined(texts)), size, hot)
+                anchor, owner, start, runs, left, right = fragments(*(joined := _joined(texts)), size, hot)
                 begin = np.append(0, joined[1][:-1])
                 start = start - begin[owner]
                 ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
                 for b, part in _by_bucket(_bucket(anchor, buckets)):
                     some, local = np.unique(owner[part], return_inverse=True)
-                    out.append((b, _pack([ids[some], keys[some], anchor[part].astype(np.uint32), local.astype(np.uint32), start[part].astype(np.uint32), runs[part].astype(np.uint8)])))
+                    out.append((b, _pack([ids[some], keys[some], anchor[part].astype(np.uint32), local.astype(np.uint32), start[part].astype(np.uint32), runs[part].astype(np.uint8), left[part], right[part]])))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
     return run
@@ -242,8 +257,31 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(blobs, pa.binary())], ["d", "k", "blob"])
 
 
+def _of_two(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which rows have a key that two documents have."""
+    out = np.zeros(len(key), bool)
+    if len(key):
+        order = np.argsort(key)
+        cuts = np.append(0, np.flatnonzero(np.diff(key[order])) + 1)
+        low, high = np.minimum.reduceat(ids[order], cuts), np.maximum.reduceat(ids[order], cuts)
+        out[order] = np.repeat(low < high, np.diff(np.append(cuts, len(order))))
+    return out
+
+
+def alike(ids: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of the fragments that may share a window with another document's: anchor and a side agree. Where one of an
+    anchor's fragments has no sides, all of the anchor may."""
+    some = np.flatnonzero(_of_two(anchor, ids))
+    ids, anchor, left, right = ids[some], anchor[some], left[some], right[some]
+    keep = np.isin(anchor, np.unique(anchor[(left == 0) & (right == 0)]))
+    for side in (left, right):
+        has = np.flatnonzero(side != 0)
+        keep[has] |= _of_two(anchor[has].astype(np.uint64) << np.uint64(16) | side[has].astype(np.uint64), ids[has])
+    return some[keep]
+
+
 def _shared(homes: int):
-    """Blobs of ANCHORS to blobs by home: fragments whose anchor two documents have (kind 0); copies go on (kind 1)."""
+    """Blobs of ANCHORS to blobs by home: fragments that are alike (kind 0); copies go on (kind 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in batches:
@@ -254,11 +292,8 @@ def _shared(homes: int):
             parts.append(batch.filter(pa.array(~whole)))
         if (all_of := _gathered(iter(parts), ANCHORS)) is None:
             return
-        ids, keys, anchor, start, runs = all_of
-        order = np.argsort(anchor, kind="stable")
-        cuts = np.append(0, np.flatnonzero(np.diff(anchor[order])) + 1)
-        low, high = np.minimum.reduceat(ids[order], cuts), np.maximum.reduceat(ids[order], cuts)
-        some = order[np.repeat(low < high, np.diff(np.append(cuts, len(order))))]
+        ids, keys, anchor, start, runs, left, right = all_of
+        some = alike(ids, anchor, left, right)
         yield _kind(_homes(ids[some], keys[some], [anchor[some], start[some], runs[some]], homes), 0)
 
     return run
