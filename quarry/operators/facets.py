@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from quarry.functions.text import once
 from quarry.functions.unicode import folded
 
 #: Share of the strongest free candidate's score that one of a new document needs to be preferred (fixed value).
@@ -173,13 +174,17 @@ def promote(context: DataFrame, facets: DataFrame, anchors: DataFrame, limit: in
     in_order = lambda df, at: df.groupBy("query_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), pair.alias("c")))), lambda x: x.c)).alias("cs"))
     per = facets.groupBy("query_id", "facet_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_number", pair.alias("c")))), lambda x: x.c).alias("cs"))
     per = per.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("facet_id", "cs"))), lambda x: x.cs).alias("lanes"))
-    rows = in_order(context, "source_number").withColumnRenamed("cs", "old").join(in_order(anchors, "place").withColumnRenamed("cs", "asked"), "query_id", "left").join(per, "query_id", "left")
+    # an anchor's first place before they are gathered: arrays of structs are made distinct by comparing all pairs
+    firsts = anchors.groupBy("query_id", "chunk_id", "document").agg(F.min("place").alias("place"))
+    asked = firsts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", pair.alias("c")))), lambda x: x.c).alias("cs"))
+    rows = in_order(context, "source_number").withColumnRenamed("cs", "old").join(asked.withColumnRenamed("cs", "asked"), "query_id", "left").join(per, "query_id", "left")
     kind = rows.schema["old"].dataType
     none = F.array().cast(kind)
     rows = rows.withColumns({"asked": F.coalesce("asked", none), "lanes": F.coalesce("lanes", F.array().cast(T.ArrayType(kind)))})
     rows = rows.withColumn("guarded", F.aggregate("lanes", none, lambda s, cs: F.concat(s, F.slice(F.array_except(cs, s), 1, 1))))
-    fresh = F.slice(F.array_except("asked", "guarded"), F.lit(1), F.greatest(F.lit(limit) - F.size("guarded"), F.lit(0)))
-    rows = rows.withColumn("admitted", F.filter("asked", lambda c: F.array_contains("guarded", c) | F.array_contains(fresh, c)))
+    fresh = F.slice(F.filter("asked", lambda c: ~F.array_contains("guarded", c)), F.lit(1), F.greatest(F.lit(limit) - F.size("guarded"), F.lit(0)))
+    # once, not anew for each of the anchors
+    rows = rows.withColumn("admitted", once(fresh, lambda new: F.filter("asked", lambda c: F.array_contains("guarded", c) | F.array_contains(new, c))))
     rows = rows.withColumn("must", F.array_distinct(F.concat("admitted", "guarded"))).withColumn("rest", F.array_except("old", "must"))
     start = F.struct(none.alias("new"), none.alias("same"), F.transform("must", lambda c: c.document).alias("docs"))
 
